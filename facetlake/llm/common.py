@@ -71,3 +71,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def open_fs(path: str):
+    """(file system, path in it) for Python code on the driver or an executor; the scheme decides."""
+    from pyarrow import fs
+
+    if "://" not in path and path.startswith("file:"):
+        path = "file://" + path[len("file:") :]
+    scheme, _, rest = path.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + "://" + rest if rest else path)

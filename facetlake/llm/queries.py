@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facetlake.llm import queries_native
+from facetlake.llm import queries_free, queries_native
 
-QUERIES = dict(queries_native.QUERIES)
+QUERIES = queries_native.QUERIES | queries_free.QUERIES
 ORACLE = dict(queries_native.ORACLE)
