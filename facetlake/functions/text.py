@@ -12,6 +12,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD, WORD2 = r"(?U)\w+", r"(?U)\b\w\w+\b"
 #: Name suffixes are part of a concept: "c++" is not "c".
@@ -19,13 +20,13 @@ CONCEPT_WORD = r"(?U)\w+(?:[+#]+)?|[+#]+"
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def fold(texts: pa.Array) -> pa.Array:
     """NFKC, then full case folding ("ß" becomes "ss")."""
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def casefolded(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t.casefold() for t in texts.to_pylist()], pa.string())
 
