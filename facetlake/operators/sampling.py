@@ -142,4 +142,4 @@ def stratified(records: DataFrame, sizes: dict[str, int], seed: str) -> DataFram
         found = stratify([(i, frozenset(f)) for i, f in zip(rows["paper_id"], rows["features"], strict=True)], sizes, seed)
         return pd.DataFrame({"paper_id": list(found), "split": list(found.values())})
 
-    return records.groupBy(F.lit(0)).applyInPandas(run, "paper_id string, split string")
+    return records.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "paper_id string, split string")

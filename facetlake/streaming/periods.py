@@ -17,9 +17,9 @@ def period_of(ts: Column, boundaries: Sequence[str]) -> Column:
     return out
 
 
-def period_counts(events: DataFrame, *, width: str = "10 days", late: str = "1 day", key: str = "user_id", kind: str = "interaction_type", ts: str = "ts") -> DataFrame:
-    """Reactions of each key in tumbling windows; works on a stream (late rows are dropped after the watermark) and on a table."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+def period_counts(events: DataFrame, *, width: str = "10 days", late: str | None = "1 day", key: str = "user_id", kind: str = "interaction_type", ts: str = "ts") -> DataFrame:
+    """Reactions of each key in tumbling windows; works on a stream (late rows are dropped after the watermark; None if one is set upstream) and on a table."""
+    rows = events.withWatermark(ts, late) if events.isStreaming and late else events
     return rows.groupBy(F.window(ts, width), key, kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), key, kind, "n")
 
 
