@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -20,8 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/facetlake/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may have ended before; the folder is scratch space
+        return
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder."""
+    path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
