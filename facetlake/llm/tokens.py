@@ -34,32 +34,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.llm.common import new_dir, open_fs, written
 
-SHARD_IDS, CACHE_CHUNKS, MAGIC = 1 << 26, 400_000, b"FLTOKIX1"
+SHARD_IDS, CACHE_CHUNKS, MAGIC = 1 << 26, 300_000, b"FLTOKIX1"
 READ_BYTES = 8 << 20
 
 
 # --- tokenizing -------------------------------------------------------------
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """A tokenizers file; ids of space-separated chunks are remembered where that is the same.
 
     A byte-level tokenizer that splits by its own pattern always starts a new
     piece at a single space between two other characters, and merges never cross
     pieces. So a text can be encoded chunk by chunk, and a chunk seen before (up
-    to ``CACHE_CHUNKS`` of them) needs no work. New chunks of a batch are encoded
-    together, parted by the end-of-text token, which the tokenizer cuts out
-    first. Other tokenizers encode whole texts.
+    to ``CACHE_CHUNKS`` of them) needs no work. A chunk with white space at an edge is
+    never remembered, so a text with one is noticed and split with more care. A new chunk of plain letters,
+    digits and signs is split by the same pattern here, and its pieces, if new,
+    go to the library's model; other new chunks of a batch go to the library
+    together, parted by the end-of-text token, which it cuts out first. Other
+    tokenizers encode whole texts.
     """
 
-    SPLIT = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
-    ODD = re.compile(r" [\s᠎​﻿]|[\s᠎​﻿] ")
+    SPACE = r"\s\u180e\u200b\ufeff"
+    SPLIT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
+    EDGE = re.compile(f"^[{SPACE}]|[{SPACE}]$|^$")
+    ENDS = re.compile(f"[{SPACE}]$|^$")
+    # The pattern of byte-level pre-tokenizers, and characters whose classes all Unicode versions agree on.
+    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    PLAIN = re.compile(r"[\x20-\x7e\n\r\t\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,30 +87,58 @@ class Encoder:
         self.by_chunk = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and made.get("truncation") is None and len(made.get("added_tokens", [])) == len(special) == 1
         self.part, self.part_id = (special[0]["content"], special[0]["id"]) if self.by_chunk else ("", -1)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.seen: dict[str, bytes] = {}
+        self.seen_pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         if not self.by_chunk:
             return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [self.chunks(t) for t in texts]
-        new = {c for parts in split for c in parts if c not in self.seen}
-        extra: dict[str, bytes] = {}
-        new_list = [c for c in new if self.part not in c]
-        for at in range(0, len(new_list), 20_000):
-            extra |= self.fresh(new_list[at : at + 20_000])
-        for c in new - extra.keys():
-            extra[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind).tobytes()
-        known = self.seen
-        if room := CACHE_CHUNKS - len(known):
-            known.update((c, extra.pop(c)) for c in [c for c in extra if len(c) < 64][:room])
-        if not extra:
-            return [b"".join(map(known.__getitem__, parts)) for parts in split]
-        return [b"".join([known[c] if c in known else extra[c] for c in parts]) for parts in split]
-
-    def chunks(self, text: str) -> list[str]:
-        parts = self.SPLIT.split(text) if self.ODD.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]] if parts[1:] else []
+        get = self.seen.get
+        split, missing = [], set()
+        for text in texts:
+            head, *rest = text.split(" ")
+            ids = list(map(get, rest))
+            if None in ids:
+                new = {c for c, x in zip(rest, ids, strict=True) if x is None}
+                if any(self.EDGE.search(c) for c in new) or self.ENDS.search(head):  # a space beside other white space
+                    head, *rest = self.SPLIT.split(text)
+                    ids = list(map(get, rest))
+                    new = {c for c, x in zip(rest, ids, strict=True) if x is None}
+                missing |= new
+            elif self.ENDS.search(head):
+                head, *rest = self.SPLIT.split(text)
+                ids = list(map(get, rest))
+                missing |= {c for c, x in zip(rest, ids, strict=True) if x is None}
+            split.append((head, rest, ids))
+        made = self.made({" " + c for c in missing} | {head for head, _, _ in split})
+        out = []
+        for head, rest, ids in split:
+            if None in ids:
+                ids = [made[" " + c] if x is None else x for c, x in zip(rest, ids, strict=True)]
+            out.append(made[head] + b"".join(ids))
+        room = CACHE_CHUNKS - len(self.seen)
+        self.seen.update((c, made[" " + c]) for c in [c for c in missing if len(c) < 64 and not self.EDGE.search(c)][: max(room, 0)])
+        return out
+
+    def made(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of new chunks."""
+        plain = {c for c in chunks if self.part not in c and self.PLAIN.fullmatch(c)}
+        made = {c: b"".join([self.piece(p) for p in self.PIECE.findall(c)]) for c in plain}
+        apart = [c for c in chunks - plain if self.part not in c]
+        for at in range(0, len(apart), 20_000):
+            made |= self.fresh(apart[at : at + 20_000])
+        return made | {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind).tobytes() for c in chunks - made.keys()}
+
+    def piece(self, text: str) -> bytes:
+        """The ids of one piece of the pattern."""
+        if (ids := self.seen_pieces.get(text)) is None:
+            letters = text.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(letters)], self.kind).tobytes()
+            if len(self.seen_pieces) < CACHE_CHUNKS and len(text) < 64:
+                self.seen_pieces[text] = ids
+        return ids
 
     def fresh(self, chunks: list[str]) -> dict[str, bytes]:
         ids = np.array(self.tokenizer.encode(self.part.join(chunks), add_special_tokens=False).ids, np.int64)
