@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetlake.storage import new_dir, shared_dir, written
+
+__all__ = ["ascii_lower", "let", "new_dir", "open_fs", "shared_dir", "table", "words_of", "written"]
+
 #: White space that separates words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
@@ -30,45 +30,6 @@ def ascii_lower(value: Column) -> Column:
     return F.translate(value, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder of this machine.
-    """
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", made := "file://" + tempfile.mkdtemp(prefix="facetlake-"))
-    return made
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/facetlake/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session may have ended before; the folder is scratch space
-        return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and outlives lost executors."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
