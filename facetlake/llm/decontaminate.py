@@ -5,9 +5,11 @@ letters and digits become one space). An item of m folded characters may be
 found with up to k = floor(m * rate) edits. Cut into k + 1 pieces, at least one
 piece is in the text as it stands, at most k places from its diagonal. An
 Aho-Corasick automaton finds all piece hits in one pass over the text; hits of
-one item on near diagonals share a window, and Myers' bit-parallel distance (one
-big integer a column of the pattern's whole length) verifies the window: the
-least edit distance between the item and any substring of it.
+one item on near diagonals share a window. An edit spoils at most one of the
+item's 4-character blocks, laid end to end, so a window that lacks more than k of
+them is out; that loses nothing and spares most chance hits the next step. Myers' bit-parallel
+distance (one big integer a column of the pattern's whole length) verifies the
+window: the least edit distance between the item and any substring of it.
 
 Items come to every task, so their number and size are checked: items are dealt
 into blocks of at most ``block_chars`` folded characters, and each block is one
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, MIN_CHARS, BLOCK_CHARS = 0.1, 40, 8_000_000
+RATE, MIN_CHARS, BLOCK_CHARS, BLOCK = 0.1, 40, 8_000_000, 4
 OTHER = re.compile(r"[\W_]+")
 
 
@@ -44,6 +46,21 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def blocks_of(text: str) -> list[str]:
+    """The text's whole blocks of BLOCK characters, end to end."""
+    return [text[i : i + BLOCK] for i in range(0, len(text) - BLOCK + 1, BLOCK)]
+
+
+def lacks(window: str, wanted: list[str], most: int) -> bool:
+    """True if more than ``most`` of the wanted blocks are not in the window; stops as soon as that is known."""
+    for block in wanted:
+        if block not in window:
+            most -= 1
+            if most < 0:
+                return True
+    return False
+
+
 def myers(pattern: str, text: str) -> tuple[int, int]:
     """(least edit distance of pattern to a substring of text, where the first such substring ends)."""
     m = len(pattern)
@@ -73,9 +90,9 @@ class Matcher:
     """All items of a block behind one automaton."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
-        self.items = [(i, t, int(len(t) * rate)) for i, x in items if len(t := folded(x)) >= min_chars]
+        self.items = [(i, t, int(len(t) * rate), blocks_of(t)) for i, x in items if len(t := folded(x)) >= min_chars]
         owners: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, t, k) in enumerate(self.items):
+        for n, (_, t, k, _) in enumerate(self.items):
             for at, piece in pieces(t, k):
                 owners.setdefault(piece, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
@@ -95,11 +112,14 @@ class Matcher:
                 diagonals.setdefault(n, []).append(last + 1 - length - at)
         found = []
         for n, starts in diagonals.items():
-            item, pattern, k = self.items[n]
+            item, pattern, k, wanted = self.items[n]
             best = None
             for low, high in merged(sorted(set(starts)), k):
                 a, b = max(0, low - k), min(len(whole), high + len(pattern) + k)
-                distance, end = (0, p + len(pattern) - a) if (p := whole.find(pattern, a, b)) >= 0 else myers(pattern, whole[a:b])
+                window = whole[a:b]
+                if lacks(window, wanted, k):
+                    continue
+                distance, end = (0, p + len(pattern)) if (p := window.find(pattern)) >= 0 else myers(pattern, window)
                 if distance <= k and (best is None or distance < best[0]):
                     best = distance, a + end
                 if best and not best[0]:
