@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from facetlake.functions import text as T
 from facetlake.functions import vectors as V
 from facetlake.operators.facets import FACETS, FIXED_WEIGHTS
+from facetlake.storage import written
 
 REGISTRY: dict[str, dict[str, Callable[..., DataFrame]]] = {"retrieval": {}, "preference": {}, "direction": {}, "temporal": {}}
 
@@ -82,8 +83,9 @@ def weighted_facets(cases: DataFrame, cosines: DataFrame, weights: dict[str, flo
 
 
 def score_retrieval(papers: DataFrame, concepts: DataFrame, cases: DataFrame, fold: Callable[[Column], Column] = F.lower, **options) -> DataFrame:
-    """All registered retrieval models over the same vectors."""
-    cosines = part_cosines(cases, joint_vectors(papers, concepts, fold))
+    """All registered retrieval models over the same cosines, which are written once."""
+    cosines = written(part_cosines(cases, joint_vectors(papers, concepts, fold)), "cosines")
+    cases = written(cases, "cases")
     out = None
     for model, f in REGISTRY["retrieval"].items():
         part = as_model(f(cases, cosines, **options), model)

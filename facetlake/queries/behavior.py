@@ -13,6 +13,7 @@ from facetlake.operators import intent as D
 from facetlake.operators import profiles as P
 from facetlake.operators.search import mentions
 from facetlake.queries.base import BASE_SQL, CUTOFF, RECENT, UNTIL, part_concepts, part_papers, reactions, table, timed_cases, tokens_sql
+from facetlake.storage import written
 
 QUERIES, ORACLE = {}, {}
 HALF_LIFE = 7.0
@@ -115,7 +116,7 @@ def search_mentions(spark, sf):
 
 def search_rows(spark, sf):
     users, _ = timed_cases(spark, sf)
-    return P.visible(mentions(searches(spark, sf), part_concepts(spark, sf)), users)
+    return written(P.visible(mentions(searches(spark, sf), part_concepts(spark, sf)), users), "searches")
 
 
 def _facet_sql(weight: str, search_weight: str) -> str:
@@ -277,7 +278,7 @@ def direction_estimates(spark, sf):
 
 def found_directions(spark, sf):
     anchors, exposures, reacted = session_inputs(spark, sf)
-    concepts = part_concepts(spark, sf)
+    anchors, concepts = written(anchors, "anchors"), part_concepts(spark, sf)
     by = D.behavior_directions(D.contrasts(D.feedback_pairs(exposures, reacted), anchors, A.arrays(concepts)))
     said = mentions(searches(spark, sf), concepts).withColumnRenamed("user_id", "case_id")
     q = D.query_directions(said, anchors, concepts)
@@ -293,7 +294,7 @@ def intent_scores(spark, sf):
     concepts = part_concepts(spark, sf)
     pool = reactions(spark, sf).select(F.col("user_id").alias("case_id"), "paper_id").distinct()
     cases = anchors.join(pool, "case_id").filter("paper_id <> query_paper_id")
-    cosines = part_cosines(cases, joint_vectors(part_papers(spark, sf), concepts)).filter("part <> 'text'")
+    cosines = written(part_cosines(cases, joint_vectors(part_papers(spark, sf), concepts)).filter("part <> 'text'"), "cosines")
     filled = concepts.select("paper_id", "facet").distinct()
     users, _ = timed_cases(spark, sf)
     _, importance = P.facet_profiles(seen(spark, sf), concepts, search_rows(spark, sf))
