@@ -270,12 +270,13 @@ SPAN = "k1 bigint, k2 bigint, start bigint, end bigint"
 def repeated_spans(texts: DataFrame, group: int = GROUP) -> DataFrame:
     """(k1, k2, spans) of the texts (k1, k2, data) with repeated strings; spans may overlap and pass the end."""
     chosen = texts.select("data", "k1", "k2").mapInArrow(_scan, "gram bigint, context bigint, k1 bigint, k2 bigint, pos bigint")
-    twice = chosen.groupBy("gram").count().filter("count > 1").select("gram")
+    #: written, so that the join's sides are plain exchanges and a frequent gram's rows can be split over tasks
+    twice = written(chosen.groupBy("gram").count().filter("count > 1").select("gram"), "repeats-grams")
     shared = written(chosen.join(twice, "gram"), "repeats-shared")
     kinds = written(shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one")), "repeats-kinds")
     reach = LENGTH - GRAM
     full = shared.join(kinds.filter("n > 1").select("gram", "context"), ["gram", "context"]).select("k1", "k2", F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end"))
-    several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    several = written(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "repeats-several")
     ones = kinds.join(several, "gram").select("gram", "one.*", (F.col("n") > 1).alias("many"), (F.col("kinds") > group).alias("large"))
     wanted = ones.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "gram", "many", "large")).alias("wanted"))
     one_each = packed(texts.select("k1", "k2", "data")).dropDuplicates(["k1", "k2"])
