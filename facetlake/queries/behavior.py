@@ -67,7 +67,7 @@ def rolling_period_labels(spark, sf):
 _DECAY = f"power(2, -(epoch_us(TIMESTAMP '{CUTOFF}') - epoch_us(ts)) / 1e6 / (86400 * {HALF_LIFE}))"
 
 
-@query("user_profile_decay", "WITH " + BASE_SQL + f"SELECT user_id, paper_id, round(sum(w * {_DECAY}), 5) AS weight FROM seen GROUP BY ALL")
+@query("user_profile_decay", "WITH " + BASE_SQL + f"SELECT user_id, paper_id, round(sum(w * {_DECAY}), 5) + 0.0::DOUBLE AS weight FROM seen GROUP BY ALL")
 def user_profile_decay(spark, sf):
     w = P.behavior_weight(F.col("interaction_type")) * P.time_weight(HALF_LIFE)
     return seen(spark, sf).groupBy("user_id", "paper_id").agg(F.round(F.sum(w), 5).alias("weight"))
@@ -92,7 +92,7 @@ tv AS (SELECT paper_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY paper_id))
 
 @query("text_profiles", "WITH " + _TEXT_SQL + f""",
 raw AS (SELECT user_id, term, sum(w * {_DECAY} * weight) AS x FROM seen JOIN tv USING (paper_id) WHERE w <> 0 AND ts >= TIMESTAMP '{RECENT}' GROUP BY ALL)
-SELECT user_id AS case_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY user_id)), 5) AS weight FROM raw WHERE x <> 0""")
+SELECT user_id AS case_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY user_id)), 5) + 0.0::DOUBLE AS weight FROM raw WHERE x <> 0""")
 def text_profiles(spark, sf):
     found = P.text_profiles(seen(spark, sf), text_vectors(spark, sf), half_life_days=HALF_LIFE, recent_start=F.to_timestamp(F.lit(RECENT)))
     return rounded(found, "weight", digits=5).select("case_id", "term", "weight")
@@ -133,14 +133,14 @@ imp AS (SELECT user_id AS case_id, facet, CASE WHEN sum(coalesce(m, 0)) OVER (PA
 hot AS (SELECT paper_id, facet, concept, 1 / sqrt(count(*) OVER (PARTITION BY paper_id, facet)) AS h FROM (SELECT DISTINCT * FROM concepts)),
 fs AS (SELECT p.user_id AS case_id, p.paper_id, sum(pv.weight * imp.importance * hot.h) AS score FROM pool p JOIN hot USING (paper_id) JOIN pv ON pv.case_id = p.user_id AND pv.facet = hot.facet AND pv.concept = hot.concept
   JOIN imp ON imp.case_id = p.user_id AND imp.facet = hot.facet GROUP BY ALL),
-ts_scores AS (SELECT user_id AS case_id, pool.paper_id, round(coalesce(score, 0), 5) AS score FROM pool LEFT JOIN fs ON case_id = user_id AND fs.paper_id = pool.paper_id)
+ts_scores AS (SELECT user_id AS case_id, pool.paper_id, round(coalesce(score, 0), 5) + 0.0::DOUBLE AS score FROM pool LEFT JOIN fs ON case_id = user_id AND fs.paper_id = pool.paper_id)
 """
 
 
 FACET_SQL = _facet_sql("w", "1")
 
 
-@query("facet_profiles", "WITH " + FACET_SQL + "SELECT case_id, facet, concept, round(weight, 5) AS weight FROM pv")
+@query("facet_profiles", "WITH " + FACET_SQL + "SELECT case_id, facet, concept, round(weight, 5) + 0.0::DOUBLE AS weight FROM pv")
 def facet_profiles(spark, sf):
     found, _ = P.facet_profiles(seen(spark, sf), part_concepts(spark, sf), search_rows(spark, sf))
     return rounded(found.filter(F.abs("weight") > 1e-12), "weight", digits=5).select("case_id", "facet", "concept", "weight")
@@ -213,7 +213,7 @@ def increasing_time_gate(spark, sf):
 
 @query("profile_interpolation", "WITH " + BASE_SQL + f""",
 a AS (SELECT user_id, paper_id, avg(w) AS x FROM seen WHERE ts < TIMESTAMP '{RECENT}' GROUP BY ALL), b AS (SELECT user_id, paper_id, avg(w) AS y FROM seen WHERE ts >= TIMESTAMP '{RECENT}' GROUP BY ALL)
-SELECT user_id, paper_id, round(0.5 * coalesce(x, 0) + 0.5 * coalesce(y, 0), 6) AS weight FROM a FULL JOIN b USING (user_id, paper_id)""")
+SELECT user_id, paper_id, round(0.5 * coalesce(x, 0) + 0.5 * coalesce(y, 0), 6) + 0.0::DOUBLE AS weight FROM a FULL JOIN b USING (user_id, paper_id)""")
 def profile_interpolation(spark, sf):
     from facetlake.operators.generators import interpolate
 
@@ -222,6 +222,24 @@ def profile_interpolation(spark, sf):
     return rounded(interpolate(mean(rows.filter(F.col("ts") < start)), mean(rows.filter(F.col("ts") >= start)), ["user_id", "paper_id"], 0.5), "weight")
 
 
+@query("search_text_profiles", "WITH " + BASE_SQL + ", " + _SEARCH_SQL + f""",
+docs AS (SELECT 'p' || p_partkey AS id, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part UNION ALL SELECT 'q' || query_id, 'method: ' || CASE WHEN sign < 0 THEN 'alternatives to ' ELSE '' END || concept || ' papers' FROM searches),
+tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({tokens_sql("text")}) AS term FROM docs) GROUP BY ALL),
+tw AS (SELECT tf.*, n * (ln((1 + (SELECT count(*) FROM docs)) / (1 + df)) + 1) AS x FROM tf JOIN (SELECT term, count(*) AS df FROM tf GROUP BY term) USING (term)),
+tv AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FROM tw),
+acts AS (SELECT user_id, 'p' || paper_id AS id, w FROM seen UNION ALL SELECT user_id, 'q' || query_id, 1 FROM searches WHERE ts < TIMESTAMP '{CUTOFF}'),
+raw AS (SELECT user_id, term, sum(w * weight) AS x FROM acts JOIN tv USING (id) WHERE w <> 0 GROUP BY ALL)
+SELECT user_id AS case_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY user_id)), 5) + 0.0::DOUBLE AS weight FROM raw WHERE abs(x) > 1e-12""")
+def search_text_profiles(spark, sf):
+    """Text profiles where every search counts as a click on itself."""
+    named = lambda df, c, mark: df.withColumn(c, F.concat(F.lit(mark), F.col(c).cast("string")))
+    papers, asked = named(part_papers(spark, sf), "paper_id", "p"), written(named(searches(spark, sf), "query_id", "q"), "asked")
+    users, _ = timed_cases(spark, sf)
+    acts = P.with_queries(named(reactions(spark, sf), "paper_id", "p").select("user_id", "paper_id", "interaction_type", "ts"), asked)
+    found = P.text_profiles(P.visible(acts, users), P.search_text_vectors(papers, asked))
+    return rounded(found.filter(F.abs("weight") > 1e-12), "weight", digits=5).select("case_id", "term", "weight")
+
+
 @query("latest_query_wins", "WITH " + BASE_SQL + ", " + _SEARCH_SQL + "SELECT user_id, facet, arg_max(concept, (ts, query_id)) AS concept, arg_max(sign, (ts, query_id)) AS sign FROM searches GROUP BY ALL")
 def latest_query_wins(spark, sf):
     rows = mentions(searches(spark, sf), part_concepts(spark, sf))
