@@ -132,12 +132,16 @@ def document_suffixes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
             continue
         if len(text) > PIECE:
             whole = np.frombuffer(text, np.uint8)
-            step = PIECE - LENGTH
+            step, last = PIECE - LENGTH, -1
             for at in range(0, len(text), step):
                 a, b = max(0, at - LENGTH), min(len(text), at + step + 2 * LENGTH - 1)
                 piece = whole[a:b]
-                d, pos, gram, context = suffixes(piece, np.array([0]), np.array([b - a]), at - a, at - a + step)
-                yield np.full(len(d), i), pos + a, gram, context
+                _, pos, gram, context = suffixes(piece, np.array([0]), np.array([b - a]), at - a, at - a + step)
+                pos = pos + a
+                #: a piece's first window often chooses what the last one of the piece before has chosen
+                new = pos > last
+                yield np.full(int(new.sum()), i), pos[new], gram[new], context[new]
+                last = int(pos[-1]) if len(pos) else last
             continue
         if held and size + len(text) > PIECE:
             yield from flush()

@@ -342,6 +342,27 @@ def test_long_text_in_pieces(monkeypatch):
     assert {x[1:3] for x in cut} == {x[1:3] for x in whole} and cut == whole
 
 
+def test_pieces_give_each_suffix_once(monkeypatch):
+    text = bytes(np.random.default_rng(10).integers(97, 101, 30_000, dtype=np.uint8))
+    rows = lambda: [tuple(map(int, x)) for part in repeats.document_suffixes([text]) for x in zip(*part, strict=True)]
+    whole = rows()
+    monkeypatch.setattr(repeats, "PIECE", 4096)
+    assert rows() == whole
+
+
+def test_unique_text_of_several_pieces_stays_whole(spark):
+    """Nothing in it occurs twice, so nothing goes; a passage planted on both sides of a cut goes in both places."""
+    rng = np.random.default_rng(12)
+    text = bytes(rng.integers(97, 123, 2 * repeats.PIECE + 5000, dtype=np.uint8)).decode()
+    cut = repeats.PIECE - repeats.LENGTH
+    twice = text[: cut - 150] + text[1000:1300] + text[cut + 150 :]
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[1].kept_sha256) == (0, 0, hashlib.sha256(text.encode()).hexdigest())
+    (row,) = repeats.remove_repeats(spark.createDataFrame([(2, twice)], "doc_id int, text string")).collect()
+    kept = twice[:1000] + twice[1300 : cut - 150] + twice[cut + 150 :]
+    assert (row.n_removed, row.n_spans, row.kept_sha256) == (600, 2, hashlib.sha256(kept.encode()).hexdigest())
+
+
 def test_repeats_on_odd_documents(odd_docs, no_docs):
     rows = repeats.remove_repeats(odd_docs).collect()
     assert len(rows) == 12
