@@ -1,0 +1,132 @@
+"""Near-duplicate groups by the similarity of word shingles, each link checked exactly.
+
+Two texts are linked if the sets of their ``SIZE``-word shingles have a Jaccard
+similarity of ``LEAST`` or more. Candidates share one of ``BANDS`` keys, each of
+``ROWS`` min-hashes: a pair at 0.8 is missed with a chance of 0.0004, a more
+similar one with less. Every candidate is checked on the texts themselves.
+
+Equal shingle sets are one row from the start. The members of a key are first
+compared with one of them, another in each round; then members that still have
+different labels are compared pair by pair. So a large group of near copies costs
+about as many checks as it has members, and no candidate is left unchecked
+unless its ends are linked already.
+
+Defined results: null and blank texts have no shingles and are one group; a text
+of fewer words has one shingle; a null id never becomes the row that stays
+unless all ids of the group are null; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from facetlake.llm.common import written
+from facetlake.llm.repeats import packed
+from facetlake.llm.simhash import least_labels, shingle_hashes
+
+SIZE, LEAST = 5, 0.8
+BANDS, ROWS = 20, 5
+ROUNDS = 3
+#: Hashes multiplied at once.
+SLICE = 1 << 12
+_DRAWN = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_TIMES, _PLUS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(np.array(shingle_hashes(text, SIZE), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key (as a signed long) for each band; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), SLICE):
+        np.minimum(least, (_TIMES * hashes[at : at + SLICE] + _PLUS).min(axis=1), out=least)
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+        names = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "key", "node", "bands"])
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    inflate = zstandard.ZstdDecompressor()
+    read = lambda z: shingle_set(inflate.decompress(z.as_buffer()).decode("utf-8", "surrogatepass"))
+    held: tuple[int | None, np.ndarray] = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        near = np.zeros(len(a), bool)
+        for i in range(len(a)):
+            if b[i] != held[0]:
+                held = b[i], read(batch.column(3)[i])
+            near[i] = similarity(read(batch.column(2)[i]), held[1]) >= LEAST
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], ["a", "b"])
+
+
+def near_edges(members: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Edges (a, b) that connect what is similar; members: bucket, node; texts: node, data (compressed)."""
+    edges = tested = None
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    for turn in range(rounds + 1):
+        now = members.withColumn("label", F.col("node"))
+        if edges is not None:
+            labels = least_labels(edges)
+            now = written(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "similar-now")
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "node").alias("h"), F.col("node").alias("middle"), F.col("label").alias("own")))
+        mixed = written(now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first.alias("x")).filter("lo < hi").select("bucket", "x.middle", "x.own"), "similar-mixed")
+        if mixed.isEmpty():
+            break
+        if turn < rounds:
+            pairs = now.join(mixed, "bucket").filter("label <> own").select(*ends("node", "middle")).distinct()
+        else:
+            left = written(now.join(mixed.select("bucket"), "bucket", "left_semi"), "similar-left")
+            right = left.select("bucket", F.col("node").alias("other"), F.col("label").alias("own"))
+            pairs = left.join(right, "bucket").filter("node < other AND label <> own").select(*ends("node", "other")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "similar-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        side = lambda c, d: texts.select(F.col("node").alias(c), F.col("data").alias(d))
+        found = pairs.join(side("a", "data_a"), "a").join(side("b", "data_b"), "b").select("a", "b", "data_a", "data_b").mapInArrow(_check, "a bigint, b bigint")
+        found = written(found, "similar-edges")
+        edges = found if edges is None else edges.unionByName(found)
+    return members.select(F.col("node").alias("a"), F.col("node").alias("b")).filter("false") if edges is None else edges
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with one row of each group: a row of the least id (and, where ids repeat, the least text hash)."""
+    used = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
+    sketches = used.mapInArrow(_sketches, f"doc_id {used.schema['doc_id'].dataType.simpleString()}, key bigint, node bigint, bands array<bigint>")
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    distinct = written(written(sketches, "similar").groupBy("node").agg(F.min(head).alias("head"), F.min("bands").alias("bands")), "similar-distinct")
+    spread = distinct.select("node", F.explode("bands").alias("bucket"))
+    several = written(spread.groupBy("bucket").count().filter("count > 1").select("bucket"), "similar-several")
+    members = written(spread.join(several, "bucket"), "similar-members")
+    wanted = distinct.join(members.select("node").distinct(), "node").select("node", F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key"))
+    at_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("key") == F.col("head_key"))
+    texts = written(packed(used.join(wanted, at_head).select("node", F.col("text").cast("binary").alias("data"))).dropDuplicates(["node"]), "similar-texts")
+    labels = least_labels(near_edges(members, texts, rounds))
+    heads = distinct.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key"))
+    kept = docs.withColumn("row_key", F.xxhash64(F.col(text))).join(heads, F.col(doc_id).eqNullSafe(F.col("head_id")) & (F.col("row_key") == F.col("head_key")), "left_semi")
+    once = Window.partitionBy(doc_id, "row_key").orderBy(F.lit(0))
+    return kept.withColumn("row_no", F.row_number().over(once)).filter("row_no = 1").select(*docs.columns)
