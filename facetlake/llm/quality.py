@@ -1,21 +1,30 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
-A rule rejects a document whose signal is above a cutoff. For each stratum (a
-language) and rule, the cutoffs of a fixed grid are tested from the loosest to
-the strictest on the labelled good documents: with k of n good ones rejected,
-the exact binomial tail P(Bin(n, alpha) <= k) must not exceed delta, else the
-test stops there (fixed-sequence testing, which needs no correction along the
-grid). alpha is the stratum's risk divided by the number of rules, so all rules
-together stay within it; delta is divided by rules and strata (Bonferroni), so
-that with confidence 1 - delta every stratum holds its limit. Of the cutoffs
-that pass, the one that rejects most bad documents less good ones is taken, the
-loosest among equals. Without enough labels no cutoff passes and the rule is off.
+A composite filter rejects a document if any signal is above its cutoff. The
+filters are a fixed sequence of ``STEPS`` steps, from the loosest cutoffs of all
+signals to the strictest, each step rejecting what the one before does and more.
+For each stratum (a language) the steps are tested in order on the labelled good
+documents: with k of n good ones rejected, the exact binomial tail
+P(Bin(n, risk) <= k) must not exceed the stratum's share of delta, else the test
+stops there (fixed-sequence testing, which needs no correction along the
+sequence). The share is delta divided by the number of strata tested
+(Bonferroni), so that with confidence 1 - delta every stratum rejects at most
+``risk`` of its good documents. A stratum with too few labels to pass even
+without a rejection is not tested: the number s of strata is the largest for which
+the s-th largest one could pass at delta / s, and depends on numbers of labels
+only, never on outcomes. Of the steps that pass, the one that rejects most bad
+documents less good ones is taken, the loosest among equals.
+
+Trials are distinct texts of a stratum, as copies are not independent. Strata
+come from the data; more than ``MAX_STRATA`` tested ones are an error, as their
+steps come to the driver.
 
 Defined results: a null or blank text has no words and fails the base rule;
-documents in other languages or without one are a stratum of their own
-("other"); a document labelled more than once is good if any label says so;
-null labels and ids are ignored; repeated rows are judged each; an empty table
-gives no rows and empty labels switch the rules off; other columns are ignored.
+documents without a language are a stratum of their own; strata without enough
+labels have the base rule only; a text labelled more than once is good if any
+label says so; null labels and ids are ignored; repeated rows are judged each;
+an empty table gives no rows and empty labels switch the rules off; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,17 +34,17 @@ from pyspark.sql import functions as F
 
 from facetlake.llm.common import let, words_of, written
 
-STRATA = ("de", "en", "es", "fr")
-#: Signal and its cutoffs, loosest first.
+#: Signal and its cutoffs, loosest first: one for each step.
 RULES: dict[str, tuple[float, ...]] = {
-    "symbol_ratio": (0.5, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02),
-    "bang_ratio": (0.5, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02),
-    "upper_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2),
-    "dup_line_ratio": (0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1),
-    "repeat_ratio": (0.19, 0.18, 0.16, 0.14, 0.12, 0.1),
-    "word_length": (40.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0),
+    "symbol_ratio": (0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.06, 0.03),
+    "bang_ratio": (0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.06, 0.03),
+    "upper_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25),
+    "dup_line_ratio": (0.9, 0.8, 0.7, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35, 0.3),
+    "repeat_ratio": (0.2, 0.2, 0.2, 0.19, 0.19, 0.19, 0.18, 0.18, 0.17, 0.16),
+    "word_length": (40.0, 25.0, 20.0, 16.0, 15.0, 14.0, 13.0, 12.0, 11.0, 10.0),
 }
-RISK, DELTA, WINDOW = 0.02, 0.05, 5
+STEPS = 10
+RISK, DELTA, WINDOW, MAX_STRATA = 0.02, 0.05, 5, 1000
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -73,7 +82,8 @@ def text_features(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     used = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     split = used.select(
         "doc_id",
-        F.when(F.col("lang").isin(*STRATA), F.col("lang")).otherwise("other").alias("stratum"),
+        F.coalesce("lang", F.lit("und")).alias("stratum"),
+        F.xxhash64(t).alias("text_key"),
         words_of(F.col("text")).alias("words"),
         F.filter(F.split(t, "\n"), lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != "").alias("lines"),
         chars("[#*$%&|<>]").cast("long").alias("n_symbols"),
@@ -83,6 +93,7 @@ def text_features(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     counted = split.select(
         "doc_id",
         "stratum",
+        "text_key",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -94,7 +105,7 @@ def text_features(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     )
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return counted.select(
-        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "stratum", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
         ratio("n_symbols", "word_chars").alias("symbol_ratio"),
         ratio("n_bangs", "word_chars").alias("bang_ratio"),
@@ -118,34 +129,43 @@ def binomial_tail(k: Column, n: Column, alpha: float) -> Column:
     return F.when(k > n * alpha, F.lit(1.0)).otherwise(F.aggregate(terms, first, step, lambda acc: acc["sum"]))
 
 
-def fit_cutoffs(features: DataFrame, labels: DataFrame, *, risk: float = RISK, delta: float = DELTA, rules: dict[str, tuple[float, ...]] = RULES) -> DataFrame:
-    """(stratum, signal, cutoff, n_good, k, p_value) of the rules that passed: at most strata x rules rows."""
+def first_step(rules: dict[str, tuple[float, ...]] = RULES) -> Column:
+    """The first step that rejects a document; one past the last if none does."""
+    passed = lambda signal, cutoffs: F.size(F.filter(F.array(*[F.lit(float(c)) for c in cutoffs]), lambda c: c >= F.col(signal)))
+    return F.least(*[passed(*rule) + 1 for rule in rules.items()])
+
+
+def fit_steps(features: DataFrame, labels: DataFrame, *, risk: float = RISK, delta: float = DELTA, rules: dict[str, tuple[float, ...]] = RULES) -> DataFrame:
+    """(stratum, step, n_good, k, p_value) of the strata with a step that passed."""
+    last = len(next(iter(rules.values())))
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    level = lambda s: F.size(F.filter(F.array(*[F.lit(float(c)) for c in rules[s]]), lambda c: F.col(s) > c))
-    rejected = features.filter("not base_failed").join(good, "doc_id").select("stratum", "good", F.inline(F.array(*[F.struct(F.lit(s).alias("signal"), level(s).alias("level")) for s in rules])))
-    counts = rejected.groupBy("stratum", "signal", "level").agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") != 1).alias("bad"))
-    #: step 1 is the loosest cutoff; a document at level v is rejected by steps of the last v, as levels count cutoffs below the signal
-    grid = counts.groupBy("stratum", "signal").agg(F.sum("good").alias("n_good"), F.collect_list(F.struct("level", "good", "bad")).alias("cells"))
-    sizes = F.element_at(F.create_map(*[x for s, c in rules.items() for x in (F.lit(s), F.lit(len(c)))]), F.col("signal"))
-    steps = grid.select("stratum", "signal", "n_good", "cells", F.explode(F.sequence(F.lit(1), sizes)).alias("step"))
-    least = sizes - F.col("step") + 1
-    summed = lambda what: F.aggregate(F.filter("cells", lambda c: c["level"] >= least), F.lit(0).cast("bigint"), lambda a, c: a + c[what])
-    tested = steps.withColumn("k", summed("good")).withColumn("gain", summed("bad") - F.col("k")).withColumn("p_value", binomial_tail(F.col("k"), F.col("n_good"), risk / len(rules)))
-    order = Window.partitionBy("stratum", "signal").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    passed = tested.withColumn("worst", F.max("p_value").over(order)).filter(F.col("worst") <= delta / (len(rules) * (len(STRATA) + 1))).filter("gain > 0")
-    best = passed.withColumn("pick", F.row_number().over(Window.partitionBy("stratum", "signal").orderBy(F.desc("gain"), "step"))).filter("pick = 1")
-    cutoffs = F.create_map(*[x for s, c in rules.items() for x in (F.lit(s), F.array(*[F.lit(float(v)) for v in c]))])
-    return best.select("stratum", "signal", F.get(F.element_at(cutoffs, F.col("signal")), F.col("step") - 1).alias("cutoff"), "n_good", "k", "p_value")
+    labelled = features.filter("not base_failed").join(good, "doc_id").select("stratum", "text_key", "good", first_step(rules).alias("first"))
+    texts = labelled.groupBy("stratum", "text_key").agg(F.max("good").alias("good"), F.min("first").alias("first"))
+    cells = texts.groupBy("stratum", "first").agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") != 1).alias("bad"))
+    strata = cells.groupBy("stratum").agg(F.sum("good").alias("n_good"), F.collect_list(F.struct("first", "good", "bad")).alias("cells"))
+    #: a row a stratum from here on
+    ranked = strata.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_good"), "stratum")))
+    able = F.when(F.col("n_good") * F.log1p(F.lit(-risk)) <= F.ln(F.lit(delta) / F.col("rank")), F.col("rank")).otherwise(0)
+    counted = ranked.withColumn("tested", F.max(able).over(Window.partitionBy())).filter("rank <= tested")
+    steps = counted.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(last))))
+    summed = lambda what: F.aggregate(F.filter("cells", lambda c: c["first"] <= F.col("step")), F.lit(0).cast("bigint"), lambda a, c: a + c[what])
+    tested = steps.withColumn("k", summed("good")).withColumn("gain", summed("bad") - F.col("k")).withColumn("p_value", binomial_tail(F.col("k"), F.col("n_good"), risk))
+    order = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = tested.withColumn("worst", F.max("p_value").over(order)).filter(F.col("worst") <= F.lit(delta) / F.col("tested")).filter("gain > 0")
+    best = passed.withColumn("pick", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("gain"), "step"))).filter("pick = 1")
+    return best.select("stratum", "step", "n_good", "k", "p_value")
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Features, base_failed, failed_rule (the first of RULES that rejects, or null) and kept."""
     features = written(text_features(docs), "quality")
-    #: strata and rules are parameters, so at most 5 x 6 cutoffs come to the driver
-    cutoffs = fit_cutoffs(features, labels, **options).collect()
+    chosen = fit_steps(features, labels, **options).limit(MAX_STRATA + 1).collect()
+    if len(chosen) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    steps = F.create_map(*[x for r in chosen for x in (F.lit(r["stratum"]), F.lit(r["step"]))])[F.col("stratum")] if chosen else F.lit(None).cast("int")
     failed = F.lit(None).cast("string")
-    for signal in reversed(list(RULES)):
-        for c in cutoffs:
-            if c["signal"] == signal:
-                failed = F.when((F.col("stratum") == c["stratum"]) & (F.col(signal) > c["cutoff"]), F.lit(signal)).otherwise(failed)
-    return features.withColumn("failed_rule", failed).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+    for signal, cutoffs in reversed(options.get("rules", RULES).items()):
+        cutoff = F.get(F.array(*[F.lit(float(c)) for c in cutoffs]), F.col("use_step") - 1)
+        failed = F.when(F.col(signal) > cutoff, F.lit(signal)).otherwise(failed)
+    judged = features.withColumn("use_step", steps).withColumn("failed_rule", failed).drop("use_step")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())

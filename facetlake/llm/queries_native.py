@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from facetlake.llm.common import table
 from facetlake.llm.mixing import mix_plan
-from facetlake.llm.quality import DELTA, RISK, RULES, STRATA, judge_quality
-from facetlake.llm.secrets import find_secrets, listed
+from facetlake.llm.quality import DELTA, RISK, RULES, judge_quality
+from facetlake.llm.secrets import KINDS, find_secrets, listed
 from facetlake.llm.url_filter import judge_urls
 
 RULE_ROWS = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -27,7 +27,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
-    n = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
 
 
@@ -39,12 +39,12 @@ QUERIES = {"op1_quality": op1_quality, "op3_url_filter": op3_url_filter, "op6_se
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-_RULES_SQL = " UNION ALL ".join(f"SELECT '{s}' AS signal, {i} AS step, {c!r}::DOUBLE AS cutoff" for s, cs in RULES.items() for i, c in enumerate(cs, 1))
-_SIGNAL_SQL = "CASE signal " + " ".join(f"WHEN '{s}' THEN {s}" for s in RULES) + " END"
+_STEPS_SQL = ", ".join(f"({i}, {', '.join(f'{c!r}::DOUBLE' for c in cs)})" for i, cs in enumerate(zip(*RULES.values(), strict=True), 1))
+_OVER_SQL = " OR ".join(f"{s} > c_{s}" for s in RULES)
 
 OP1_SQL = rf"""
 WITH t AS (
-  SELECT doc_id, CASE WHEN lang IN ({", ".join(f"'{s}'" for s in STRATA)}) THEN lang ELSE 'other' END AS stratum,
+  SELECT doc_id, coalesce(lang, 'und') AS stratum,
     coalesce(text, '') AS x, {WORDS} AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
@@ -56,7 +56,7 @@ ex AS (SELECT rid, unnest(wins) AS win, generate_subscripts(wins, 1) AS i FROM w
 dup AS (SELECT rid, i, i - lag(i, 1, -5) OVER (PARTITION BY rid ORDER BY i) AS gap FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM ex) WHERE n > 1),
 rep AS (SELECT rid, sum(least(5, gap))::BIGINT AS n FROM dup GROUP BY rid),
 f AS (
-  SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  SELECT doc_id, stratum, x, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
     len(lines) AS n_lines, length(x) - length(replace(x, '!', '')) AS n_bangs, length(x) - length(regexp_replace(x, '\p{{Lu}}', '', 'g')) AS n_upper
@@ -67,24 +67,25 @@ g AS (
     coalesce(n_upper / nullif(word_chars, 0), 0) AS upper_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio,
     coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_ratio, coalesce(word_chars / nullif(n_words, 0), 0) AS word_length
   FROM f),
-rules AS ({_RULES_SQL}),
+steps(step, {", ".join(f"c_{s}" for s in RULES)}) AS (VALUES {_STEPS_SQL}),
 lab AS (SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+trials AS (SELECT stratum, x, max(good) AS good, {", ".join(f"any_value({s}) AS {s}" for s in RULES)} FROM g JOIN lab USING (doc_id) WHERE NOT base_failed GROUP BY stratum, x),
+sizes AS (SELECT *, row_number() OVER (ORDER BY n_good DESC, stratum) AS rank FROM (SELECT stratum, count(*) FILTER (good = 1) AS n_good FROM trials GROUP BY stratum)),
+able AS (SELECT coalesce(max(rank) FILTER (n_good * ln(1 - {RISK!r}::DOUBLE) <= ln({DELTA!r}::DOUBLE / rank)), 0) AS tested FROM sizes),
 counts AS (
-  SELECT stratum, signal, step, cutoff, count(*) FILTER (good = 1) AS n_good,
-    count(*) FILTER (good = 1 AND {_SIGNAL_SQL} > cutoff) AS k, count(*) FILTER (good <> 1 AND {_SIGNAL_SQL} > cutoff) AS bad
-  FROM g JOIN lab USING (doc_id) CROSS JOIN rules WHERE NOT base_failed GROUP BY ALL),
-tested AS (
-  SELECT *, CASE WHEN k > n_good * {RISK / len(RULES)!r} THEN 1.0 ELSE
+  SELECT stratum, step, n_good, tested, count(*) FILTER (good = 1 AND ({_OVER_SQL})) AS k, count(*) FILTER (good <> 1 AND ({_OVER_SQL})) AS bad
+  FROM trials JOIN sizes USING (stratum) JOIN able ON rank <= tested CROSS JOIN steps GROUP BY stratum, step, n_good, tested),
+probed AS (
+  SELECT *, CASE WHEN k > n_good * {RISK!r} THEN 1.0 ELSE
     list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1)
-      + i * ln({RISK / len(RULES)!r}) + (n_good - i) * ln(1 - {RISK / len(RULES)!r})))) END AS p
+      + i * ln({RISK!r}::DOUBLE) + (n_good - i) * ln(1 - {RISK!r}::DOUBLE)))) END AS p
   FROM counts),
-passed AS (SELECT *, max(p) OVER (PARTITION BY stratum, signal ORDER BY step) AS worst FROM tested),
+passed AS (SELECT *, max(p) OVER (PARTITION BY stratum ORDER BY step) AS worst FROM probed),
 best AS (
-  SELECT stratum, signal, cutoff FROM passed WHERE worst <= {DELTA / (len(RULES) * (len(STRATA) + 1))!r} AND bad - k > 0
-  QUALIFY row_number() OVER (PARTITION BY stratum, signal ORDER BY bad - k DESC, step) = 1),
-cut AS (SELECT stratum, {", ".join(f"max(cutoff) FILTER (signal = '{s}') AS c_{s}" for s in RULES)} FROM best GROUP BY stratum),
+  SELECT stratum, step FROM passed WHERE worst <= {DELTA!r}::DOUBLE / tested AND bad - k > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad - k DESC, step) = 1),
 judged AS (
-  SELECT g.*, CASE {" ".join(f"WHEN {s} > c_{s} THEN '{s}'" for s in RULES)} END AS failed_rule FROM g LEFT JOIN cut USING (stratum))
+  SELECT g.*, CASE {" ".join(f"WHEN {s} > c_{s} THEN '{s}'" for s in RULES)} END AS failed_rule FROM g LEFT JOIN best USING (stratum) LEFT JOIN steps USING (step))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rule IS NULL AS kept, failed_rule FROM judged
 """
 
@@ -110,27 +111,47 @@ def _spans_sql(name: str, pattern: str, kind: int, keep: str) -> str:
 {name} AS (SELECT rid, {kind} AS kind, e - length(s) AS a, e AS b FROM {name}_e WHERE {keep})"""
 
 
-_ASSIGN_SQL = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?(?:[A-Za-z0-9+/_.=-]+)"""
-_ASSIGN_KEEP = r"""length(regexp_extract(s, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 12"""
-OP6_SQL = rf"""
+_ASSIGN_SQL = r'''(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?(?:[A-Za-z0-9+/_.=-]+)'''
+_ASSIGN_KEEP = r'''length(regexp_extract(s, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 12'''
+_CLIENT_SQL = r'''(?:(?i:client_?id|user_?name|login))["']?\x20*[:=]\x20*["']?(?:[A-Za-z0-9@._-]+)'''
+_CLIENT_KEEP = r'''length(regexp_extract(s, '((?i:client_?id|user_?name|login))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9@._-]+)', 2)) >= 4'''
+
+
+def _beside_sql(table: str, *parts: str) -> str:
+    '''Condition: a row of each of the parts is at most 300 code points from the row of ``table``.'''
+    return " AND ".join(f"EXISTS (SELECT 1 FROM {p} z WHERE z.rid = {table}.rid AND z.a - {table}.b <= 300 AND {table}.a - z.b <= 300)" for p in parts)
+
+
+OP6_SQL = rf'''
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
 {_spans_sql("assign", _ASSIGN_SQL, 0, _ASSIGN_KEEP)},
 {_spans_sql("access", "AKIA[A-Z0-9]+", 1, "length(s) >= 18")},
 {_spans_sql("hexa", "[0-9a-f]+", 2, "length(s) >= 16")},
-{_spans_sql("weak", "[A-Za-z0-9+/=]+", 3, "length(s) = 40")},
-{_spans_sql("ends", "https?://[A-Za-z0-9.-]+", 4, "true")},
-sec AS (SELECT * FROM weak WHERE EXISTS (SELECT 1 FROM access z WHERE z.rid = weak.rid AND abs(z.a - weak.a) <= 300)),
+{_spans_sql("runs", "[A-Za-z0-9+/=]+", 3, "length(s) = 40 OR length(s) >= 100")},
+{_spans_sql("temp", "ASIA[A-Z0-9]+", 4, "length(s) = 20")},
+{_spans_sql("clients", _CLIENT_SQL, 5, _CLIENT_KEEP)},
+{_spans_sql("accounts", "[0-9]+", 7, "length(s) = 12")},
+{_spans_sql("ends", "https?://[A-Za-z0-9.-]+", 8, "true")},
+weak AS (SELECT * FROM runs WHERE b - a = 40),
+sessions AS (SELECT rid, 6 AS kind, a, b FROM runs WHERE b - a >= 100),
+ids AS (SELECT * FROM access UNION ALL SELECT * FROM temp),
+sec AS (SELECT * FROM weak WHERE {_beside_sql("weak", "ids")}),
+tmp AS (SELECT * FROM temp WHERE {_beside_sql("temp", "weak")}),
+cli AS (SELECT * FROM clients WHERE {_beside_sql("clients", "assign")}),
+who AS (SELECT * FROM access UNION ALL SELECT * FROM tmp UNION ALL SELECT * FROM cli),
 parts AS (SELECT * FROM sec UNION ALL SELECT * FROM assign),
-eps AS (SELECT * FROM ends WHERE EXISTS (SELECT 1 FROM access z WHERE z.rid = ends.rid AND abs(z.a - ends.a) <= 300)
-  AND EXISTS (SELECT 1 FROM parts z WHERE z.rid = ends.rid AND abs(z.a - ends.a) <= 300)),
+ses AS (SELECT * FROM sessions WHERE {_beside_sql("sessions", "tmp", "sec")}),
+acc AS (SELECT * FROM accounts WHERE {_beside_sql("accounts", "access", "sec")}),
+eps AS (SELECT * FROM ends WHERE {_beside_sql("ends", "who", "parts")}),
 base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hexa),
-every AS (SELECT * FROM base UNION ALL SELECT * FROM sec UNION ALL SELECT * FROM eps),
-named AS (SELECT rid, kind, a, b, ['assign', 'access', 'hex', 'weak_secret', 'endpoint'][kind + 1] || ':' || a || ':' || b AS s FROM every),
+added AS (SELECT * FROM sec UNION ALL SELECT * FROM tmp UNION ALL SELECT * FROM cli UNION ALL SELECT * FROM ses UNION ALL SELECT * FROM acc UNION ALL SELECT * FROM eps),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM added WHERE NOT EXISTS (SELECT 1 FROM base z WHERE z.rid = added.rid AND z.a < added.b AND added.a < z.b)),
+named AS (SELECT rid, kind, a, b, {list(KINDS)!r}[kind + 1] || ':' || a || ':' || b AS s FROM every),
 rolled AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   coalesce(string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3), '') AS base, string_agg(s, ',' ORDER BY a, kind) AS spans FROM named GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN rolled USING (rid)
-"""
+'''
 
 OP10_SQL = rf"""
 WITH b AS (

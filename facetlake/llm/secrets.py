@@ -1,54 +1,79 @@
 """Secret scans with multipart credential linking (DataFrame functions only).
 
-Strong patterns are reported by themselves. Weak candidates (a bare 40-character
-secret, an endpoint) are reported only next to the parts that complete them: a
-secret with an access identifier in its scope, an endpoint with both an access
-identifier and a secret. Scopes are ``scope`` code points wide; the interval
-join deals spans by (document, scope-sized cell), each part also to its two
-neighbour cells, and is a semi join, so no pair is ever made.
+Strong patterns are reported by themselves. Weak candidates are reported only
+where the parts that complete them lie in one scope with them:
+
+| kind | candidate | needs |
+|---|---|---|
+| weak_secret | a run of exactly 40 base64 characters | an access identifier, lasting or temporary |
+| temp_access | a temporary access identifier | a weak secret |
+| client | a client or user name with its value | an assigned secret |
+| session | a run of 100 or more base64 characters | a reported temporary identifier and a reported weak secret |
+| account | a run of exactly 12 digits | a lasting access identifier and a reported weak secret |
+| endpoint | a URL's scheme and host | a reported identifier or client, and a reported or assigned secret |
+
+Two spans share a scope if at most ``scope`` code points lie between the end of
+one and the start of the other. The interval join deals spans by (row, cell), a
+cell being ``scope`` code points; a part also goes to the cells it reaches, and
+as the join is a semi join no pair is ever made. A weak span that overlaps a
+strong one is not reported again, but counts as a part.
 
 Positions come from the same matcher as the matches: the pieces between matches
-and the matches themselves, laid end to end, give every offset.
+and the matches themselves, laid end to end, give every offset by a running sum
+over a row's matches. So the work grows with the text and its matches only.
 
 Defined results: a null or empty text has no spans and the digest of the empty
-string; documents with repeated or null ids are kept apart by row; an empty
-table gives no rows; other columns are ignored.
+string; documents with repeated or null ids are kept apart by row; equal starts
+are listed in the order of ``KINDS``; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.llm.common import let, written
 
+#: In the order in which equal starts are listed.
+KINDS = ("assign", "access", "hex", "weak_secret", "temp_access", "client", "session", "account", "endpoint")
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+CLIENT = "((?i:client_?id|user_?name|login))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9@._-]+)"
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-WEAK_SECRET = "[A-Za-z0-9+/=]{40,}"
+TEMP = "ASIA[A-Z0-9]{16,}"
+RUN = "[A-Za-z0-9+/=]{40,}"
+DIGITS = "[0-9]{12,}"
 ENDPOINT = "https?://[A-Za-z0-9.-]+"
-#: In the order in which equal starts are listed.
-KINDS = ("assign", "access", "hex", "weak_secret", "endpoint")
-SPANS = "array<struct<start:int,kind:int,end:int>>"
-
+SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
+MATCH = "array<struct<pattern:int,i:int,gap:int,n:int,kind:int>>"
+
+
+def matches(text: Column, number: int, pattern: str, kind, group: int = 0) -> Column:
+    """(pattern, i, gap before it, length, kind or null) of the leftmost non-overlapping matches; ``kind`` gets the length of ``group``."""
+    made = let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda m: let(
+            F.split(text, pattern, -1),
+            lambda p: F.transform(
+                m,
+                lambda x, i: F.struct(
+                    F.lit(number).alias("pattern"), i.alias("i"), F.length(F.get(p, i)).alias("gap"), F.length(x).alias("n"), kind(F.length(F.regexp_extract(x, pattern, group) if group else x)).cast("int").alias("kind")
+                ),
+            ),
+        ),
+    )
+    return F.when(F.regexp_like(text, F.lit(pattern)), made).otherwise(F.array().cast(MATCH))
 
-def spans_of(text: Column, pattern: str, kind: str, keep=None, group: int = 0) -> Column:
-    """(start, kind, end) of the leftmost non-overlapping matches; ``keep`` tests the length of ``group``."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
-    def measure(m: Column, p: Column) -> Column:
-        return F.transform(m, lambda x, i: F.struct(F.length(F.get(p, i)).alias("gap"), F.length(x).alias("n"), (F.length(x) if not group else F.length(F.regexp_extract(x, pattern, group))).alias("tested")))
+def one_kind(name: str, test=None):
+    """The kind's number if the length passes the test."""
+    number = F.lit(KINDS.index(name))
+    return lambda n: F.when(test(n), number) if test else number
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + x["n"]).alias("end"))
-        out = F.concat(acc["out"], F.array(span))
-        return F.struct((start + x["n"]).alias("at"), (out if keep is None else F.when(keep(x["tested"]), out).otherwise(acc["out"])).alias("out"))
 
-    made = let(found, lambda m: let(pieces, lambda p: F.aggregate(measure(m, p), first, step, lambda acc: acc["out"])))
-    return F.when(F.regexp_like(text, F.lit(pattern)), made).otherwise(F.array().cast(SPANS))
+def run_kind(n: Column) -> Column:
+    return F.when(n == 40, F.lit(KINDS.index("weak_secret"))).when(n >= 100, F.lit(KINDS.index("session")))
 
 
 def listed(spans: Column) -> Column:
@@ -57,44 +82,83 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def all_spans(docs: DataFrame) -> DataFrame:
+    """(row, start, kind, end) of all strong and weak candidates; docs: row, text."""
+    t, none = F.col("text"), F.array().cast(MATCH)
+    strong = docs.select(
+        "row",
+        "text",
+        matches(t, 0, ASSIGN, one_kind("assign", lambda n: n >= 12), 2).alias("assign"),
+        matches(t, 1, ACCESS, one_kind("access")).alias("access"),
+        matches(t, 2, HEX, one_kind("hex")).alias("hex"),
+        F.when(F.contains(t, F.lit("ASIA")), matches(t, 3, TEMP, one_kind("temp_access", lambda n: n == 20))).otherwise(none).alias("temp"),
+    )
+    keyed = (F.size("access") > 0) | (F.size("temp") > 0)
+    linked = keyed | (F.size("assign") > 0)
+    weak = [
+        F.when(keyed, matches(t, 4, RUN, run_kind)).otherwise(none),
+        F.when(F.size("assign") > 0, matches(t, 5, CLIENT, one_kind("client", lambda n: n >= 4), 2)).otherwise(none),
+        F.when(keyed, matches(t, 6, DIGITS, one_kind("account", lambda n: n == 12))).otherwise(none),
+        F.when(linked, matches(t, 7, ENDPOINT, one_kind("endpoint"))).otherwise(none),
+    ]
+    found = strong.select("row", F.inline(F.concat("assign", "access", "hex", "temp", *weak)))
+    at = Window.partitionBy("row", "pattern").orderBy("i")
+    end = F.sum((F.col("gap") + F.col("n")).cast("bigint")).over(at)
+    return found.withColumn("end", end).filter("kind is not null").select("row", (F.col("end") - F.col("n")).alias("start"), "kind", "end")
+
+
 def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", scope: int = 300) -> DataFrame:
     """doc_id, base (strong spans) and added (linked weak spans), each an array of (start, kind, end)."""
-    t = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    #: ids and spans of one scan, so that row numbers agree
+    kept = written(rows.select("row", "doc_id", matched(F.col("text")).alias("text")), "secret-rows")
+    spans = written(all_spans(kept.filter("text is not null").select("row", "text")), "secret-spans")
+    strong = spans.filter(F.col("kind") < 3)
+    added = outside(link_parts(spans, scope), strong, scope)
+    both = strong.unionByName(added).groupBy("row").agg(F.collect_list(F.when(F.col("kind") < 3, F.struct("start", "kind", "end"))).alias("base"), F.collect_list(F.when(F.col("kind") >= 3, F.struct("start", "kind", "end"))).alias("added"))
     none = F.array().cast(SPANS)
-    first = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select(
-        "doc_id",
-        t.alias("text"),
-        spans_of(t, ASSIGN, "assign", lambda n: n >= 12, 2).alias("assign"),
-        spans_of(t, ACCESS, "access").alias("access"),
-        spans_of(t, HEX, "hex").alias("hex"),
-    )
-    linked = F.size("access") > 0
-    found = first.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        "assign",
-        "access",
-        "hex",
-        F.when(linked, spans_of(F.col("text"), WEAK_SECRET, "weak_secret", lambda n: n == 40)).otherwise(none).alias("weak"),
-        F.when(linked, spans_of(F.col("text"), ENDPOINT, "endpoint")).otherwise(none).alias("endpoint"),
-    )
-    found = written(found, "secret-spans")
-    added = link_parts(found, scope).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
-    return found.join(added, "row", "left").select("doc_id", "assign", "access", "hex", F.concat("assign", "access", "hex").alias("base"), F.coalesce("added", none).cast(SPANS).alias("added"))
+    return kept.select("row", "doc_id").join(both, "row", "left").select("doc_id", F.coalesce("base", none).cast(SPANS).alias("base"), F.coalesce("added", none).cast(SPANS).alias("added"))
+
+
+def matched(text: Column) -> Column:
+    """The text if it has any strong match or temporary identifier, else null."""
+    strong = F.regexp_like(text, F.lit(ASSIGN)) | F.regexp_like(text, F.lit(ACCESS)) | F.regexp_like(text, F.lit(HEX)) | F.contains(text, F.lit("ASIA"))
+    return F.when(strong, text)
+
+
+def cells(first: Column, last: Column, scope: int) -> Column:
+    return F.explode(F.sequence(F.floor(first / scope), F.floor(last / scope)))
+
+
+def beside(spans: DataFrame, parts: DataFrame, scope: int) -> DataFrame:
+    """The spans with a part at most ``scope`` away; both: row, start, kind, end."""
+    s = spans.withColumn("cell", F.floor(F.col("start") / scope)).alias("s")
+    reach = cells(F.col("start") - (F.col("longest") + scope), F.col("end") + scope, scope)
+    longest = spans.groupBy("row").agg(F.max(F.col("end") - F.col("start")).alias("longest"))
+    p = parts.join(longest, "row").withColumn("cell", reach).select("row", "cell", F.col("start").alias("p_start"), F.col("end").alias("p_end")).alias("p")
+    near = (F.col("p_start") - F.col("s.end") <= scope) & (F.col("s.start") - F.col("p_end") <= scope)
+    return s.join(p, (F.col("s.row") == F.col("p.row")) & (F.col("s.cell") == F.col("p.cell")) & near, "left_semi").drop("cell")
+
+
+def outside(spans: DataFrame, base: DataFrame, scope: int) -> DataFrame:
+    """The spans that overlap no base span."""
+    s = spans.withColumn("cell", F.floor(F.col("start") / scope)).alias("s")
+    longest = spans.groupBy("row").agg(F.max(F.col("end") - F.col("start")).alias("longest"))
+    p = base.join(longest, "row").withColumn("cell", cells(F.col("start") - F.col("longest"), F.col("end"), scope)).select("row", "cell", F.col("start").alias("p_start"), F.col("end").alias("p_end")).alias("p")
+    over = (F.col("p_start") < F.col("s.end")) & (F.col("s.start") < F.col("p_end"))
+    return s.join(p, (F.col("s.row") == F.col("p.row")) & (F.col("s.cell") == F.col("p.cell")) & over, "left_anti").drop("cell")
 
 
-def link_parts(found: DataFrame, scope: int) -> DataFrame:
+def link_parts(spans: DataFrame, scope: int) -> DataFrame:
     """Weak spans (row, start, kind, end) with their complements in scope."""
-    part = lambda *names: found.filter(F.size("access") > 0).select("row", F.inline(F.concat(*names)))
-    cell = lambda df, c: df.withColumn("cell", c)
-    near = F.explode(F.array(*[F.floor(F.col("start") / scope) + k for k in (-1, 0, 1)]))
-
-    def beside(weak: DataFrame, parts: DataFrame) -> DataFrame:
-        w = cell(weak, F.floor(F.col("start") / scope)).alias("w")
-        p = cell(parts, near).select("row", "cell", F.col("start").alias("p_start")).alias("p")
-        return w.join(p, (F.col("w.row") == F.col("p.row")) & (F.col("w.cell") == F.col("p.cell")) & (F.abs(F.col("w.start") - F.col("p.p_start")) <= scope), "left_semi").drop("cell")
-
-    access = part("access")
-    secrets = beside(part("weak"), access)
-    endpoints = beside(beside(part("endpoint"), access), secrets.unionByName(part("assign")))
-    return secrets.unionByName(endpoints)
+    part = lambda *names: spans.filter(F.col("kind").isin(*[KINDS.index(n) for n in names]))
+    secrets = beside(part("weak_secret"), part("access", "temp_access"), scope)
+    temporary = beside(part("temp_access"), part("weak_secret"), scope)
+    clients = beside(part("client"), part("assign"), scope)
+    first = written(secrets.unionByName(temporary).unionByName(clients), "secret-links")
+    linked = lambda *names: first.filter(F.col("kind").isin(*[KINDS.index(n) for n in names]))
+    sessions = beside(beside(part("session"), linked("temp_access"), scope), linked("weak_secret"), scope)
+    accounts = beside(beside(part("account"), part("access"), scope), linked("weak_secret"), scope)
+    who = part("access").unionByName(linked("temp_access", "client"))
+    endpoints = beside(beside(part("endpoint"), who, scope), part("assign").unionByName(linked("weak_secret")), scope)
+    return first.unionByName(sessions).unionByName(accounts).unionByName(endpoints)
