@@ -3,11 +3,14 @@
 A text is its byte 2-, 3- and 4-grams (lower-cased), each hashed to one of
 ``BUCKETS`` rows of an embedding table. The mean row goes through a linear layer
 and a softmax. Table and layer are trained together by stochastic gradient
-descent in numpy, on the driver, from a bounded sample of labelled texts
-(``SAMPLE`` texts of up to ``SAMPLE_CHARS`` characters, evenly over the
-languages, chosen by hash); longer texts and the rest are not trained on, but
-every whole text is predicted. As the mean is linear, the trained table and
-layer fold into one row of logits a bucket, and predicting is a gather and a sum.
+descent in numpy, on the driver, from a bounded sample of labelled texts: about
+``SAMPLE`` distinct (id, text) pairs, evenly over all languages, at least
+``LEAST`` of each that has so many, chosen by hash; of a text of over
+``SAMPLE_CHARS`` characters, a stretch of that length at a place given by its
+hash. Every language in the labels is learned; more than ``MAX_LANGS`` are an
+error, as the model comes to every task. Every whole text is predicted. As the
+mean is linear, the trained table and layer fold into one row of logits a
+bucket, and predicting is a gather and a sum.
 
 Calibration: a tenth of the sample is kept out of training. On it, with snippets
 of many lengths, a temperature is fitted (least log loss) and a rejection
@@ -24,23 +27,25 @@ prediction.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
-SAMPLE, SAMPLE_CHARS, MAX_LANGS = 2400, 20_000, 128
+SAMPLE, SAMPLE_CHARS, LEAST, MAX_LANGS = 2400, 20_000, 8, 1024
 STEPS, RATE, BATCH, SEED, MISS = 400, 3.0, 32, 7, 0.002
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+#: Bytes of a text handled at once.
+PIECE = 1 << 20
 
 
-def subwords(data: np.ndarray) -> np.ndarray:
-    """Buckets of all grams of the bytes, one array; ASCII capitals count as small letters."""
+def subwords(data: np.ndarray, starts: int | None = None) -> np.ndarray:
+    """Buckets of the grams of the bytes (those that begin in the first ``starts``), one array; ASCII capitals count as small letters."""
     b = data.astype(np.uint32)
     b += ((b >= 65) & (b <= 90)).astype(np.uint32) * np.uint32(32)
     grams, found = b, []
@@ -50,7 +55,7 @@ def subwords(data: np.ndarray) -> np.ndarray:
         grams = grams[:-1] * np.uint32(0x01000193) ^ b[n - 1 :]
         if n in ORDERS:
             mixed = (grams ^ grams >> np.uint32(15)) * np.uint32(0x2C1B3C6D + 2 * n)
-            found.append((mixed >> np.uint32(17)).astype(np.int32))
+            found.append((mixed[:starts] >> np.uint32(17)).astype(np.int32))
     return np.concatenate(found) if found else np.zeros(0, np.int32)
 
 
@@ -71,8 +76,8 @@ class Model:
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0
         data, total, n = encoded(text), np.zeros(len(self.langs)), 0
-        for at in range(0, len(data), 1 << 20):  # only for bounded memory: a few grams across pieces are not seen
-            ids = subwords(data[at : at + (1 << 20)])
+        for at in range(0, len(data), PIECE):  # for bounded memory; pieces overlap, and each gram counts where it begins
+            ids = subwords(data[at : at + PIECE + max(ORDERS) - 1], PIECE)
             total += np.bincount(ids, minlength=BUCKETS).astype(np.float32) @ self.logits if len(ids) > BUCKETS // 4 else self.logits[ids].sum(axis=0)
             n += len(ids)
         p = softmax(total / max(n, 1) + self.bias)
@@ -143,16 +148,19 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Train on a sample: the languages are counted first, then each gives its share by hash of the id."""
-    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    share = SAMPLE // max(1, len(counts))
-    dealt = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for c in counts:
-        chosen |= (F.col("lang") == c["lang"]) & (dealt < int(min(1.0, share / c["count"]) * 1_000_000) + 1)
-    fitting = known.filter(chosen).filter(F.length("text").between(1, SAMPLE_CHARS))
-    rows = fitting.select("text", "lang", F.xxhash64("doc_id").alias("key")).limit(2 * SAMPLE).collect()
-    return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["key"], r["text"]))])
+    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != "") & ~held_out(F.col("doc_id")))
+    counts = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages in the labels")
+    share = max(LEAST, SAMPLE // max(1, len(counts)))
+    dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000))
+    #: a margin of four standard deviations, so that hashes give each language its share
+    bar = F.create_map(*[x for c in counts for x in (F.lit(c["lang"]), F.lit(int(min(1.0, (share + 4 * share**0.5) / c["count"]) * 1_000_000_000) + 1))]) if counts else F.create_map().cast("map<string,int>")
+    place = F.lit(1) + F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
+    chosen = known.filter(dealt < bar[F.col("lang")]).select("lang", F.xxhash64("doc_id", "text").alias("key"), F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text")).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
+    rows = chosen.withColumn("rank", rank).filter(F.col("rank") <= share).collect()
+    return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["key"], r["lang"], r["text"]))])
 
 
 def _predict(model: Model):
@@ -173,9 +181,16 @@ def identify(docs: DataFrame, model: Model, *, carry: tuple[str, ...], text: str
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score", "accepted")
 
 
+def _accepted(model: Model, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (model.predict(t.as_py()) for t in batch.column(at))
+            yield batch.filter(pa.array([x != "und" and score >= model.threshold for x, score in found], pa.bool_()))
+
+    return run
+
+
 def keep_identified(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that the language model rejects."""
-    columns = docs.columns
     model = fit(docs, text=text, **options)
-    packed = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col(text).alias("use_text"))
-    return identify(packed, model, carry=("row",), text="use_text").filter("accepted").select("row.*")
+    return docs.mapInArrow(_accepted(model, docs.columns.index(text)), docs.schema)
