@@ -12,13 +12,15 @@ distance (one big integer a column of the pattern's whole length) verifies the
 window: the least edit distance between the item and any substring of it.
 
 Items come to every task, so their number and size are checked: items are dealt
-into blocks of at most ``block_chars`` folded characters, and each block is one
-pass over the documents, whatever the size of the benchmark. A long document is
-folded and scanned in one piece; only its windows are copied.
-
-Defined results: null or blank texts and items match nothing; items of fewer
-than ``min_chars`` folded characters are too short to tell and are skipped;
-repeated documents match each; items with equal text give a match each; an empty
+into blocks of at most ``block_chars`` characters, and each block is one pass
+over the documents, whatever the size of the benchmark. The driver holds one
+block at a time: with more than one, each pass is written before the next block
+is read. A long document is folded and scanned in one piece; only its windows are
+copied.
+
+Defined results: null or blank texts and items match nothing; an item of fewer
+than ``min_chars`` folded characters has no edits to spare and is matched
+exactly, as whole words; repeated documents match each; items with equal text give a match each; an empty
 table on either side gives no matches; other columns are ignored.
 """
 
@@ -32,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, MIN_CHARS, BLOCK_CHARS, BLOCK = 0.1, 40, 8_000_000, 4
+from facetlake.llm.common import written
+
+RATE, MIN_CHARS, BLOCK_CHARS, BLOCK = 0.1, 40, 2_000_000, 4
 OTHER = re.compile(r"[\W_]+")
 
 
@@ -90,7 +94,8 @@ class Matcher:
     """All items of a block behind one automaton."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
-        self.items = [(i, t, int(len(t) * rate), blocks_of(t)) for i, x in items if len(t := folded(x)) >= min_chars]
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= min_chars else 0, blocks_of(t)) for i, x in items if (t := folded(x))]
+        self.words = [len(t) < min_chars for _, t, _, _ in self.items]
         owners: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k, _) in enumerate(self.items):
             for at, piece in pieces(t, k):
@@ -113,6 +118,10 @@ class Matcher:
         found = []
         for n, starts in diagonals.items():
             item, pattern, k, wanted = self.items[n]
+            if self.words[n]:
+                ends = [a + len(pattern) for a in starts if (not a or whole[a - 1] == " ") and whole[a + len(pattern) : a + len(pattern) + 1] in ("", " ")]
+                found += [(item, 0, min(ends))] if ends else []
+                continue
             best = None
             for low, high in merged(sorted(set(starts)), k):
                 a, b = max(0, low - k), min(len(whole), high + len(pattern) + k)
@@ -140,16 +149,25 @@ def merged(starts: list[int], k: int) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
-def _blocks(items: DataFrame, block_chars: int) -> list[list[tuple[object, str]]]:
-    """The items in blocks of bounded size, read row by row so that the driver holds them once."""
-    blocks, size = [[]], 0
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[object, str]]]:
+    """The items in blocks of bounded size, read row by row: the driver holds one block at a time."""
+    block, size = [], 0
     for row in items.toLocalIterator():
-        if blocks[-1] and size + len(row["text"]) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["item_id"], row["text"]))
+        if block and size + len(row["text"]) > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((row["item_id"], row["text"]))
         size += len(row["text"])
-    return blocks
+    yield block
+
+
+def _with_only(blocks: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each block, and whether it is the only one."""
+    block, first = next(blocks), True
+    for after in blocks:
+        yield block, False
+        block, first = after, False
+    yield block, first
 
 
 def _search(items: list[tuple[object, str]], rate: float, min_chars: int):
@@ -179,10 +197,13 @@ def leaks(docs: DataFrame, items: DataFrame, *, carry: tuple[str, ...] = ("doc_i
     wanted = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).filter("text is not null").orderBy("item_id", "text")
     used = docs.select(F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     schema = ", ".join([*[f"c{i} {used.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry))], "item_id bigint, distance int, end bigint"])
-    found = None
-    for block in _blocks(wanted, block_chars):
+    passes = []
+    for block, one in _with_only(_blocks(wanted, block_chars)):
         part = used.filter("text is not null").mapInArrow(_search(block, rate, min_chars), schema)
-        found = part if found is None else found.unionByName(part)
+        passes.append(part if one else written(part, "leaks"))
+    found = passes[0]
+    for part in passes[1:]:
+        found = found.unionByName(part)
     return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "item_id", "distance", "end")
 
 
@@ -202,6 +223,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id
     """``docs`` without those that hold a benchmark item; no shuffle, a pass for each block of items."""
     wanted = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).filter("text is not null").orderBy("item_id", "text")
     schema = docs.schema
-    for block in _blocks(wanted, block_chars):
+    for block, one in _with_only(_blocks(wanted, block_chars)):
         docs = docs.mapInArrow(_drop(block, schema.names.index(text), rate, min_chars), schema)
+        docs = docs if one else written(docs, "clean")
     return docs
