@@ -1,4 +1,4 @@
-"""SimHash near-duplicate groups by anchor-point covering.
+"""SimHash near-duplicate groups by anchor-point covering, and groups of similar texts.
 
 Fingerprints have 64 bits. Anchors are the words of a covering code: bits 0-22
 and bits 23-45 each carry the binary Golay code (23 bits, 4096 words, covering
@@ -16,10 +16,28 @@ compared with replicas in numpy, in bounded slices, and only the edges of a
 spanning forest leave it. Labels then spread over the edges (large star, small
 star, each round a written table) until nothing changes.
 
+``keep_one`` links texts by a Jaccard similarity of ``LEAST`` or more between the
+sets of their ``SIZE``-word shingles. Prints of two texts at 0.8 differ in about
+ten of 64 bits; anchors for ten bits would take some 400,000 replicas a print, so
+the anchors alone can't give these links. They give the first candidates (two
+bits); the others share one of ``BANDS`` keys, each of ``ROWS`` min-hashes, which
+misses a pair at 0.8 with a chance of 0.0006, a more similar one with less. Every
+link, of either kind, is checked on the texts themselves. The members of a key
+are first compared with one of them, another in each round. Of keys whose
+members still have different labels, those with up to ``CROWD`` members outside
+their most frequent label compare members of different labels pair by pair; others, as a common passage makes them, are split by
+further keys of other min-hashes (the same small chance of a miss again) until
+they are small, so the pairs grow with the members, not with their square. After
+``LEVELS`` splits members agree in most min-hashes and hardly any are unlinked;
+what is left is compared whatever its size.
+
 Defined results: a null or blank text has fingerprint zero, linked like any
 other; repeated rows and ids share fingerprints as any copies; a null id never
 becomes a component id unless all ids of the component are null; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored. For ``keep_one``, null and blank texts
+have no shingles and are one group; a text of fewer words has one shingle; the
+row that stays has the least id (null last), and where ids repeat the least text
+hash.
 """
 
 from __future__ import annotations
@@ -30,10 +48,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.llm.common import written
+from facetlake.llm.repeats import packed
 
 SEED = 42
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -41,6 +61,10 @@ GOLAY = 0b101011100011
 N_BITS, RADIUS = 23, 3
 #: Pairs compared at once, and hashes counted at once.
 SLICE = 1 << 21
+SIZE, LEAST = 5, 0.8
+BANDS, ROWS, ROUNDS, CROWD, LEVELS = 14, 4, 2, 32, 4
+_DRAWN = np.random.default_rng(17).integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32)
+_TIMES, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 
 
 # --- fingerprints -----------------------------------------------------------
@@ -68,7 +92,7 @@ def fingerprint(hashes: list[int]) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(shingle_hashes(t.as_py())) for t in batch.column(1)], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "key", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
 
 # --- anchors ----------------------------------------------------------------
@@ -244,43 +268,173 @@ def least_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rounds grows with the logarithm of the longest path.
     """
     both = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     now = written(both, "edges")
-    while True:
+    was = state(now)
+    while was[0]:
         sides = now.select("a", "b").union(now.select("b", "a")).toDF("u", "v")
         least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = sides.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a > b").distinct()
         new = written(small, "edges")
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
-            return new.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        now = new
+        now, before, was = new, was, state(new)
+        if before == was:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, threshold: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, key, fp) and, for each fingerprint, its component's least id and head row."""
+def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 2, block: int = 50_000) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and component_id for every row."""
     if not 0 <= threshold <= 2:
         raise ValueError("the anchors cover thresholds 0 to 2")
-    used = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
-    prints = written(used.mapInArrow(_fingerprints, f"doc_id {used.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint"), "simhash")
-    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(head).alias("head")), "simhash-distinct")
+    used = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    prints = written(used.mapInArrow(_fingerprints, f"doc_id {used.schema['doc_id'].dataType.simpleString()}, fp bigint"), "simhash")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     labels = least_labels(near_edges(distinct, threshold=threshold, block=block))
-    named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", "head", F.coalesce("label", "fp").alias("label"))
-    component = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min("head").alias("first"))
-    return prints, named.join(component, "label").select("fp", "label", "component_id", "first")
+    named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    component = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(component, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 2, block: int = 50_000) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and component_id for every row."""
-    prints, by_print = _grouped(docs, doc_id, text, threshold, block)
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+# --- groups by similarity ---------------------------------------------------
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(np.array(shingle_hashes(text, SIZE), np.uint64))
+
 
+def min_hashes(hashes: np.ndarray) -> np.ndarray | None:
+    """BANDS x ROWS min-hashes; none for an empty set."""
+    if not len(hashes):
+        return None
+    least, short = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32), (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 1 << 12):
+        np.minimum(least, (_TIMES * short[at : at + (1 << 12)] + _PLUS).min(axis=1), out=least)
+    return least.view(np.int32)
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 2, block: int = 50_000) -> DataFrame:
-    """``docs`` with one row of each group: a row of the least id (and, where ids repeat, the least text hash)."""
-    _, by_print = _grouped(docs, doc_id, text, threshold, block)
-    heads = by_print.groupBy("label").agg(F.first("first").alias("first")).select(F.col("first.doc_id").alias("head_id"), F.col("first.key").alias("head_key"))
-    kept = docs.withColumn("row_key", F.xxhash64(F.col(text))).join(heads, F.col(doc_id).eqNullSafe(F.col("head_id")) & (F.col("row_key") == F.col("head_key")), "left_semi")
+
+def band_keys(level: int) -> Column:
+    """A key for each band of the column ``hashes``; each level deals the min-hashes to bands anew."""
+    order = np.arange(BANDS * ROWS) if not level else np.random.default_rng(level).permutation(BANDS * ROWS)
+    return F.array(*[F.xxhash64(F.lit(level), F.lit(k), *[F.get("hashes", F.lit(int(i))) for i in band]) for k, band in enumerate(order.reshape(BANDS, ROWS))])
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def sketch(text: str | None) -> tuple[int, int, np.ndarray | None]:
+    """(name of the shingle set, fingerprint, min-hashes)."""
+    hashes = shingle_hashes(text, SIZE)
+    distinct = np.unique(np.array(hashes, np.uint64))
+    return xxhash.xxh64_intdigest(distinct.tobytes()), fingerprint(hashes), min_hashes(distinct)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            found = [sketch(t.as_py()) for t in part.column(1)]
+            signed = [pa.array(np.array([f[k] for f in found], np.uint64).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *signed, pa.array([f[2] for f in found], pa.list_(pa.int32()))], ["doc_id", "key", "node", "fp", "hashes"])
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that are similar; rows come sorted by b, whose set is held."""
+    inflate = zstandard.ZstdDecompressor()
+    read = lambda z: shingle_set(inflate.decompress(z.as_buffer()).decode("utf-8", "surrogatepass"))
+    held: tuple[int | None, np.ndarray] = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        b = batch.column(1).to_pylist()
+        near = np.zeros(len(b), bool)
+        for i in range(len(b)):
+            if b[i] != held[0]:
+                held = b[i], read(batch.column(3)[i])
+            near[i] = similarity(read(batch.column(2)[i]), held[1]) >= LEAST
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], ["a", "b"])
+
+
+def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of nodes whose texts are similar; texts: node, data (compressed)."""
+    side = lambda c, d: texts.select(F.col("node").alias(c), F.col("data").alias(d))
+    both = pairs.join(side("a", "data_a"), "a").join(side("b", "data_b"), "b").select("a", "b", "data_a", "data_b")
+    return written(both.mapInArrow(_check, "a bigint, b bigint"), "simhash-similar")
+
+
+def anchor_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs of nodes whose prints are equal or within two bits; distinct: node, fp."""
+    first = written(distinct.groupBy("fp").agg(F.min("node").alias("least")), "simhash-prints")
+    edges = near_edges(first)
+    one = lambda c, d: first.select(F.col("fp").alias(c), F.col("least").alias(d))
+    across = edges.join(one("a", "node_a"), "a").join(one("b", "node_b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    within = distinct.join(first, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return across.unionByName(within)
+
+
+def similar_labels(members: DataFrame, distinct: DataFrame, texts: DataFrame, rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
+    """(node, label) of what is similar to others, label the least node reachable; members: bucket, node; distinct: node, fp, hashes."""
+    near = anchor_pairs(distinct)
+    for end in ("a", "b"):
+        near = near.join(texts.select(F.col("node").alias(end)), end, "left_semi")
+    tested = written(near.select("a", "b").distinct(), "simhash-pairs")
+    edges = checked(tested, texts)
+
+    labels = least_labels(edges)
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal tested, edges, labels
+        known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        new = written(pairs.distinct().join(known, ["a", "b"], "left_anti"), "simhash-pairs")
+        tested, found = tested.unionByName(new), checked(new, texts)
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            labels = least_labels(edges)
+
+    def unlinked(turn: int) -> tuple[DataFrame, DataFrame]:
+        """Members with labels, and the keys with several labels: members outside the most frequent label, and one member."""
+        now = written(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "simhash-now")
+        #: the same middle for all keys that have it, so that their pairs are the same
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("middle"), F.col("label").alias("own")))
+        by_label = now.groupBy("bucket", "label").agg(F.count("*").alias("n"), first.alias("x"))
+        mixed = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), (F.sum("n") - F.max("n")).alias("others"), F.min("x").alias("x"))
+        return now, written(mixed.filter("labels > 1").select("bucket", "others", "x.middle", "x.own"), "simhash-mixed")
+
+    for turn in range(rounds):
+        now, mixed = unlinked(turn)
+        if mixed.isEmpty():
+            return labels
+        compare(now.join(mixed, "bucket").filter("label <> own").select(F.col("node").alias("a"), F.col("middle").alias("b")))
+    for level in range(1, LEVELS + 2):
+        now, mixed = unlinked(rounds + level)
+        small = mixed if level > LEVELS else mixed.filter(F.col("others") <= crowd)
+        left = written(now.join(small.select("bucket"), "bucket", "left_semi"), "simhash-left")
+        right = left.select("bucket", F.col("node").alias("other"), F.col("label").alias("own"))
+        compare(left.join(right, "bucket").filter("node < other AND label <> own").select(F.col("node").alias("a"), F.col("other").alias("b")))
+        large = mixed.filter(F.col("others") > crowd).select("bucket")
+        if level > LEVELS or large.isEmpty():
+            return labels
+        split = now.select("bucket", "node").join(large, "bucket").join(distinct.select("node", "hashes"), "node")
+        members = written(split.select("node", F.explode(F.transform(band_keys(level), lambda k: F.xxhash64("bucket", k))).alias("bucket")), "simhash-members")
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
+    """``docs`` with one row of each group of similar texts."""
+    used = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
+    sketches = used.mapInArrow(_sketches, f"doc_id {used.schema['doc_id'].dataType.simpleString()}, key bigint, node bigint, fp bigint, hashes array<int>")
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    distinct = written(written(sketches, "simhash-sketches").groupBy("node").agg(F.min(head).alias("head"), F.min("fp").alias("fp"), F.min("hashes").alias("hashes")), "simhash-distinct")
+    spread = distinct.filter("hashes is not null").select("node", F.explode(band_keys(0)).alias("bucket"))
+    several = written(spread.groupBy("bucket").count().filter("count > 1").select("bucket"), "simhash-several")
+    members = written(spread.join(several, "bucket"), "simhash-members")
+    wanted = distinct.join(members.select("node").distinct(), "node").select("node", F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key"))
+    at_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & F.col("key").eqNullSafe(F.col("head_key"))
+    texts = written(packed(used.join(wanted, at_head).select("node", F.col("text").cast("binary").alias("data"))).dropDuplicates(["node"]), "simhash-texts")
+    labels = similar_labels(members, distinct.select("node", "fp", "hashes"), texts, rounds, crowd)
+    heads = distinct.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key"))
+    kept = docs.withColumn("row_key", F.xxhash64(F.col(text))).join(heads, F.col(doc_id).eqNullSafe(F.col("head_id")) & F.col("row_key").eqNullSafe(F.col("head_key")), "left_semi")
     once = Window.partitionBy(doc_id, "row_key").orderBy(F.lit(0))
     return kept.withColumn("row_no", F.row_number().over(once)).filter("row_no = 1").select(*docs.columns)

@@ -6,8 +6,9 @@ from collections import defaultdict
 import corpus_pipeline
 from facetlake.llm import decontaminate, langid
 from facetlake.llm.queries_free import tokenizer_file
-from tests.llm.test_free import brute_components, brute_print, brute_tokens
+from tests.llm.test_free import brute_tokens
 from tests.llm.test_native import fill
+from tests.llm.test_similar import brute_heads
 
 
 def plain_mix(docs):
@@ -36,7 +37,7 @@ def test_pipeline_matches_plain_python(spark, sf):
     model = langid.fit(table)
     docs = [d for d in docs if (p := model.predict(d[1]))[0] != "und" and p[1] >= model.threshold]
     assert len(docs) > 0.95 * table.count()
-    heads = set(brute_components([(d, brute_print(t)) for d, t, _ in docs]).values())
+    heads = brute_heads([(d, t) for d, t, _ in docs])
     docs = [d for d in docs if d[0] in heads]
     matcher = decontaminate.Matcher([(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
     docs = [d for d in docs if not matcher.find(d[1])]

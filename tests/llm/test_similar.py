@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from facetlake.llm import similar
+from facetlake.llm import simhash
 
 
 def brute_heads(docs):
@@ -39,8 +39,8 @@ def test_stage_drops_every_near_copy(spark, sf, size):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table, path).collect()) == sorted(heads)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
-def test_groups_and_chains(spark, rounds):
+@pytest.mark.parametrize(("rounds", "crowd"), [(0, 32), (1, 4), (2, 32), (0, 3)])
+def test_groups_and_chains(spark, rounds, crowd):
     """Copies of a text with edits, some similar to others of the group only, beside texts that share a passage."""
     rng = np.random.default_rng(21)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
@@ -58,12 +58,12 @@ def test_groups_and_chains(spark, rounds):
     docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
     heads = brute_heads(docs)
     assert 20 < len(heads) < 60
-    kept = similar.keep_one(spark.createDataFrame(docs, "doc_id int, text string").repartition(3), rounds=rounds)
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id int, text string").repartition(3), rounds=rounds, crowd=crowd)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(heads)
 
 
 def test_similar_on_odd_documents(odd_docs, no_docs):
-    kept = similar.keep_one(odd_docs)
+    kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 1, 2: 1, 5: 1, 7: 1, 8: 2, None: 1})
-    assert similar.keep_one(no_docs).count() == 0
+    assert simhash.keep_one(no_docs).count() == 0
