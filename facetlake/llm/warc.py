@@ -1,24 +1,32 @@
 """WARC archives by way of a chunked record table.
 
-A payload travels as rows (record, chunk number, bytes) of at most ``chunk``
-bytes, in order. The writer opens a record when its first chunk comes, puts
-every chunk through the digest and the compressor as it comes, and closes the
-record after the last: it holds one chunk, never a record. The reader works the
-same way on the archive: inflated in pieces, digested in pieces.
-
-Which record of equal payloads is the response is decided on a narrow table
-(digest, length, id): sizes and digests are made by the scan, the largest id of
-a digest by a map-side combined aggregate. Payloads are shuffled once, by record,
-so groups of equal payloads do not meet in one task.
+Payloads leave the scan as chunk rows (digest, length, chunk number, bytes) of at
+most ``chunk`` bytes; only chunks are shuffled, and only those of payloads that
+become a response. Of equal payloads one set of chunks leaves a task of the scan
+as a rule (the last few thousand digests are remembered), and the writer passes
+over those that come again. Chunks are dealt and sorted by (digest, length,
+number); the row that says which record the response is sorts in front of them.
+The writer opens the record there, puts every chunk through the digest and the
+compressor as it comes, and closes the record after the last: it holds one
+chunk, never a record. The reader works the same way on the archive: inflated in
+pieces, digested in pieces.
+
+Which record of equal payloads is the response is decided on narrow rows (id,
+url, digest, length), counted by all four: of a digest the largest id, of its
+rows the one with the largest url, of fully equal rows one. All others are
+revisits, written without a payload. Digests of very many pages are few, so they
+are joined by broadcast (at most one for every ``HOT`` pages); the rest is a
+shuffle join. Counts become rows in two steps, so not in one task.
 
 File names hold a random part and the manifest (a written table with a row a
 file) lists only files of tasks that ended well.
 
 Defined results: a null payload is an empty one; of equal payloads of at least
-``min_bytes`` bytes the largest id is the response, and rows that repeat that id
-with that payload are responses too; a null id is less than any other (it is
-the response if the group has no other id); an empty table gives no archives and
-no rows; other columns are ignored.
+``min_bytes`` bytes one record is the response, one with the largest id, and all
+others refer to its id, also those with the same id; smaller ones are responses
+each; a null id is less than any other (it is the response if the group has no
+other id); an empty table gives no archives and no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +46,10 @@ from pyspark.sql import functions as F
 from facetlake.llm.common import new_dir, open_fs, written
 
 CHUNK, FILE_BYTES, LEVEL = 1 << 18, 1 << 30, 3
-FIELDS = ["record_id", "url", "response", "refers_to", "digest", "bytes", "chunk_no", "data"]
+#: Pages of a digest from which it is joined by broadcast, rows a count becomes at once, digests a scan task remembers.
+HOT, AT_ONCE, REMEMBERED = 100_000, 10_000, 4096
+RECORD = "digest string, bytes bigint, chunk_no int, record_id bigint, url string, refers_to bigint, data binary"
+FILE = "path string, records bigint, bytes bigint"
 
 
 def base32(sha1_hex: str) -> str:
@@ -103,33 +114,88 @@ class ArchiveWriter:
 
 
 def _write(folder: str, file_bytes: int):
+    """Rows of RECORD, a record's in order: its head (chunk_no -1) and, for a response, its chunks; chunks that come again are passed over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         to = ArchiveWriter(folder, f"part-{part:06d}-{uuid.uuid4().hex}", file_bytes)
+        left, wanted = 0, -1
         for batch in batches:
-            record_id, url, response, refers_to, digest, size, chunk_no = (c.to_pylist() for c in batch.columns[:7])
-            for i, data in enumerate(batch.column(7)):
-                if chunk_no[i] == 0:
-                    to.begin(record_id[i], url[i], response[i], refers_to[i], digest[i], size[i])
-                    left = size[i] if response[i] else 0
-                if left:
+            digest, size, chunk_no, record_id, url, refers_to = (c.to_pylist() for c in batch.columns[:6])
+            for i, data in enumerate(batch.column(6)):
+                if chunk_no[i] < 0:
+                    response = refers_to[i] is None
+                    to.begin(record_id[i], url[i], response, refers_to[i], digest[i], size[i])
+                    left, wanted = size[i] if response else 0, 0
+                    if not left:
+                        to.end(response)
+                elif left and chunk_no[i] == wanted:
                     to.payload(piece := data.as_buffer())
-                    left -= piece.size
-                if not left:
-                    to.end(response[i])
+                    left, wanted = left - piece.size, wanted + 1
+                    if not left:
+                        to.end(True)
         to.close()
         yield pa.RecordBatch.from_pydict({"path": pa.array([f[0] for f in to.files], pa.string()), "records": pa.array([f[1] for f in to.files], pa.int64()), "bytes": pa.array([f[2] for f in to.files], pa.int64())})
 
     return run
 
 
-def record_plan(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """record_id, digest, bytes, response, refers_to: a row for each distinct id and payload."""
-    narrow = pages.select("record_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("bytes"))
-    heads = narrow.groupBy("digest", "bytes").agg(F.max("record_id").alias("head"))
-    planned = narrow.distinct().join(heads, ["digest", "bytes"])
-    response = (F.col("bytes") < min_bytes) | F.col("record_id").eqNullSafe(F.col("head"))
-    return planned.select("record_id", "digest", "bytes", response.alias("response"), F.when(~response, F.col("head")).alias("refers_to"))
+def _chunks(least: int, chunk: int, heads: bool):
+    """Chunk rows of payloads of ``least`` bytes and more; with ``heads``, of smaller ones, each a record of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, None] = {}
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["digest", "bytes", "chunk_no", "record_id", "url", "refers_to", "data"])
+
+        for batch in batches:
+            rows, held = [], 0
+            ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, payload in enumerate(batch.column(2)):
+                raw = payload.as_buffer()
+                if (raw.size < least) != heads:
+                    continue
+                digest = hashlib.sha1(raw)
+                if heads:
+                    rows.append((digest.hexdigest(), raw.size, -1, ids[i], urls[i], None, None))
+                elif digest.digest() in seen:
+                    continue
+                else:
+                    seen[digest.digest()] = None
+                    if len(seen) > REMEMBERED:
+                        del seen[next(iter(seen))]
+                for n, at in enumerate(range(0, raw.size, chunk)):
+                    rows.append((digest.hexdigest(), raw.size, n, None, None, None, raw.slice(at, min(chunk, raw.size - at)).to_pybytes()))
+                    held += chunk
+                    if held >= 1 << 24:
+                        yield table(rows)
+                        rows, held = [], 0
+            yield table(rows)
+
+    return run
+
+
+def record_plan(pages: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(heads, revisits): a row a payload with its response record; a row each other record, with refers_to. Payloads of ``min_bytes`` and more only."""
+    narrow = pages.select("record_id", "url", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("bytes")).filter(F.col("bytes") >= min_bytes)
+    tuples = written(narrow.groupBy("digest", "bytes", "record_id", "url").count(), "warc-tuples")
+    grouped = tuples.groupBy("digest", "bytes").agg(F.max(F.struct("record_id", "url")).alias("head"), F.sum("count").alias("pages"), F.count("*").alias("kinds"))
+    heads = written(grouped, "warc-heads")
+    hot = F.col("kinds") >= HOT
+    common = F.broadcast(heads.filter(hot & (F.col("pages") > 1)).select("digest", "bytes", "head"))
+    rare = heads.filter(~hot & (F.col("pages") > 1)).select("digest", "bytes", "head")
+    often = tuples.join(common, ["digest", "bytes"])
+    seldom = tuples.join(common, ["digest", "bytes"], "left_anti").join(rare, ["digest", "bytes"])
+    own = F.col("record_id").eqNullSafe(F.col("head.record_id")) & F.col("url").eqNullSafe(F.col("head.url"))
+    others = often.unionByName(seldom).select("digest", "bytes", "record_id", "url", F.col("head.record_id").alias("refers_to"), (F.col("count") - own.cast("int")).alias("n")).filter("n > 0")
+    parts = others.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / AT_ONCE))))
+    dealt = parts.repartition("digest", "record_id", "url", "part")
+    copies = F.least(F.col("n") - F.col("part") * AT_ONCE, F.lit(AT_ONCE)).cast("int")
+    revisits = dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("part", "copy", "n")
+    return heads.select("digest", "bytes", "head.record_id", "head.url"), revisits
 
 
 def write_archives(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, chunk: int = CHUNK, file_bytes: int = FILE_BYTES, folder: str | None = None) -> DataFrame:
@@ -137,13 +203,18 @@ def write_archives(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
     folder = folder or new_dir(pages.sparkSession, "warc")
     data = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     used = pages.select(F.col(page_id).cast("bigint").alias("record_id"), F.col(url).alias("url"), data.alias("payload"))
-    plan = record_plan(used, min_bytes).select(F.col("record_id").alias("p_id"), F.col("digest").alias("p_digest"), "bytes", "response", "refers_to")
-    keyed = used.withColumn("digest", F.sha1("payload"))
-    joined = keyed.join(plan, keyed.record_id.eqNullSafe(plan.p_id) & (keyed.digest == plan.p_digest))
-    last = F.when(F.col("response"), F.floor((F.greatest(F.col("bytes"), F.lit(1)) - 1) / chunk)).otherwise(0).cast("int")
-    chunks = joined.select("record_id", "url", "response", "refers_to", "digest", "bytes", F.when(F.col("response"), F.col("payload")).alias("payload"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    rows = chunks.select(*FIELDS[:-1], F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
-    return written(rows.mapInArrow(_write(folder, file_bytes), "path string, records bigint, bytes bigint"), "warc-manifest")
+    heads, revisits = record_plan(used, min_bytes)
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    front = heads.withColumns({"chunk_no": F.lit(-1), "refers_to": F.lit(None).cast("bigint"), "data": F.lit(None).cast("binary")}).select(names)
+    order = ["digest", "bytes", "chunk_no"]
+    responses = front.unionByName(used.mapInArrow(_chunks(min_bytes, chunk, False), RECORD)).repartition("digest", "bytes").sortWithinPartitions(*order)
+    again = revisits.withColumns({"chunk_no": F.lit(-1), "data": F.lit(None).cast("binary")}).select(names)
+    parts = [responses, again, *([used.mapInArrow(_chunks(min_bytes, chunk, True), RECORD)] if min_bytes else [])]
+    files = [written(part.mapInArrow(_write(f"{folder}/{k}", file_bytes), FILE), f"warc-manifest-{k}") for k, part in enumerate(parts)]
+    out = files[0]
+    for part in files[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 class ArchiveReader:
