@@ -13,8 +13,12 @@ first: rightward from the gram to depth ``length``, leftward to
 window that begins s bytes before the gram is repeated exactly if two suffixes
 are in one group at depth length - s to the right and s to the left.
 
-A gram with more than ``group`` kinds of contexts is not sorted in one task: its
-windows are hashed instead, and a map-side combined count finds the equal ones.
+A group with more than ``group`` suffixes is split by its next digits before it is
+sorted, so that no task gets a frequent gram as a whole. Windows that begin s = low
+to high bytes before the gram share its low bytes to the left and length - high
+bytes to the right; halving the range of s makes those shared parts longer, and
+a suffix goes to the group of its own bytes in each half. At the end of the
+halving a group is one window, and a count tells whether it is repeated.
 Equal texts share their key, which is their content's hash, so copies add rows
 to counts but never texts to a task.
 
@@ -34,12 +38,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetlake.llm.common import written
 
-LENGTH, GRAM, GROUP = 200, 64, 20_000
+LENGTH, GRAM, GROUP = 200, 64, 2_000
+#: Suffixes sorted at once.
+SORTED = 10_000
 #: Bytes handled at once, and bits of a position among them.
 PIECE, BITS = 1 << 21, 24
 MASK64 = (1 << 64) - 1
@@ -184,8 +190,8 @@ def split_classes(classes: np.ndarray, digit: np.ndarray) -> np.ndarray:
     return np.unique(classes.astype(np.int64) * 512 + digit, return_inverse=True)[1]
 
 
-def repeated_offsets(group: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest s for which the window that begins s bytes before the gram is repeated in its group; -1 for none.
+def repeated_offsets(group: np.ndarray, left: list[bytes], right: list[bytes], least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest s, from ``least`` to ``most``, for which the window that begins s bytes before the gram is repeated in its group; -1 for none.
 
     Suffixes that end early get a digit of their own (256) there, and depths
     beyond a suffix's end don't count.
@@ -206,7 +212,7 @@ def repeated_offsets(group: np.ndarray, left: list[bytes], right: list[bytes]) -
     low, high = np.full(n, -1), np.full(n, -1)
     before = group
     for s in range(reach + 1):
-        alive = np.flatnonzero((lengths[0] >= LENGTH - s) & (lengths[1] >= s))
+        alive = np.flatnonzero((lengths[0] >= LENGTH - s) & (lengths[1] >= s) & (least <= s) & (s <= most))
         if len(alive) > 1:
             pair = before[alive].astype(np.int64) * n + by_depth[LENGTH - s - GRAM][alive]
             _, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
@@ -219,12 +225,15 @@ def repeated_offsets(group: np.ndarray, left: list[bytes], right: list[bytes]) -
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by gram; whole grams are sorted together, about ``GROUP`` rows at a time."""
+    """Rows come sorted by (low, key); whole groups are sorted together, some thousand rows at a time."""
     held: pa.Table | None = None
 
+    def numbers(table: pa.Table) -> np.ndarray:
+        low, key = (table.column(c).to_numpy() for c in ("low", "key"))
+        return np.cumsum(np.concatenate([[True], (low[1:] != low[:-1]) | (key[1:] != key[:-1])])) - 1
+
     def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        group = np.unique(table.column("gram").to_numpy(), return_inverse=True)[1]
-        low, high = repeated_offsets(group, table.column("left").to_pylist(), table.column("right").to_pylist())
+        low, high = repeated_offsets(numbers(table), *(table.column(c).to_pylist() for c in ("left", "right")), *(table.column(c).to_numpy() for c in ("low", "high")))
         found = (low >= 0) & ~table.column("many").to_numpy()
         pos = table.column("pos").to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(table.column(c).to_numpy()[found]) for c in ("k1", "k2")] + [pa.array((pos - high)[found]), pa.array((pos - low + LENGTH)[found])], ["k1", "k2", "start", "end"])
@@ -234,28 +243,16 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         part = pa.Table.from_batches([batch])
         held = part if held is None else pa.concat_tables([held, part])
-        if held.num_rows < GROUP:
+        if held.num_rows < SORTED:
             continue
-        grams = held.column("gram").to_numpy()
-        last = int(np.flatnonzero(grams != grams[-1])[-1]) + 1 if grams[0] != grams[-1] else 0
-        if last:
+        group = numbers(held)
+        if last := int(np.searchsorted(group, group[-1])):
             yield from flush(held.slice(0, last))
             held = held.slice(last)
     if held is not None and held.num_rows:
         yield from flush(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A 128-bit hash of every window of a context that holds the gram."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            text, at = row["left"] + row["right"], len(row["left"])
-            s = [x for x in range(LENGTH - GRAM + 1) if x <= at and at - x + LENGTH <= len(text)]
-            digests = [hashlib.blake2b(text[at - x : at - x + LENGTH], digest_size=16).digest() for x in s]
-            numbers = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"w1": pa.array(numbers[:, 0]), "w2": pa.array(numbers[:, 1]), "k1": pa.array([row["k1"]] * len(s), pa.int64()), "k2": pa.array([row["k2"]] * len(s), pa.int64()), "start": pa.array([row["pos"] - x for x in s], pa.int64())})
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     deflate = zstandard.ZstdCompressor(level=3)
     for batch in batches:
@@ -268,9 +265,51 @@ def packed(df: DataFrame) -> DataFrame:
 
 
 CONTEXT = "gram bigint, k1 bigint, k2 bigint, pos bigint, left binary, right binary, many boolean"
+CONTEXT_COLUMNS = ("gram", "k1", "k2", "pos", "left", "right", "many")
 SPAN = "k1 bigint, k2 bigint, start bigint, end bigint"
 
 
+def digits(low: Column, high: Column) -> Column:
+    """What all windows from low to high share of a context, hashed with the gram."""
+    length = F.octet_length("left")
+    return F.xxhash64("gram", F.substring("left", length - low + 1, low), F.substring("right", F.lit(1), LENGTH - high))
+
+
+def halves(groups: DataFrame) -> DataFrame:
+    """The suffixes of ``groups``, each in the half (or halves) of its range of windows where it has a whole window."""
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    part = F.explode(F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high"))))
+    dealt = groups.withColumn("part", part).withColumn("low", F.col("part.low")).withColumn("high", F.col("part.high")).drop("part")
+    n_left, n_right = F.octet_length("left"), F.octet_length("right")
+    whole = dealt.filter(F.greatest("low", LENGTH - n_right) <= F.least("high", n_left))
+    cut = whole.withColumn("left", F.substring("left", F.greatest(n_left - F.col("high"), F.lit(0)) + 1, F.col("high"))).withColumn("right", F.substring("right", F.lit(1), LENGTH - F.col("low")))
+    return cut.withColumn("key", digits(F.col("low"), F.col("high")))
+
+
+def sorted_spans(contexts: DataFrame, group: int) -> DataFrame:
+    """Spans from suffixes in groups of bounded size, whatever the size of their grams."""
+    now, spans = contexts.withColumn("low", F.lit(0)).withColumn("high", F.lit(LENGTH - GRAM)).withColumn("key", F.col("gram")), []
+    for level in range((LENGTH - GRAM).bit_length() + 1):
+        large = written(now.groupBy("low", "key").count().filter(F.col("count") > group).select("low", "key"), "repeats-large")
+        several = not large.isEmpty()
+        small = now.join(large, ["low", "key"], "left_anti") if several else now
+        dealt = small.select(*CONTEXT_COLUMNS, "low", "high", "key").repartition("low", "key").sortWithinPartitions("low", "key")
+        spans.append(dealt.mapInArrow(_sort, SPAN))
+        if not several:
+            break
+        rest = now.join(large, ["low", "key"], "left_semi")
+        one = F.col("low") == F.col("high")
+        #: a group of one window each: equal windows are counted, not sorted
+        windows = rest.filter(one).select("k1", "k2", "many", (F.col("pos") - F.col("low")).alias("start"), F.concat("left", "right").alias("window"))
+        equal = windows.groupBy("window").count().filter("count > 1").select("window")
+        spans.append(windows.filter("not many").join(equal, "window", "left_semi").select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end")))
+        now = written(halves(rest.filter(~one)), f"repeats-halves-{level}")
+    out = spans[0]
+    for part in spans[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def repeated_spans(texts: DataFrame, group: int = GROUP) -> DataFrame:
     """(k1, k2, spans) of the texts (k1, k2, data) with repeated strings; spans may overlap and pass the end."""
     chosen = texts.select("data", "k1", "k2").mapInArrow(_scan, "gram bigint, context bigint, k1 bigint, k2 bigint, pos bigint")
@@ -280,22 +319,13 @@ def repeated_spans(texts: DataFrame, group: int = GROUP) -> DataFrame:
     kinds = written(shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one")), "repeats-kinds")
     reach = LENGTH - GRAM
     full = shared.join(kinds.filter("n > 1").select("gram", "context"), ["gram", "context"]).select("k1", "k2", F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end"))
-    several = written(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "repeats-several")
-    ones = kinds.join(several, "gram").select("gram", "one.*", (F.col("n") > 1).alias("many"), (F.col("kinds") > group).alias("large"))
-    wanted = ones.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "gram", "many", "large")).alias("wanted"))
+    several = written(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram"), "repeats-several")
+    ones = kinds.join(several, "gram").select("gram", "one.*", (F.col("n") > 1).alias("many"))
+    wanted = ones.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "gram", "many")).alias("wanted"))
     one_each = packed(texts.select("k1", "k2", "data")).dropDuplicates(["k1", "k2"])
     cut = one_each.join(wanted, ["k1", "k2"]).select("k1", "k2", "data", "wanted")
-    large = several.filter(F.col("kinds") > group).select("gram")
     contexts = written(cut.mapInArrow(_cut, CONTEXT), "repeats-contexts")
-    if large.isEmpty():
-        small, spans = contexts, full
-    else:
-        small = contexts.join(large, "gram", "left_anti")
-        windows = contexts.join(large, "gram", "left_semi").select("left", "right", "k1", "k2", "pos").mapInArrow(_windows, "w1 bigint, w2 bigint, k1 bigint, k2 bigint, start bigint").distinct()
-        equal = windows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
-        spans = full.unionByName(windows.join(equal, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end")))
-    dealt = small.repartition("gram").sortWithinPartitions("gram")
-    spans = spans.unionByName(dealt.mapInArrow(_sort, SPAN))
+    spans = full.unionByName(sorted_spans(contexts, group))
     return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 

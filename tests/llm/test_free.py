@@ -144,11 +144,13 @@ def brute_warc(pages):
         groups[h or ""].append(p)
     out = []
     for h, ids in groups.items():
-        known = [p for p in ids if p is not None]
+        raw, known = h.encode(), [p for p in ids if p is not None]
         head = max(known) if known else None
+        first = True
         for p in ids:
-            raw = h.encode()
-            out.append((p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if p == head else "revisit", None if p == head else head))
+            response = first and p == head
+            first = first and not response
+            out.append((p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if response else "revisit", None if response else head))
     return sorted(out, key=str)
 
 
@@ -168,6 +170,18 @@ def test_warc_chunks_and_odd_pages(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(df.filter("false"))).count() == 0
 
 
+def test_warc_of_a_huge_payload_and_many_equal_rows(spark, monkeypatch):
+    """64 MB in one payload; rows that are equal in all columns, more than become rows at once; a digest of many pages."""
+    monkeypatch.setattr(warc, "AT_ONCE", 7)
+    monkeypatch.setattr(warc, "HOT", 3)
+    huge = "0123456789abcdef" * (4 << 20)
+    pages = [(1, huge), (2, "p"), (2, "p"), (3, "q"), *[(9, "same")] * 50, (8, "same"), (7, "same"), (6, "same")]
+    df = spark.createDataFrame([(p, "u", h) for p, h in pages], "page_id long, url string, html string").repartition(3)
+    got = sorted(map(tuple, warc.read_archives(warc.write_archives(df)).collect()), key=str)
+    assert got == brute_warc(pages)
+    assert sum(r[3] == "response" for r in got) == 4
+
+
 # --- decontamination -------------------------------------------------------
 
 
@@ -275,6 +289,33 @@ def test_shards_and_index(spark, odd_docs, no_docs):
     assert tokens.read_tokens(tokens.write_tokens(no_docs, tokenizer=tokenizer_file())).count() == 0
 
 
+def test_one_id_over_many_shards(spark):
+    """An id with most rows fills several shards; keyed access finds all its records and opens no other shard."""
+    docs = spark.createDataFrame([(7, f"text {i} of a hot id") for i in range(300)] + [(i, f"own text {i}") for i in range(100)] + [(None, "no id")], "doc_id long, text string")
+    manifest = tokens.write_tokens(docs.repartition(5), tokenizer=tokenizer_file(), shard_ids=200)
+    assert manifest.filter("7 between least_key and greatest_key").count() > 3
+    rows = {(r.doc_id, r.start): r for r in tokens.read_tokens(manifest).collect()}
+    assert len(rows) == 401
+    found = tokens.lookup(manifest, [7, 8, 99, 100])
+    assert {k: len(v) for k, v in found.items()} == {7: 301, 8: 1, 99: 1}
+    crc = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
+    assert sorted(map(crc, found[7])) == sorted(r.ids_crc32 for (d, _), r in rows.items() if d == 7)
+
+
+def test_long_and_odd_texts_encode_like_the_library():
+    """Texts over a block, pieces over a key, new and foreign characters, and a table that starts anew."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(8)
+    ours, theirs = tokens.Encoder(tokenizer_file()), Tokenizer.from_file(tokenizer_file())
+    signs = list("abcdefghij  ABCé中ж0159'''.,\n\t\\xa0\\u3000—“½²\\U0001f600\\U0001faf8\\u200b\\u1c80") + ["'re", "'ll", "'ve", "'s", " 't", "'m", "'d"]
+    texts = ["".join(rng.choice(signs, int(n))) for n in rng.integers(1, 300, 200)]
+    texts += ["x" * 5000, "", " ", "plain words and more " * 70_000, "a" * 3_000_000 + " b", " ".join("".join(rng.choice(signs[:10], 30)) for _ in range(40_000))]
+    for _ in range(2):
+        assert ours.encode(texts) == [np.array(e.ids, ours.kind).tobytes() for e in theirs.encode_batch(texts, add_special_tokens=False)]
+        ours.table.clear()
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).choice(1 << 40, 20_000, replace=False).astype(np.int64) - (1 << 39)
     index = tokens.PerfectHash.build(keys)
@@ -325,7 +366,7 @@ def planted(seed, n_docs=60):
     return texts + texts[:3] + ["", "x" * 199, "x" * 200]
 
 
-@pytest.mark.parametrize(("seed", "group"), [(1, 20_000), (2, 20_000), (3, 2), (4, 1)])
+@pytest.mark.parametrize(("seed", "group"), [(1, 20_000), (2, 20_000), (3, 2), (4, 1), (5, 3), (6, 8)])
 def test_planted_passages(spark, seed, group):
     texts = planted(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
