@@ -31,7 +31,7 @@ def joined_evidence(items: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def ordered_words(concept: Column, evidence: Column) -> Column:
     """Whether a label's words stand in a text in their order."""
-    return R.column(lambda c, e: any(True for _ in R.ordered_spans([R.word_forms(w) for w in R.words(c)], [R.word_forms(w) for w in R.words(e)])), "boolean")(concept, evidence)
+    return R.column(lambda c, e: R.tightest(R.tokens(c), R.tokens(e)) is not None, "boolean")(concept, evidence)
 
 
 def targets(gold: DataFrame) -> DataFrame:
