@@ -27,6 +27,15 @@ def tfidf(documents: DataFrame, keys: Sequence[str], tokens: str = "tokens") ->
     return unit(terms.join(seen, "term").withColumn("total", total).select(*keys, "term", weight.alias("weight")), keys)
 
 
+def normalized(weights: DataFrame, keys: Sequence[str], weight: str = "weight") -> tuple[DataFrame, DataFrame]:
+    """(weights that add up to 1 under each key, keys that can't be normalised: a negative or missing weight, or no positive one)."""
+    rows = Window.partitionBy(*keys)
+    total = F.sum(weight).over(rows)
+    bad = weights.groupBy(*keys).agg(F.sum(weight).alias("total"), F.min(weight).alias("least"), F.count_if(F.col(weight).isNull()).alias("missing"))
+    wrong = bad.filter((F.col("missing") > 0) | (F.col("least") < 0) | ~(F.coalesce("total", F.lit(0.0)) > 0)).select(*keys)
+    return weights.withColumn(weight, F.try_divide(F.col(weight), total)), wrong
+
+
 def one_hot(concepts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unit vectors with equal weights on a key's distinct terms."""
     return unit(concepts.select(*keys, "term").distinct().withColumn("weight", F.lit(1.0)), keys)

@@ -69,6 +69,11 @@ def postings(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy("facet", "concept").agg(F.count_distinct("paper_id").alias("n_papers"))
 
 
+def index(concepts: DataFrame) -> DataFrame:
+    """The inverted index as rows (facet, concept, paper_id), each once: a common concept is many rows, never one large list."""
+    return concepts.select("facet", "concept", "paper_id").distinct()
+
+
 def sharing(anchors: DataFrame, concepts: DataFrame) -> DataFrame:
     """(anchor_id, paper_id) of other papers that share a concept with the anchor in any facet."""
     own = anchors.join(concepts, anchors.anchor_id == concepts.paper_id).select("anchor_id", "facet", "concept")

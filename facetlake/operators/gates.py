@@ -24,6 +24,18 @@ def violations(df: DataFrame, **rules: Column) -> DataFrame:
     return counted.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n_violations")) for n in rules])))
 
 
+def concept_list(column: str) -> Column:
+    """A list of trimmed, nonempty concepts, each once whatever its case; empty lists are fine, null is not."""
+    trimmed = F.forall(column, lambda c: (F.trim(c) == c) & (c != ""))
+    once = F.size(F.array_distinct(F.transform(column, F.lower))) == F.size(column)
+    return F.col(column).isNotNull() & trimmed & once
+
+
+def bad_pools(cases: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(cases whose pool has another size, repeated papers of a pool)."""
+    return cases.groupBy("case_id").count().filter(F.col("count") != size), repeated(cases, ["case_id", "paper_id"])
+
+
 def check_schema(df: DataFrame, wanted: dict[str, str]) -> None:
     """Exactly these columns, of these types."""
     if (got := dict(df.dtypes)) != wanted:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from facetlake.functions import rules
 from facetlake.functions import vectors as V
-from facetlake.functions.metrics import prf
+from facetlake.functions.metrics import prf, prf_by_facet
 from facetlake.operators.gates import require_none
 
 
@@ -99,6 +99,19 @@ def match_labels(gold: DataFrame, predicted: DataFrame, embeddings: DataFrame, s
     return exact.unionByName(typed), scored.filter("blocked is not null").groupBy("blocked").count()
 
 
+def evaluate(gold: DataFrame, predicted: DataFrame, embeddings: DataFrame | None = None, sources: DataFrame | None = None, threshold: float = 0.85) -> DataFrame:
+    """Counts and P, R, F1 per facet, micro and macro; with embeddings, labels that differ may match and guards apply.
+
+    Every predicted paper must be a reference's, else it is an error; a reference
+    without a prediction misses all its labels.
+    """
+    require_none(predicted.select("paper_id").distinct().join(gold.select("paper_id"), "paper_id", "left_anti"), "a prediction for a paper without a reference")
+    if embeddings is None:
+        return prf_by_facet(exact_counts(gold, predicted))
+    matched, _ = match_labels(gold, predicted, embeddings, sources, threshold)
+    return prf_by_facet(match_counts(gold, predicted, matched))
+
+
 def match_counts(gold: DataFrame, predicted: DataFrame, matched: DataFrame) -> DataFrame:
     """(paper_id, facet, tp, fp, fn) given the matched pairs."""
     n = lambda df, c: df.groupBy("paper_id", "facet").agg(F.count("*").alias(c))

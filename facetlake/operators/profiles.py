@@ -28,6 +28,24 @@ def behavior(score: Column, thresholds: tuple[float, ...] = (-0.25, 0.05, 0.2, 0
     return F.element_at(F.array(*map(F.lit, BEHAVIORS)), level + 1)
 
 
+def affinity(profile: DataFrame, importance: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(user_id, paper_id, affinity): importance times the mean preference for a paper's concepts of a facet, added up; papers without a known concept have no row.
+
+    profile: user_id, facet, concept, weight; importance: user_id, facet, importance.
+    """
+    own = concepts.select("paper_id", "facet", "concept").distinct()
+    sizes = own.groupBy("paper_id", "facet").agg(F.count("*").alias("n"))
+    hits = own.join(profile, ["facet", "concept"]).groupBy("user_id", "paper_id", "facet").agg(F.sum("weight").alias("w"))
+    rows = hits.join(sizes, ["paper_id", "facet"]).join(importance, ["user_id", "facet"])
+    return rows.groupBy("user_id", "paper_id").agg(F.sum(F.col("importance") * F.col("w") / F.col("n")).alias("affinity"))
+
+
+def user_table(history: DataFrame) -> DataFrame:
+    """(user_id, n_events, n_positive, first_ts, last_ts) of a history: user_id, interaction_type, ts."""
+    positive = behavior_weight(F.col("interaction_type")) > 0
+    return history.groupBy("user_id").agg(F.count("*").alias("n_events"), F.count_if(positive).alias("n_positive"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 def visible(history: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Rows of ``history`` strictly before their user's cutoff: an equi-join with a range predicate. cutoffs: case_id, user_id, cutoff."""
     return history.join(cutoffs.select("case_id", "user_id", "cutoff"), "user_id").filter("ts < cutoff")

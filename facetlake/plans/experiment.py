@@ -7,7 +7,6 @@ the evaluator alone.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from facetlake.functions import metrics as M
 from facetlake.operators import gates as G
 from facetlake.operators import profiles as P
 from facetlake.operators.scorers import score_retrieval
-from facetlake.sources.tables import check_manifest, markdown, table_digest, write_csv, write_json
+from facetlake.sources.tables import check_manifest, markdown, table_digest, write_csv, write_json, exists, write_text
 
 
 def evaluate(scores: DataFrame, labels: DataFrame, ks: Sequence[int], groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -35,6 +34,8 @@ def evaluate(scores: DataFrame, labels: DataFrame, ks: Sequence[int], groups: Da
 def check_scores(scores: DataFrame, cases: DataFrame) -> None:
     """Every model ranks every case's pool exactly, with finite scores. Models are few; their names come to the driver."""
     models = [r["model"] for r in scores.select("model").distinct().limit(1001).collect()]
+    if len(models) > 1000:
+        raise G.GateError("more than 1,000 models")
     G.require_none(G.incomplete(scores, cases, models), "a ranking lacks or repeats candidates")
     G.require_none(G.bad_rankings(M.ranked(scores, ["case_id", "model"])), "a score isn't finite")
 
@@ -67,7 +68,7 @@ def period_groups(cases: DataFrame, kinds: DataFrame) -> DataFrame:
 
 def write_run(scores: DataFrame, details: DataFrame, summary: DataFrame, out: str, settings: dict) -> dict:
     """Rankings, details and summary, a report for people, the manifest last. An output that exists is refused."""
-    if Path(out, "manifest.json").exists():
+    if exists(summary.sparkSession, f"{out}/manifest.json"):
         raise G.GateError(f"{out} holds a finished run")
     ranked = M.ranked(scores, ["case_id", "model"])
     nested = ranked.groupBy("case_id", "model").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "paper_id", "score"))), lambda r: F.struct(r["paper_id"].alias("paper_id"), r["score"].alias("score"))).alias("ranking"))
@@ -78,7 +79,7 @@ def write_run(scores: DataFrame, details: DataFrame, summary: DataFrame, out: st
         digests[name] = table_digest(df.sparkSession.read.parquet(f"{out}/{name}.parquet"))
     kept = summary.sparkSession.read.parquet(f"{out}/summary.parquet").orderBy("model", "group_name")
     write_csv(kept, f"{out}/summary.csv", kept.columns)
-    Path(out, "report.md").write_text(markdown(kept, kept.columns), encoding="utf-8")
+    write_text(f"{out}/report.md", markdown(kept, kept.columns))
     manifest = {"settings": settings, "tables": digests, "hidden": {}}
     write_json(f"{out}/manifest.json", manifest)
     return manifest

@@ -251,15 +251,15 @@ def latest_query_wins(spark, sf):
 
 
 def session_inputs(spark, sf):
-    """A session a user: the first part reacted to is the anchor; each day's first two other parts are an exposure."""
+    """A session a user: the first part reacted to is the anchor; each day's other parts, two by two in time order, are exposures."""
     rows = reactions(spark, sf).withColumn("day", F.to_date("ts"))
     first = rows.groupBy("user_id").agg(F.min_by("paper_id", F.struct("ts", "event_id")).alias("query_paper_id"))
     anchors = first.select(F.col("user_id").alias("case_id"), "query_paper_id")
     from pyspark.sql import Window
 
     best = rows.groupBy("user_id", "day", "paper_id").agg(F.min("ts").alias("ts"), F.max_by("interaction_type", F.struct("ts", "event_id")).alias("interaction_type"))
-    others = best.join(first, "user_id").filter("paper_id <> query_paper_id").withColumn("n", F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ts", "paper_id"))).filter("n <= 2")
-    keyed = others.select(F.col("user_id").alias("case_id"), F.concat_ws("-", "user_id", "day").alias("exposure_id"), "n", "paper_id", "interaction_type")
+    others = best.join(first, "user_id").filter("paper_id <> query_paper_id").withColumn("n", F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ts", "paper_id")))
+    keyed = others.select(F.col("user_id").alias("case_id"), F.concat_ws("-", "user_id", "day", F.floor((F.col("n") - 1) / 2)).alias("exposure_id"), "n", "paper_id", "interaction_type")
     exposures = keyed.groupBy("case_id", "exposure_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "paper_id"))), lambda x: x["paper_id"]).alias("paper_ids"))
     return anchors, exposures, keyed.drop("n")
 
@@ -267,8 +267,8 @@ def session_inputs(spark, sf):
 _SESSION_SQL = BASE_SQL + """,
 anchors AS (SELECT user_id AS case_id, arg_min(paper_id, (ts, event_id)) AS query_paper_id FROM reactions GROUP BY ALL),
 best AS (SELECT user_id AS case_id, ts::DATE AS day, paper_id, min(ts) AS ts, arg_max(w, (ts, event_id)) AS w FROM reactions GROUP BY ALL),
-two AS (SELECT b.*, row_number() OVER (PARTITION BY case_id, day ORDER BY ts, b.paper_id) AS n FROM best b JOIN anchors USING (case_id) WHERE b.paper_id <> query_paper_id QUALIFY n <= 2),
-pairs AS (SELECT a.case_id, a.case_id || '-' || a.day AS exposure_id, a.paper_id AS a, b.paper_id AS b, a.w AS w_a, b.w AS w_b FROM two a JOIN two b ON a.case_id = b.case_id AND a.day = b.day AND a.n = 1 AND b.n = 2),
+two AS (SELECT b.*, row_number() OVER (PARTITION BY case_id, day ORDER BY ts, b.paper_id) AS n FROM best b JOIN anchors USING (case_id) WHERE b.paper_id <> query_paper_id),
+pairs AS (SELECT a.case_id, a.case_id || '-' || a.day || '-' || (a.n // 2) AS exposure_id, a.paper_id AS a, b.paper_id AS b, a.w AS w_a, b.w AS w_b FROM two a JOIN two b ON a.case_id = b.case_id AND a.day = b.day AND a.n % 2 = 1 AND b.n = a.n + 1),
 sets AS (SELECT paper_id, facet, list(DISTINCT concept) AS s FROM concepts GROUP BY ALL),
 st AS (SELECT p.*, f.facet, list_has_any(q.s, x.s) AS sa, list_has_any(q.s, y.s) AS sb FROM pairs p JOIN anchors USING (case_id) CROSS JOIN facet_names f
   LEFT JOIN sets q ON q.paper_id = query_paper_id AND q.facet = f.facet LEFT JOIN sets x ON x.paper_id = p.a AND x.facet = f.facet LEFT JOIN sets y ON y.paper_id = p.b AND y.facet = f.facet

@@ -143,7 +143,7 @@ def evidence_grounding(spark, sf):
 @query("guard_reasons")
 def guard_reasons(spark, sf):
     """Why neighbouring sentences can't be the same finding; the guards are Python rules with tests of their own."""
-    docs = table(spark, sf, "documents").select(F.explode(F.arrays_zip(F.split("text", "\n").alias("a"), F.slice(F.split("text", "\n"), 2, 100000).alias("b"))).alias("x"))
+    docs = table(spark, sf, "documents").select(F.split("text", "\n").alias("lines")).select(F.explode(F.arrays_zip(F.col("lines").alias("a"), F.slice("lines", F.lit(2), F.size("lines")).alias("b"))).alias("x"))
     reason = R.column(R.guard, "string")(F.coalesce("x.a", F.lit("")), F.coalesce("x.b", F.lit("")), F.lit("contribution"))
     return docs.groupBy(F.coalesce(reason, F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
 

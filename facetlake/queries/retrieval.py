@@ -27,14 +27,14 @@ def query(name: str, sql: str | None = None):
 
 
 def example_cases(spark, sf):
-    """A case for each brand: its first part is the query, the parts of the same type are the candidates."""
-    part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
-    anchors = part.groupBy("p_brand").agg(F.min_by(F.struct("p_partkey", "p_type"), "p_partkey").alias("a")).select(F.col("p_brand").alias("case_id"), F.col("a.p_partkey").alias("query_paper_id"), F.col("a.p_type").alias("p_type"))
+    """Every part whose id is divisible by 50 is a query; the parts of the same type are its candidates."""
+    part = table(spark, sf, "part").select("p_partkey", "p_type")
+    anchors = part.filter("p_partkey % 50 = 0").select(F.concat(F.lit("Q"), "p_partkey").alias("case_id"), F.col("p_partkey").alias("query_paper_id"), "p_type")
     return anchors.join(part, "p_type").filter("p_partkey <> query_paper_id").select("case_id", "query_paper_id", F.col("p_partkey").alias("paper_id"))
 
 
 CASES_SQL = BASE_SQL + """,
-anchors AS (SELECT p_brand AS case_id, p_partkey AS query_paper_id, p_type FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1),
+anchors AS (SELECT 'Q' || p_partkey AS case_id, p_partkey AS query_paper_id, p_type FROM part WHERE p_partkey % 50 = 0),
 cases AS (SELECT case_id, query_paper_id, p_partkey AS paper_id FROM anchors JOIN part USING (p_type) WHERE p_partkey <> query_paper_id)
 """
 GRADES_SQL = CASES_SQL + """,

@@ -42,13 +42,37 @@ def markdown(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> str:
     return "\n".join(["| " + " | ".join(r) + " |" for r in [list(columns), ["---"] * len(columns), *[[show(r[c]) for c in columns] for r in rows]]]) + "\n"
 
 
-def write_json(path: str | Path, value: object) -> None:
-    """A small document for people, replaced as a whole."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    temporary = target.with_name(target.name + ".part")
-    temporary.write_text(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
-    temporary.replace(target)
+def hadoop_path(spark: SparkSession, path: str | Path):
+    """(file system, path) of any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_text(path: str | Path, text: str, spark: SparkSession | None = None) -> None:
+    """A small document for people, replaced as a whole, in the store that the path names."""
+    spark = spark or SparkSession.active()
+    fs, target = hadoop_path(spark, path)
+    _, part = hadoop_path(spark, f"{path}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"{path} was not written")
+
+
+def write_json(path: str | Path, value: object, spark: SparkSession | None = None) -> None:
+    write_text(path, json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n", spark)
+
+
+def exists(spark: SparkSession, path: str | Path) -> bool:
+    fs, at = hadoop_path(spark, path)
+    return fs.exists(at)
+
+
+def read_json(path: str | Path, spark: SparkSession | None = None) -> object:
+    spark = spark or SparkSession.active()
+    return json.loads(spark.read.text(str(path), wholetext=True).first()["value"])
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +105,7 @@ def write_dataset(tables: dict[str, DataFrame], hidden: dict[str, DataFrame], ou
 
 def check_manifest(spark: SparkSession, out: str, truth: str | None = None) -> dict:
     """The manifest, after its tables were read again and found the same."""
-    manifest = json.loads(Path(out, "manifest.json").read_text())
+    manifest = read_json(f"{out}/manifest.json", spark)
     for kind, folder in (("tables", out), ("hidden", truth)):
         for name, said in manifest[kind].items() if folder else ():
             if table_digest(spark.read.parquet(f"{folder}/{name}.parquet")) != said:
@@ -109,7 +133,7 @@ def opened(envelopes: DataFrame, signature: str, schema: StructType) -> DataFram
 def judged_pool(spark: SparkSession, path: str, facet: str) -> DataFrame:
     """(facet, query_id, paper_id, relevance) of a JSON object: query -> {"cands": [...], "relevance_adju": [...]}."""
     pool = "struct<cands:array<string>,relevance_adju:array<double>>"
-    read = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"map<string,{pool}>", {"mode": "FAILFAST"}).alias("m"))
+    read = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{pool}>", {"mode": "FAILFAST"}).alias("m"))
     each = read.select(F.explode("m").alias("query_id", "pool"))
     return each.select(F.lit(facet).alias("facet"), "query_id", F.inline(F.arrays_zip(F.col("pool.cands").alias("paper_id"), F.col("pool.relevance_adju").alias("relevance"))))
 
