@@ -46,7 +46,7 @@ from facetlake.llm.common import new_dir, open_fs, written
 SHARD_IDS, MAGIC = 1 << 26, b"FLTOKIX2"
 READ_BYTES = 8 << 20
 #: Bytes of text handled at once; pieces and ids remembered before the table starts anew.
-BLOCK, MAX_PIECES, MAX_POOL = 1 << 20, 1 << 21, 1 << 25
+BLOCK, MAX_PIECES, MAX_POOL = 1 << 19, 1 << 19, 1 << 23
 
 
 # --- tokenizing -------------------------------------------------------------
@@ -175,9 +175,9 @@ class PieceTable:
     def put(self, rows: np.ndarray) -> None:
         """Add rows with distinct keys that are not there."""
         self.n += len(rows)
-        if 2 * self.n > len(self.rows):
+        if 4 * self.n > 3 * len(self.rows):
             rows = np.concatenate([self.rows[self.rows[:, 3] != 0], rows])
-            self.rows = np.zeros((1 << (4 * self.n - 1).bit_length(), 4), np.uint64)
+            self.rows = np.zeros((1 << (2 * self.n - 1).bit_length(), 4), np.uint64)
         keys = rows.copy()
         keys[:, 3] &= np.uint64(0xFF)
         at = self.slots(keys)
