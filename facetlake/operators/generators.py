@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -68,26 +70,25 @@ class Config:
         return self
 
 
-class Draws:
-    """Numbers in [0, 1) from hashes of a seed, a name and a counter."""
+class Chance:
+    """Numbers that depend on a seed and on what they are for, not on how many were drawn before."""
 
     def __init__(self, *seed: object):
-        self.seed, self.n = ":".join(map(str, seed)), 0
+        self.seed = ":".join(map(str, seed))
 
-    def __call__(self) -> float:
-        self.n += 1
-        return int.from_bytes(hashlib.md5(f"{self.seed}:{self.n}".encode()).digest()[:6], "big") / (1 << 48)
+    def __call__(self, *what: object) -> float:
+        """A number in [0, 1)."""
+        digest = hashlib.md5(":".join([self.seed, *map(str, what)]).encode()).digest()
+        return int.from_bytes(digest[:6], "big") / (1 << 48)
 
-    def between(self, a: float, b: float) -> float:
-        return a + (b - a) * self()
+    def within(self, bounds: Sequence[float], *what: object) -> float:
+        return bounds[0] + (bounds[1] - bounds[0]) * self(*what)
 
-    def pick(self, values: Sequence, n: int) -> list:
-        """n of the values without replacement."""
-        left = sorted(values)
-        return [left.pop(int(self() * len(left))) for _ in range(min(n, len(left)))]
+    def shuffled(self, values: Iterable, *what: object) -> list:
+        return sorted(values, key=lambda v: (self(*what, v), v))
 
-    def gauss(self, width: float) -> float:
-        return width * math.sqrt(-2 * math.log(1 - self())) * math.cos(2 * math.pi * self())
+    def gauss(self, width: float, *what: object) -> float:
+        return width * math.sqrt(-2 * math.log(1 - self(*what, "r"))) * math.cos(2 * math.pi * self(*what, "a"))
 
 
 def interpolate(old: DataFrame, new: DataFrame, keys: Sequence[str], share: float, weight: str = "weight") -> DataFrame:
@@ -133,108 +134,137 @@ def _far_papers(anchors: DataFrame, concepts: DataFrame, n: int, seed: str) -> D
 EVENTS = "user_id string, kind string, event_id string, session_id string, seconds double, paper_id string, papers array<string>, interaction_type string, text string, parent_id string"
 
 
-def new_profile(papers: dict[str, dict[str, set]], config: Config, draws: Draws) -> tuple[dict, dict]:
-    """Liked concepts of one paper, avoided ones of another, and normalized importance."""
-    liked, avoided = (papers[p] for p in draws.pick([p for p, f in papers.items() if any(f.values())], 2))
-    profile, raw = {}, {}
-    for f in FACETS:
-        good = draws.pick(liked.get(f, set()), config.concepts_per_facet - 1)
-        bad = draws.pick(set(avoided.get(f, set())) - set(good), config.concepts_per_facet - len(good))
-        profile[f] = {c: round(draws.between(*config.positive_range), 6) for c in good} | {c: round(draws.between(*config.negative_range), 6) for c in bad}
-        raw[f] = draws.between(0.05, 1) if profile[f] else 0.0
-    total = sum(raw.values()) or 1.0
-    return profile, {f: w / total for f, w in raw.items()}
+def concept_rows(papers: dict[str, dict[str, set]]) -> pd.DataFrame:
+    """(paper_id, facet, concept) of a catalog."""
+    return pd.DataFrame([(p, f, c) for p, facets in papers.items() for f in FACETS for c in facets.get(f, ())], columns=["paper_id", "facet", "concept"])
 
 
-def affinity(profile: dict, paper: dict[str, set], importance: dict[str, float]) -> float:
-    """Importance-weighted mean preference for the paper's concepts; an empty facet adds nothing."""
-    mean = lambda f: sum(profile[f].get(c, 0.0) for c in paper[f]) / len(paper[f])
-    return sum(importance[f] * mean(f) for f in FACETS if paper.get(f) and profile.get(f))
+def new_profile(concepts: pd.DataFrame, config: Config, chance: Chance) -> tuple[pd.DataFrame, pd.Series]:
+    """(facet, concept, weight) rows and the importance of each facet.
 
+    Two papers are drawn. Of each facet, concepts of the first are liked, one
+    fewer than a facet has room for; concepts of the second alone are avoided and
+    fill the room that is left. Importance is drawn for facets with a concept.
+    """
+    liked, avoided = chance.shuffled(concepts["paper_id"].unique(), "paper")[:2]
+    of = concepts[concepts["paper_id"].isin([liked, avoided])].drop_duplicates(["facet", "concept", "paper_id"])
+    good = of[of["paper_id"] == liked].assign(sign=1)
+    bad = of[of["paper_id"] == avoided].merge(good[["facet", "concept"]], how="left", on=["facet", "concept"], indicator="known")
+    bad = bad[bad["known"] == "left_only"].drop(columns="known").assign(sign=-1)
+
+    def first(rows: pd.DataFrame, room: pd.Series) -> pd.DataFrame:
+        """As many rows of each facet as it has room for, in drawn order."""
+        rows = rows.assign(order=[chance("order", f, c) for f, c in zip(rows["facet"], rows["concept"], strict=True)]).sort_values(["order", "concept"])
+        return rows[rows.groupby("facet").cumcount() < rows["facet"].map(room)]
+
+    room = pd.Series(config.concepts_per_facet, index=list(FACETS))
+    good = first(good, room - 1)
+    bad = first(bad, room.sub(good["facet"].value_counts(), fill_value=0))
+    profile = pd.concat([good, bad])[["facet", "concept", "sign"]].reset_index(drop=True)
+    bounds = {1: config.positive_range, -1: config.negative_range}
+    profile["weight"] = [round(chance.within(bounds[r.sign], "weight", r.facet, r.concept), 6) for r in profile.itertuples()]
+    raw = pd.Series({f: chance.within((0.05, 1), "importance", f) if f in set(profile["facet"]) else 0.0 for f in FACETS})
+    return profile[["facet", "concept", "weight"]], raw / (raw.sum() or 1.0)
+
+
+def affinities(profile: pd.DataFrame, concepts: pd.DataFrame, importance: pd.Series) -> pd.Series:
+    """Importance-weighted mean preference for each paper's concepts; a facet that the paper or the profile lacks adds nothing."""
+    rated = concepts[concepts["facet"].isin(profile["facet"])].merge(profile, how="left", on=["facet", "concept"]).fillna({"weight": 0.0})
+    means = rated.groupby(["paper_id", "facet"])["weight"].mean().reset_index()
+    return (means["weight"] * means["facet"].map(importance)).groupby(means["paper_id"]).sum().reindex(concepts["paper_id"].unique(), fill_value=0.0)
+
+
+def chosen_papers(profile: pd.DataFrame, concepts: pd.DataFrame, n: int, config: Config, chance: Chance) -> list[str]:
+    """A paper for each step, none twice: a share of steps takes the next paper with a concept of the profile, the others the next of all."""
+    every = chance.shuffled(concepts["paper_id"].unique(), "queue")
+    aimed = set(concepts.merge(profile[["facet", "concept"]], on=["facet", "concept"])["paper_id"])
+    queues = {True: deque(p for p in every if p in aimed), False: deque(every)}
+    taken: dict[str, None] = {}
+    for step in range(min(n, len(every))):
+        for queue in queues.values():
+            while queue and queue[0] in taken:
+                queue.popleft()
+        targeted = chance("aim", step) < config.targeted_fraction and len(queues[True]) > 0
+        taken[queues[targeted].popleft()] = None
+    return list(taken)
+
+
+def user_events(user: str, session: str, concepts: pd.DataFrame, profile: pd.DataFrame, importance: pd.Series, seconds: Sequence[float], config: Config, chance: Chance) -> pd.DataFrame:
+    """EVENTS of one user: a table of steps, and from it the searches (2 s before a step), exposures (1 s before) and reactions."""
+    papers = chosen_papers(profile, concepts, len(seconds), config, chance)
+    steps = pd.DataFrame({"step": range(len(papers)), "at": list(seconds)[: len(papers)], "paper": papers})
+    liked = profile[profile["weight"] > 0].sort_values(["facet", "concept"]).reset_index(drop=True)
+    shares = liked["facet"].map(importance).cumsum()
+    scores, everyone = affinities(profile, concepts, importance), list(concepts["paper_id"].unique())
+    base = steps.assign(user_id=user, session_id=session)
+
+    asks = base[[len(liked) > 0 and chance("asks", i) < config.search_fraction for i in base["step"]]]
+    wish = [liked.loc[min(shares.searchsorted(chance("wish", i) * shares.iloc[-1]), len(liked) - 1)] for i in asks["step"]]
+    searches = asks.assign(kind="search", seconds=asks["at"] - 2, event_id=[f"{session}Q{i:04}" for i in asks["step"]], text=[f"{w.facet}: {w.concept} papers" for w in wish])
+    searches["parent_id"] = searches["event_id"].shift()
+
+    names = [f"{session}X{i:04}" for i in base["step"]]
+    shown = [chance.shuffled([r.paper, *[p for p in chance.shuffled(everyone, "beside", r.step)[: config.exposure_size] if p != r.paper][: config.exposure_size - 1]], "place", r.step) for r in base.itertuples()]
+    exposures = base.assign(kind="exposure", seconds=base["at"] - 1, event_id=names, papers=shown, parent_id=base["step"].map(searches.set_index("step")["event_id"]))
+    kinds = [react(scores[r.paper] + chance.gauss(config.noise, "noise", r.step), config.thresholds) for r in base.itertuples()]
+    reactions = base.assign(kind="reaction", seconds=base["at"], event_id=names, paper_id=base["paper"], interaction_type=kinds)
+    columns = [c.split()[0] for c in EVENTS.split(", ")]
+    out = pd.concat([searches, exposures, reactions]).sort_values("seconds", kind="stable").reindex(columns=columns)
+    return out.astype(object).where(out.notna(), None)
 
-def react(score: float, thresholds: Sequence[float]) -> str:
-    return BEHAVIORS[sum(score >= t for t in thresholds)]
 
+def react(score: float, thresholds: Sequence[float]) -> str:
+    return BEHAVIORS[bisect_right(thresholds, score)]
 
-def user_events(user: str, session: str, papers: dict[str, dict[str, set]], profile: dict, importance: dict, seconds: Sequence[float], config: Config, draws: Draws) -> Iterator[tuple]:
-    """Searches, exposures and reactions in time order; a paper is reacted to once.
 
-    A share of exposures aims at papers with a concept of the profile. A search
-    comes 2 s before its event and names a liked concept, an exposure 1 s before.
-    """
-    pool = {p for p, f in papers.items() if any(f.values())}
-    wanted = {p for p in pool if any(papers[p].get(f, set()) & profile[f].keys() for f in FACETS)}
-    used: set[str] = set()
-    parent = None
-    for i, at in enumerate(seconds):
-        left = pool - used
-        aimed = left & wanted
-        paper = draws.pick(aimed if aimed and draws() < config.targeted_fraction else left, 1)[0]
-        used.add(paper)
-        query = None
-        if draws() < config.search_fraction:
-            liked = [(f, c) for f in FACETS for c, w in sorted(profile[f].items()) if w > 0]
-            if liked:
-                mark = draws() * sum(importance[f] for f, _ in liked)
-                f, c = next(((f, c) for k, (f, c) in enumerate(liked) if sum(importance[g] for g, _ in liked[: k + 1]) >= mark), liked[-1])
-                query = f"{session}Q{i:04}"
-                yield user, "search", query, session, at - 2, None, None, None, f"{f}: {c} papers", parent
-                parent = query
-        shown = [paper, *draws.pick(pool - {paper}, config.exposure_size - 1)]
-        shown = draws.pick(shown, len(shown))
-        exposure = f"{session}X{i:04}"
-        yield user, "exposure", exposure, session, at - 1, None, shown, None, None, query
-        yield user, "reaction", exposure, session, at, paper, None, react(affinity(profile, papers[paper], importance) + draws.gauss(config.noise), config.thresholds), None, None
+def bounded_catalog(catalog: DataFrame) -> pd.DataFrame:
+    """The concepts of a mock's catalog (paper_id, concepts map), which has a checked bound and is sent along."""
+    rows = catalog.limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("the simulator takes catalogs of up to 100,000 papers")
+    return concept_rows({r["paper_id"]: {f: set(c) for f, c in r["concepts"].items()} for r in rows})
 
 
 def simulate(users: DataFrame, catalog: DataFrame, config: Config) -> DataFrame:
     """EVENTS of users (user_id) over a catalog (paper_id, concepts map).
 
-    The catalog is a mock's input of bounded size (a few thousand papers); it is
-    checked and sent along. A user is one task's group, as each draw depends on
-    the user's earlier ones.
+    A user is one task's group, as a paper is reacted to once.
     """
     config.check()
-    rows = catalog.limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("the simulator takes catalogs of up to 100,000 papers")
-    papers = {r["paper_id"]: {f: set(c) for f, c in r["concepts"].items()} for r in rows}
+    concepts = bounded_catalog(catalog)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         user = group["user_id"].iloc[0]
-        draws = Draws(config.seed, user)
-        profile, importance = new_profile(papers, config, draws)
+        chance = Chance(config.seed, user)
+        profile, importance = new_profile(concepts, config, chance)
         times = [i * config.step_seconds for i in range(config.events_per_user)]
-        return pd.DataFrame(list(user_events(user, f"{user}S", papers, profile, importance, times, config, draws)), columns=[c.split()[0] for c in EVENTS.split(", ")])
+        return user_events(user, f"{user}S", concepts, profile, importance, times, config, chance)
 
     return users.select("user_id").groupBy("user_id").applyInPandas(run, EVENTS)
 
 
+def blended(old: pd.DataFrame, new: pd.DataFrame, share: float) -> pd.DataFrame:
+    """(1 - share) of one profile and share of another over the union of their concepts."""
+    both = pd.concat([old.assign(weight=old["weight"] * (1 - share)), new.assign(weight=new["weight"] * share)])
+    return both.groupby(["facet", "concept"], as_index=False)["weight"].sum()
+
+
 def simulate_drift(users: DataFrame, catalog: DataFrame, config: Config) -> DataFrame:
     """As ``simulate`` over periods: drifting users move from one profile to another by the drift shares, stable ones stay. Adds nothing but periods in session ids."""
     config.check()
-    rows = catalog.limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("the simulator takes catalogs of up to 100,000 papers")
-    papers = {r["paper_id"]: {f: set(c) for f, c in r["concepts"].items()} for r in rows}
+    concepts = bounded_catalog(catalog)
     starts = pd.to_datetime(list(config.boundaries))
-    offsets = [(s - starts[0]).total_seconds() for s in starts]
-
-    def mixed(a: dict, b: dict, share: float) -> dict:
-        return {f: {c: (1 - share) * a[f].get(c, 0.0) + share * b[f].get(c, 0.0) for c in sorted(a[f].keys() | b[f].keys())} for f in FACETS}
+    edges = [(s - starts[0]).total_seconds() for s in starts]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         user = group["user_id"].iloc[0]
-        draws = Draws(config.seed, "drift", user)
-        first, importance = new_profile(papers, config, draws)
-        second, _ = new_profile(papers, config, draws)
-        drifting = draws() >= config.stable_fraction
-        out = []
-        for p, share in enumerate(config.drift):
-            step = (offsets[p + 1] - offsets[p]) / (config.events_per_period + 1)
-            times = [offsets[p] + step * (i + 1) for i in range(config.events_per_period)]
-            out += user_events(user, f"{user}P{p + 1}S", papers, mixed(first, second, share if drifting else 0.0), importance, times, config, draws)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+        (first, importance), (second, _) = (new_profile(concepts, config, Chance(config.seed, "drift", user, k)) for k in (1, 2))
+        drifting = Chance(config.seed, "drift", user)("drifts") >= config.stable_fraction
+        periods = []
+        for p, (share, a, b) in enumerate(zip(config.drift, edges, edges[1:], strict=False), 1):
+            times = [a + (b - a) * k / (config.events_per_period + 1) for k in range(1, config.events_per_period + 1)]
+            periods.append(user_events(user, f"{user}P{p}S", concepts, blended(first, second, share * drifting), importance, times, config, Chance(config.seed, "drift", user, "period", p)))
+        return pd.concat(periods)
 
     return users.select("user_id").groupBy("user_id").applyInPandas(run, EVENTS)
 
