@@ -210,13 +210,12 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            made = json.load(file)
-        pre, added = made.get("pre_tokenizer") or {}, made.get("added_tokens", [])
-        plain = all(t["special"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and " " not in t["content"] for t in added)
-        self.by_piece = plain and made.get("normalizer") is None and made.get("truncation") is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space")
-        self.added = [t["content"].encode() for t in added]
+        made = self.tokenizer = Tokenizer.from_file(path)
+        pre = json.loads(made.pre_tokenizer.__getstate__()) if made.pre_tokenizer else {}
+        added = list(made.get_added_tokens_decoder().values())
+        plain = all(t.special and not t.lstrip and not t.rstrip and not t.single_word and " " not in t.content for t in added)
+        self.by_piece = plain and made.normalizer is None and made.truncation is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space")
+        self.added = [t.content.encode() for t in added]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.table = PieceTable(self.kind)
