@@ -56,9 +56,11 @@ def part_cosines(cases: DataFrame, vectors: DataFrame) -> DataFrame:
     return V.dots(candidates, anchors, ["case_id", "part", "term"], ["case_id", "paper_id", "part"])
 
 
-def _weighted(cases: DataFrame, cosines: DataFrame, weight: Column) -> DataFrame:
-    sums = cosines.groupBy("case_id", "paper_id").agg(F.sum(weight * F.col("score")).alias("score"))
-    return cases.select("case_id", "paper_id").join(sums, ["case_id", "paper_id"], "left")
+def part_sums(cases: DataFrame, cosines: DataFrame) -> DataFrame:
+    """(case_id, paper_id, text and the facets): the cosines of a pair side by side, 0 for parts without a common term."""
+    parts = ("text", *FACETS)
+    sums = cosines.groupBy("case_id", "paper_id").agg(*[F.sum(F.when(F.col("part") == p, F.col("score"))).alias(p) for p in parts])
+    return cases.select("case_id", "paper_id").join(sums, ["case_id", "paper_id"], "left").fillna(0.0, list(parts))
 
 
 @scorer("retrieval", "random")
@@ -67,27 +69,27 @@ def random_order(cases: DataFrame, cosines: DataFrame, seed: str = "42", **_) ->
 
 
 @scorer("retrieval", "text_tfidf")
-def text_tfidf(cases: DataFrame, cosines: DataFrame, **_) -> DataFrame:
-    return _weighted(cases, cosines.filter("part = 'text'"), F.lit(1.0))
+def text_tfidf(cases: DataFrame, cosines: DataFrame, *, sums: DataFrame, **_) -> DataFrame:
+    return sums.select("case_id", "paper_id", F.col("text").alias("score"))
 
 
 @scorer("retrieval", "equal_facets")
-def equal_facets(cases: DataFrame, cosines: DataFrame, **_) -> DataFrame:
-    return _weighted(cases, cosines.filter("part <> 'text'"), F.lit(1.0 / len(FACETS)))
+def equal_facets(cases: DataFrame, cosines: DataFrame, *, sums: DataFrame, **_) -> DataFrame:
+    return sums.select("case_id", "paper_id", sum((F.col(f) / len(FACETS) for f in FACETS), F.lit(0.0)).alias("score"))
 
 
 @scorer("retrieval", "weighted_facets")
-def weighted_facets(cases: DataFrame, cosines: DataFrame, weights: dict[str, float] = FIXED_WEIGHTS, **_) -> DataFrame:
-    by_part = F.element_at(F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(w))]), F.col("part"))
-    return _weighted(cases, cosines.filter("part <> 'text'"), by_part)
+def weighted_facets(cases: DataFrame, cosines: DataFrame, *, sums: DataFrame, weights: dict[str, float] = FIXED_WEIGHTS, **_) -> DataFrame:
+    return sums.select("case_id", "paper_id", sum((F.col(f) * w for f, w in weights.items()), F.lit(0.0)).alias("score"))
 
 
 def score_retrieval(papers: DataFrame, concepts: DataFrame, cases: DataFrame, fold: Callable[[Column], Column] = F.lower, **options) -> DataFrame:
-    """All registered retrieval models over the same cosines, which are written once."""
-    cosines = written(part_cosines(cases, joint_vectors(papers, concepts, fold)), "cosines")
+    """All registered retrieval models over the same cosines, which are written once, as rows and side by side."""
     cases = written(cases, "cases")
+    cosines = written(part_cosines(cases, joint_vectors(papers, concepts, fold)), "cosines")
+    sums = written(part_sums(cases, cosines), "part-sums")
     out = None
     for model, f in REGISTRY["retrieval"].items():
-        part = as_model(f(cases, cosines, **options), model)
+        part = as_model(f(cases, cosines, sums=sums, **options), model)
         out = part if out is None else out.unionByName(part)
     return out
