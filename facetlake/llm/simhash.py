@@ -23,13 +23,20 @@ the anchors alone can't give these links. They give the first candidates (two
 bits); the others share one of ``BANDS`` keys, each of ``ROWS`` min-hashes, which
 misses a pair at 0.8 with a chance of 0.0006, a more similar one with less. Every
 link, of either kind, is checked on the texts themselves. The members of a key
-are first compared with one of them, another in each round. Of keys whose
-members still have different labels, those with up to ``CROWD`` members outside
-their most frequent label compare members of different labels pair by pair; others, as a common passage makes them, are split by
-further keys of other min-hashes (the same small chance of a miss again) until
-they are small, so the pairs grow with the members, not with their square. After
-``LEVELS`` splits members agree in most min-hashes and hardly any are unlinked;
-what is left is compared whatever its size.
+are first compared with ``MIDDLES`` of them (in keys with up to ``FEW`` members outside their most
+frequent label, with all of another label). Of keys whose members still have
+different labels, those with up to ``CROWD`` members outside their most frequent
+label compare members of different labels pair by pair. In others, as a common passage makes them, shingles of more than ``CROWD`` texts are
+set apart: two similar texts share one of the first n - 0.8 n + 1 shingles of their
+n, in an order of all shingles that puts the frequent ones last. Texts are compared
+if they share an infrequent one of those, so each has few partners. Texts that
+have no shared infrequent one must agree in frequent shingles alone. Of texts with
+the same set of those, any that is linked so is linked to the text with the
+fewest shingles, so all are compared with that one; such texts of different sets
+are the members of the next level's keys, the frequent shingles themselves. (A
+text that is not similar to the shortest of its set, but through frequent shingles
+alone to a still shorter one of a smaller set, is not found.) What is left
+after ``LEVELS`` levels is compared whatever its size.
 
 Defined results: a null or blank text has fingerprint zero, linked like any
 other; repeated rows and ids share fingerprints as any copies; a null id never
@@ -62,7 +69,9 @@ N_BITS, RADIUS = 23, 3
 #: Pairs compared at once, and hashes counted at once.
 SLICE = 1 << 21
 SIZE, LEAST = 5, 0.8
-BANDS, ROWS, ROUNDS, CROWD, LEVELS = 14, 4, 2, 32, 4
+BANDS, ROWS, ROUNDS, MIDDLES, FEW, CROWD, LEVELS = 14, 4, 1, 4, 4, 128, 2
+#: Parts that rows of a frequent shingle are dealt to.
+SALTS = 16
 _DRAWN = np.random.default_rng(17).integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32)
 _TIMES, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 
@@ -267,21 +276,18 @@ def least_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round moves every node at least as near to its least node, and the number of
     rounds grows with the logarithm of the longest path.
     """
-    both = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-    now = written(both, "edges")
-    was = state(now)
-    while was[0]:
+    now = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    while True:
+        ends = now.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+        moving = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up > 0 AND down > 0")
+        if not moving.agg(F.count("*")).first()[0]:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
         sides = now.select("a", "b").union(now.select("b", "a")).toDF("u", "v")
         least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = sides.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a > b").distinct()
-        new = written(small, "edges")
-        now, before, was = new, was, state(new)
-        if before == was:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        now = written(small, "edges")
 
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 2, block: int = 50_000) -> DataFrame:
@@ -315,10 +321,9 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray | None:
     return least.view(np.int32)
 
 
-def band_keys(level: int) -> Column:
-    """A key for each band of the column ``hashes``; each level deals the min-hashes to bands anew."""
-    order = np.arange(BANDS * ROWS) if not level else np.random.default_rng(level).permutation(BANDS * ROWS)
-    return F.array(*[F.xxhash64(F.lit(level), F.lit(k), *[F.get("hashes", F.lit(int(i))) for i in band]) for k, band in enumerate(order.reshape(BANDS, ROWS))])
+def band_keys() -> Column:
+    """A key for each band of the column ``hashes``."""
+    return F.array(*[F.xxhash64(F.lit(k), *[F.get("hashes", F.lit(k * ROWS + i)) for i in range(ROWS)]) for k in range(BANDS)])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -375,50 +380,82 @@ def anchor_pairs(distinct: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct shingle of a text."""
+    inflate = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for node, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = shingle_set(inflate.decompress(data.as_buffer()).decode("utf-8", "surrogatepass")).view(np.int64)
+            for at in range(0, len(found), 1 << 16):
+                part = found[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(found), np.int32)), pa.array(part)], ["node", "n", "token"])
+
+
+def prefixes(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
+    """Of the texts of ``nodes``: node, n shingles, how many of them lead (``take``), sorted rare ones, sorted frequent ones."""
+    tokens = written(texts.join(nodes, "node", "left_semi").select("node", "data").mapInArrow(_tokens, "node bigint, n int, token bigint"), "simhash-tokens")
+    often = tokens.groupBy("token").count().filter(F.col("count") > crowd).select("token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("often"))
+    marked = tokens.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(often, ["token", "salt"], "left")
+    some = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("token"))))
+    lists = marked.groupBy("node", "n").agg(some(F.col("often").isNull()).alias("rare"), some(F.col("often")).alias("frequent"))
+    take = (F.col("n") - F.ceil(F.lit(LEAST) * F.col("n") - 1e-6) + 1).cast("int")
+    return written(lists.withColumn("take", take), "simhash-prefixes")
+
+
 def similar_labels(members: DataFrame, distinct: DataFrame, texts: DataFrame, rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
-    """(node, label) of what is similar to others, label the least node reachable; members: bucket, node; distinct: node, fp, hashes."""
+    """(node, label) of what is similar to others, label the least node reachable; members: bucket, node; distinct: node, fp."""
     near = anchor_pairs(distinct)
     for end in ("a", "b"):
         near = near.join(texts.select(F.col("node").alias(end)), end, "left_semi")
     tested = written(near.select("a", "b").distinct(), "simhash-pairs")
-    edges = checked(tested, texts)
-
-    labels = least_labels(edges)
+    labels = least_labels(checked(tested, texts))
 
     def compare(pairs: DataFrame) -> None:
-        nonlocal tested, edges, labels
-        known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        new = written(pairs.distinct().join(known, ["a", "b"], "left_anti"), "simhash-pairs")
+        nonlocal tested, labels
+        new = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "simhash-pairs")
         tested, found = tested.unionByName(new), checked(new, texts)
         if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = least_labels(edges)
+            labels = least_labels(labels.toDF("a", "b").unionByName(found))
 
     def unlinked(turn: int) -> tuple[DataFrame, DataFrame]:
-        """Members with labels, and the keys with several labels: members outside the most frequent label, and one member."""
-        now = written(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "simhash-now")
-        #: the same middle for all keys that have it, so that their pairs are the same
-        first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("middle"), F.col("label").alias("own")))
-        by_label = now.groupBy("bucket", "label").agg(F.count("*").alias("n"), first.alias("x"))
-        mixed = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), (F.sum("n") - F.max("n")).alias("others"), F.min("x").alias("x"))
-        return now, written(mixed.filter("labels > 1").select("bucket", "others", "x.middle", "x.own"), "simhash-mixed")
-
-    for turn in range(rounds):
-        now, mixed = unlinked(turn)
-        if mixed.isEmpty():
-            return labels
-        compare(now.join(mixed, "bucket").filter("label <> own").select(F.col("node").alias("a"), F.col("middle").alias("b")))
-    for level in range(1, LEVELS + 2):
-        now, mixed = unlinked(rounds + level)
-        small = mixed if level > LEVELS else mixed.filter(F.col("others") <= crowd)
-        left = written(now.join(small.select("bucket"), "bucket", "left_semi"), "simhash-left")
-        right = left.select("bucket", F.col("node").alias("other"), F.col("label").alias("own"))
-        compare(left.join(right, "bucket").filter("node < other AND label <> own").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        large = mixed.filter(F.col("others") > crowd).select("bucket")
-        if level > LEVELS or large.isEmpty():
-            return labels
-        split = now.select("bucket", "node").join(large, "bucket").join(distinct.select("node", "hashes"), "node")
-        members = written(split.select("node", F.explode(F.transform(band_keys(level), lambda k: F.xxhash64("bucket", k))).alias("bucket")), "simhash-members")
+        """Members with labels, and the keys with several labels: members outside the most frequent label, and some members."""
+        now = written(labelled(members), "simhash-now")
+        #: the same middles for all keys that have them, so that their pairs are the same
+        draw = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node").alias("h"), F.col("node").alias("middle"), F.col("label").alias("own"))).alias(f"x{k}") for k in range(MIDDLES)]
+        by_label = now.groupBy("bucket", "label").agg(F.count("*").alias("n"), *draw)
+        middles = F.array(*[F.min(f"x{k}") for k in range(MIDDLES)]).alias("middles")
+        mixed = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), (F.sum("n") - F.max("n")).alias("others"), middles)
+        return now, written(mixed.filter("labels > 1").select("bucket", "others", "middles"), "simhash-mixed")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def across(rows: DataFrame) -> DataFrame:
+        """Pairs of rows (bucket, node, label) of one bucket with different labels."""
+        other = rows.select("bucket", F.col("node").alias("other"), F.col("label").alias("own"))
+        return rows.join(other, "bucket").filter("node < other AND label <> own").select(F.col("node").alias("a"), F.col("other").alias("b"))
+
+    for level in range(LEVELS + 1):
+        for turn in range(rounds + 1):
+            now, mixed = unlinked(level * (rounds + 1) + turn)
+            last = turn == rounds
+            small = mixed if last and level == LEVELS else mixed.filter(F.col("others") <= (crowd if last else min(FEW, crowd)))
+            pairs = across(now.join(small.select("bucket"), "bucket", "left_semi"))
+            large = mixed.join(small.select("bucket"), "bucket", "left_anti")
+            if last and level == LEVELS or large.isEmpty():
+                compare(pairs)
+                return labels
+            if not last:
+                compare(pairs.unionByName(now.join(large, "bucket").select("node", "label", F.inline("middles")).filter("label <> own").select(F.col("node").alias("a"), F.col("middle").alias("b"))))
+                members = now.join(large.select("bucket"), "bucket", "left_semi").select("bucket", "node")
+        lists = prefixes(now.join(large, "bucket", "left_semi").select("node").distinct(), texts, crowd)
+        rare = labelled(lists.select("node", F.explode(F.slice("rare", F.lit(1), F.col("take"))).alias("bucket")))
+        heavy = lists.filter(F.size("rare") < F.col("take")).withColumn("alike", F.xxhash64("frequent"))
+        shortest = written(heavy.groupBy("alike").agg(F.min_by("node", F.struct("n", "node")).alias("least")), "simhash-shortest")
+        alike = heavy.select("node", "alike").join(shortest, "alike").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        compare(pairs.unionByName(across(rare)).unionByName(alike))
+        heads = heavy.join(shortest.select(F.col("least").alias("node")), "node", "left_semi")
+        members = written(heads.select("node", F.explode(F.slice("frequent", F.lit(1), F.col("take") - F.size("rare"))).alias("bucket")), "simhash-members")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
@@ -427,13 +464,13 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rou
     sketches = used.mapInArrow(_sketches, f"doc_id {used.schema['doc_id'].dataType.simpleString()}, key bigint, node bigint, fp bigint, hashes array<int>")
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     distinct = written(written(sketches, "simhash-sketches").groupBy("node").agg(F.min(head).alias("head"), F.min("fp").alias("fp"), F.min("hashes").alias("hashes")), "simhash-distinct")
-    spread = distinct.filter("hashes is not null").select("node", F.explode(band_keys(0)).alias("bucket"))
+    spread = distinct.filter("hashes is not null").select("node", F.explode(band_keys()).alias("bucket"))
     several = written(spread.groupBy("bucket").count().filter("count > 1").select("bucket"), "simhash-several")
     members = written(spread.join(several, "bucket"), "simhash-members")
     wanted = distinct.join(members.select("node").distinct(), "node").select("node", F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key"))
     at_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & F.col("key").eqNullSafe(F.col("head_key"))
     texts = written(packed(used.join(wanted, at_head).select("node", F.col("text").cast("binary").alias("data"))).dropDuplicates(["node"]), "simhash-texts")
-    labels = similar_labels(members, distinct.select("node", "fp", "hashes"), texts, rounds, crowd)
+    labels = similar_labels(members, distinct.select("node", "fp"), texts, rounds, crowd)
     heads = distinct.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key"))
     kept = docs.withColumn("row_key", F.xxhash64(F.col(text))).join(heads, F.col(doc_id).eqNullSafe(F.col("head_id")) & F.col("row_key").eqNullSafe(F.col("head_key")), "left_semi")
     once = Window.partitionBy(doc_id, "row_key").orderBy(F.lit(0))
