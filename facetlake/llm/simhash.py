@@ -69,7 +69,7 @@ N_BITS, RADIUS = 23, 3
 #: Pairs compared at once, and hashes counted at once.
 SLICE = 1 << 21
 SIZE, LEAST = 5, 0.8
-BANDS, ROWS, ROUNDS, MIDDLES, FEW, CROWD, LEVELS = 14, 4, 1, 4, 4, 128, 2
+BANDS, ROWS, ROUNDS, MIDDLES, FEW, CROWD, LEVELS = 14, 4, 1, 4, 4, 32, 2
 #: Parts that rows of a frequent shingle are dealt to.
 SALTS = 16
 _DRAWN = np.random.default_rng(17).integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32)
