@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facetlake.llm import queries_free, queries_native
+from facetlake.llm import queries_audit, queries_free, queries_native
 
-QUERIES = queries_native.QUERIES | queries_free.QUERIES
-ORACLE = dict(queries_native.ORACLE)
+QUERIES = queries_native.QUERIES | queries_free.QUERIES | queries_audit.QUERIES
+ORACLE = queries_native.ORACLE | queries_audit.ORACLE

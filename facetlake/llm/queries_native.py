@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetlake.llm.common import table
+from facetlake.llm.licenses import PHRASES, SHARE, TEMPLATES, prepared, scan_licenses
 from facetlake.llm.mixing import mix_plan
 from facetlake.llm.quality import DELTA, RISK, RULES, judge_quality
 from facetlake.llm.secrets import KINDS, find_secrets, listed
@@ -35,7 +36,11 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_url_filter": op3_url_filter, "op6_secrets": op6_secrets, "op10_mix": op10_mix}
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op3_url_filter": op3_url_filter, "op6_secrets": op6_secrets, "op10_mix": op10_mix, "op11_licenses": op11_licenses}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -176,4 +181,30 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLE = {"op1_quality": OP1_SQL, "op3_url_filter": OP3_SQL, "op6_secrets": OP6_SQL, "op10_mix": OP10_SQL}
+_POSTINGS = ", ".join(f"({n}, '{label}', {round(1000 * share)}, {base}, {i}, '{w}', {i in keys})" for n, (label, words, keys, share, base) in enumerate(prepared(TEMPLATES, PHRASES, SHARE)) for i, w in enumerate(words))
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+t(number, label, share, base, position, word, key) AS (VALUES {_POSTINGS}),
+w AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d),
+df AS (SELECT word, count(DISTINCT rid) AS n FROM w GROUP BY word),
+weighed AS (SELECT t.*, greatest(1, round(1000 * ln(((SELECT count(*) FROM d) + 1) / coalesce(n, 1))))::BIGINT AS weight FROM t LEFT JOIN df USING (word)),
+whole AS (SELECT number, sum(weight)::BIGINT AS total, count(*) FILTER (key) AS n_keys FROM weighed GROUP BY number),
+met AS (
+  SELECT rid, number, pos - position AS start, any_value(label) AS label, any_value(base) AS base, any_value(share) AS share,
+    sum(weight)::BIGINT AS agreed, count(*) FILTER (key) AS keys
+  FROM w JOIN weighed USING (word) WHERE pos >= position GROUP BY rid, number, start),
+found AS (SELECT met.*, agreed / total AS part FROM met JOIN whole USING (number) WHERE keys = n_keys AND agreed >= (share * total + 999) // 1000),
+rolled AS (
+  SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS score
+  FROM found GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN rolled USING (rid)
+"""
+
+ORACLE = {"op1_quality": OP1_SQL, "op3_url_filter": OP3_SQL, "op6_secrets": OP6_SQL, "op10_mix": OP10_SQL, "op11_licenses": OP11_SQL}

@@ -13,7 +13,7 @@ def test_query_matches_sql(spark, sf, duck, same, name):
 
 
 def test_native_plans_hold_no_python(spark, sf):
-    for name in ("op1_quality", "op3_url_filter", "op6_secrets", "op10_mix"):
+    for name in ("op1_quality", "op3_url_filter", "op6_secrets", "op10_mix", "op11_licenses"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan), name
 
