@@ -22,21 +22,20 @@ ten of 64 bits; anchors for ten bits would take some 400,000 replicas a print, s
 the anchors alone can't give these links. They give the first candidates (two
 bits); the others share one of ``BANDS`` keys, each of ``ROWS`` min-hashes, which
 misses a pair at 0.8 with a chance of 0.0006, a more similar one with less. Every
-link, of either kind, is checked on the texts themselves. The members of a key
-are first compared with ``MIDDLES`` of them (in keys with up to ``FEW`` members outside their most
-frequent label, with all of another label). Of keys whose members still have
-different labels, those with up to ``CROWD`` members outside their most frequent
-label compare members of different labels pair by pair. In others, as a common passage makes them, shingles of more than ``CROWD`` texts are
-set apart: two similar texts share one of the first n - 0.8 n + 1 shingles of their
-n, in an order of all shingles that puts the frequent ones last. Texts are compared
-if they share an infrequent one of those, so each has few partners. Texts that
-have no shared infrequent one must agree in frequent shingles alone. Of texts with
-the same set of those, any that is linked so is linked to the text with the
-fewest shingles, so all are compared with that one; such texts of different sets
-are the members of the next level's keys, the frequent shingles themselves. (A
-text that is not similar to the shortest of its set, but through frequent shingles
-alone to a still shorter one of a smaller set, is not found.) What is left
-after ``LEVELS`` levels is compared whatever its size.
+link, of either kind, is checked on the texts themselves.
+
+A large group of copies must not become all its pairs. So ``ROUNDS`` times the members of
+each key are compared with a few of them: the one whose keys have the most members in all (a
+text that others extend or edit shares keys with most of them, an edited copy with few), and
+after the first time some drawn ones. Pairs of which fewer than ``MATCHES`` of all min-hashes agree, or whose sizes
+exclude the similarity, go no further; at a similarity of 0.8 that is a chance of 0.00001.
+Then labels spread, and only keys whose members still have different labels go on, whole:
+members outside a key's most frequent label are dealt into blocks of ``HELD``, all members
+into slices of ``STREAMED``; each block meets each slice in one place. There min-hashes are
+compared first, which gives the members that have any likely partner of another label; their
+texts go to the same place, and likely pairs with different labels are checked on the texts,
+each pair at its first common key. Only edges of a spanning forest leave, never a pair for each
+comparison, and no comparison is left out, however large a group is.
 
 Defined results: a null or blank text has fingerprint zero, linked like any
 other; repeated rows and ids share fingerprints as any copies; a null id never
@@ -69,9 +68,9 @@ N_BITS, RADIUS = 23, 3
 #: Pairs compared at once, and hashes counted at once.
 SLICE = 1 << 21
 SIZE, LEAST = 5, 0.8
-BANDS, ROWS, ROUNDS, MIDDLES, FEW, CROWD, LEVELS = 14, 4, 1, 4, 4, 32, 2
-#: Parts that rows of a frequent shingle are dealt to.
-SALTS = 16
+BANDS, ROWS, ROUNDS, DRAWN, MATCHES = 14, 4, 2, 3, 32
+#: Members of a block that a task holds, and of a slice that it compares with them.
+HELD, STREAMED = 512, 8192
 _DRAWN = np.random.default_rng(17).integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32)
 _TIMES, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 
@@ -332,11 +331,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def sketch(text: str | None) -> tuple[int, int, np.ndarray | None]:
-    """(name of the shingle set, fingerprint, min-hashes)."""
+def sketch(text: str | None) -> tuple[int, int, np.ndarray | None, int]:
+    """(name of the shingle set, fingerprint, min-hashes, size of the set)."""
     hashes = shingle_hashes(text, SIZE)
     distinct = np.unique(np.array(hashes, np.uint64))
-    return xxhash.xxh64_intdigest(distinct.tobytes()), fingerprint(hashes), min_hashes(distinct)
+    return xxhash.xxh64_intdigest(distinct.tobytes()), fingerprint(hashes), min_hashes(distinct), len(distinct)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +344,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 1024)
             found = [sketch(t.as_py()) for t in part.column(1)]
             signed = [pa.array(np.array([f[k] for f in found], np.uint64).view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *signed, pa.array([f[2] for f in found], pa.list_(pa.int32()))], ["doc_id", "key", "node", "fp", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *signed, pa.array([f[2] for f in found], pa.list_(pa.int32())), pa.array([f[3] for f in found], pa.int32())], ["doc_id", "key", "node", "fp", "hashes", "n"])
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,97 +379,156 @@ def anchor_pairs(distinct: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct shingle of a text."""
-    inflate = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for node, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = shingle_set(inflate.decompress(data.as_buffer()).decode("utf-8", "surrogatepass")).view(np.int64)
-            for at in range(0, len(found), 1 << 16):
-                part = found[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(found), np.int32)), pa.array(part)], ["node", "n", "token"])
-
-
-def prefixes(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
-    """Of the texts of ``nodes``: node, n shingles, how many of them lead (``take``), sorted rare ones, sorted frequent ones."""
-    tokens = written(texts.join(nodes, "node", "left_semi").select("node", "data").mapInArrow(_tokens, "node bigint, n int, token bigint"), "simhash-tokens")
-    often = tokens.groupBy("token").count().filter(F.col("count") > crowd).select("token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("often"))
-    marked = tokens.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(often, ["token", "salt"], "left")
-    some = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("token"))))
-    lists = marked.groupBy("node", "n").agg(some(F.col("often").isNull()).alias("rare"), some(F.col("often")).alias("frequent"))
-    take = (F.col("n") - F.ceil(F.lit(LEAST) * F.col("n") - 1e-6) + 1).cast("int")
-    return written(lists.withColumn("take", take), "simhash-prefixes")
-
-
-def similar_labels(members: DataFrame, distinct: DataFrame, texts: DataFrame, rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
-    """(node, label) of what is similar to others, label the least node reachable; members: bucket, node; distinct: node, fp."""
-    near = anchor_pairs(distinct)
+class _Side:
+    """Rows of one side of a cell as arrays; texts are read when they are first asked for."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.node, self.label, self.n, self.band, self.main = (rows[c].to_numpy() for c in ("node", "label", "n", "band", "main"))
+        self.hashes = rows["hashes"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS * ROWS)
+        self.data, self.sets = rows["data"] if "data" in rows.column_names else None, {}
+
+    def shingles(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = shingle_set(zstandard.ZstdDecompressor().decompress(self.data[i].as_buffer()).decode("utf-8", "surrogatepass"))
+        return self.sets[i]
+
+
+def _likely(left: _Side, right: _Side, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in right, places in left) of the pairs to check: likely, of different labels, and here at their first common key."""
+    same = right.hashes[at:to, None] == left.hashes[None]
+    n = right.n[at:to, None], left.n[None]
+    able = (same.sum(axis=2, dtype=np.uint8) >= MATCHES) & (right.label[at:to, None] != left.label[None]) & (5 * np.minimum(*n) >= 4 * np.maximum(*n))
+    able &= right.main[at:to, None] | (right.node[at:to, None] > left.node[None])
+    i, j = np.nonzero(able)
+    first = same[i, j].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == right.band[at + i]
+    return at + i[first], j[first]
+
+
+def _meet(left: _Side, right: _Side, roots: dict, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (right, left) of the likely pairs, slice by slice; if exact, of those similar ones that join two labels."""
+
+    def root(label: int) -> int:
+        while (up := roots.get(label, label)) != label:
+            roots[label] = label = roots.get(up, up)
+        return label
+
+    step = max(1, (SLICE << 4) // (len(left.node) * BANDS * ROWS))
+    for at in range(0, len(right.node), step):
+        i, j = _likely(left, right, at, min(at + step, len(right.node)))
+        if exact:
+            joins = np.zeros(len(i), bool)
+            for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                a, b = root(right.label[x].item()), root(left.label[y].item())
+                if a != b and similarity(right.shingles(x), left.shingles(y)) >= LEAST:
+                    roots[a], joins[k] = b, True
+            i, j = i[joins], j[joins]
+        yield i, j
+
+
+def _cells(exact: bool):
+    """Rows come sorted by (cell, right): the left ones are held, the right ones met with them.
+
+    Gives the rows (cell, right, node) that have a likely partner, or if ``exact`` edges (a, b) of similar ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, left, roots = None, [], None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells, rights = batch["cell"].to_numpy(), batch["right"].to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (rights[1:] != rights[:-1])) + 1
+            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if cells[at] != cell:
+                    cell, held, left, roots = cells[at], [], None, {}
+                if not rights[at]:
+                    held.append(batch.slice(at, to - at))
+                    continue
+                if not held:
+                    continue
+                left = left or _Side(pa.Table.from_batches(held))
+                right = _Side(pa.Table.from_batches([batch.slice(at, to - at)]))
+                for i, j in _meet(left, right, roots, exact):
+                    if exact:
+                        yield pa.RecordBatch.from_arrays([pa.array(right.node[i]), pa.array(left.node[j])], ["a", "b"])
+                        continue
+                    i, j = np.unique(i), np.unique(j)
+                    is_right = np.concatenate([np.ones(len(i), bool), np.zeros(len(j), bool)])
+                    nodes = np.concatenate([right.node[i], left.node[j]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), cell)), pa.array(is_right), pa.array(nodes)], ["cell", "right", "node"])
+
+    return run
+
+
+def dealt_cells(now: DataFrame) -> DataFrame:
+    """Members (bucket, band, node, label) of keys with several labels, dealt to cells: cell, right, node, label, band, main."""
+    by_label = now.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", F.col("label").alias("of"))).alias("most")
+    mixed = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("total"), most).filter("labels > 1")
+    rows = now.join(mixed.select("bucket", "total", (F.col("total") - F.col("most.n")).alias("others"), F.col("most.of").alias("common")), "bucket")
+    blocks, slices = F.ceil(F.col("others") / HELD), F.ceil(F.col("total") / STREAMED)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    facts = ["node", "label", "band", (F.col("label") == F.col("common")).alias("main")]
+    cell = F.xxhash64("bucket", "block", "slice").alias("cell")
+    left = rows.filter("label <> common").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("slice", upto(slices)).select(cell, F.lit(False).alias("right"), *facts)
+    right = rows.withColumn("slice", F.pmod(F.xxhash64(F.lit(1), "node"), slices)).withColumn("block", upto(blocks)).select(cell, F.lit(True).alias("right"), *facts)
+    return left.unionByName(right)
+
+
+def unlike_edges(now: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges that join all similar members of one key with different labels; facts: node, n, hashes."""
+    cells = written(dealt_cells(now), "simhash-cells")
+    sorted_by = lambda df: df.repartition("cell").sortWithinPartitions("cell", "right")
+    likely = sorted_by(cells.join(facts.select("node", "n", "hashes"), "node")).mapInArrow(_cells(False), "cell long, right boolean, node long")
+    chosen = written(cells.join(likely.distinct(), ["cell", "right", "node"], "left_semi"), "simhash-likely")
+    full = chosen.join(facts.select("node", "n", "hashes"), "node").join(texts, "node")
+    return written(sorted_by(full).mapInArrow(_cells(True), "a long, b long"), "simhash-joined")
+
+
+def similar_labels(members: DataFrame, distinct: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(node, label) of what is similar to others, label the least node reachable; members: bucket, band, node; distinct: node, fp, n, hashes."""
+    near = anchor_pairs(distinct.select("node", "fp"))
     for end in ("a", "b"):
         near = near.join(texts.select(F.col("node").alias(end)), end, "left_semi")
-    tested = written(near.select("a", "b").distinct(), "simhash-pairs")
-    labels = least_labels(checked(tested, texts))
-
-    def compare(pairs: DataFrame) -> None:
-        nonlocal tested, labels
-        new = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "simhash-pairs")
-        tested, found = tested.unionByName(new), checked(new, texts)
-        if not found.isEmpty():
-            labels = least_labels(labels.toDF("a", "b").unionByName(found))
-
-    def unlinked(turn: int) -> tuple[DataFrame, DataFrame]:
-        """Members with labels, and the keys with several labels: members outside the most frequent label, and some members."""
-        now = written(labelled(members), "simhash-now")
-        #: the same middles for all keys that have them, so that their pairs are the same
-        draw = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node").alias("h"), F.col("node").alias("middle"), F.col("label").alias("own"))).alias(f"x{k}") for k in range(MIDDLES)]
-        by_label = now.groupBy("bucket", "label").agg(F.count("*").alias("n"), *draw)
-        middles = F.array(*[F.min(f"x{k}") for k in range(MIDDLES)]).alias("middles")
-        mixed = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), (F.sum("n") - F.max("n")).alias("others"), middles)
-        return now, written(mixed.filter("labels > 1").select("bucket", "others", "middles"), "simhash-mixed")
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def across(rows: DataFrame) -> DataFrame:
-        """Pairs of rows (bucket, node, label) of one bucket with different labels."""
-        other = rows.select("bucket", F.col("node").alias("other"), F.col("label").alias("own"))
-        return rows.join(other, "bucket").filter("node < other AND label <> own").select(F.col("node").alias("a"), F.col("other").alias("b"))
-
-    for level in range(LEVELS + 1):
-        for turn in range(rounds + 1):
-            now, mixed = unlinked(level * (rounds + 1) + turn)
-            last = turn == rounds
-            small = mixed if last and level == LEVELS else mixed.filter(F.col("others") <= (crowd if last else min(FEW, crowd)))
-            pairs = across(now.join(small.select("bucket"), "bucket", "left_semi"))
-            large = mixed.join(small.select("bucket"), "bucket", "left_anti")
-            if last and level == LEVELS or large.isEmpty():
-                compare(pairs)
-                return labels
-            if not last:
-                compare(pairs.unionByName(now.join(large, "bucket").select("node", "label", F.inline("middles")).filter("label <> own").select(F.col("node").alias("a"), F.col("middle").alias("b"))))
-                members = now.join(large.select("bucket"), "bucket", "left_semi").select("bucket", "node")
-        lists = prefixes(now.join(large, "bucket", "left_semi").select("node").distinct(), texts, crowd)
-        rare = labelled(lists.select("node", F.explode(F.slice("rare", F.lit(1), F.col("take"))).alias("bucket")))
-        heavy = lists.filter(F.size("rare") < F.col("take")).withColumn("alike", F.xxhash64("frequent"))
-        shortest = written(heavy.groupBy("alike").agg(F.min_by("node", F.struct("n", "node")).alias("least")), "simhash-shortest")
-        alike = heavy.select("node", "alike").join(shortest, "alike").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-        compare(pairs.unionByName(across(rare)).unionByName(alike))
-        heads = heavy.join(shortest.select(F.col("least").alias("node")), "node", "left_semi")
-        members = written(heads.select("node", F.explode(F.slice("frequent", F.lit(1), F.col("take") - F.size("rare"))).alias("bucket")), "simhash-members")
-
-
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
+    labels = least_labels(checked(near.select("a", "b").distinct(), texts))
+    shared = members.join(members.groupBy("bucket").agg(F.count("*").alias("n_members")), "bucket").groupBy("node").agg(F.sum("n_members").alias("shared"))
+    facts = written(distinct.join(shared, "node").select("node", "n", "hashes", "shared"), "simhash-facts")
+
+    def labelled() -> DataFrame:
+        return written(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "simhash-now")
+
+    for turn in range(rounds):
+        now = labelled()
+        drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node").alias("h"), F.col("node").alias("middle"), F.col("label").alias("own"))).alias(f"x{k}") for k in range(DRAWN if turn else 0)]
+        central = F.min(F.struct((-F.col("shared")).alias("h"), F.col("node").alias("middle"), F.col("label").alias("own"))).alias("central")
+        by_label = now.join(facts.select("node", "shared"), "node").groupBy("bucket", "label").agg(central, *drawn)
+        middles = F.array(*[F.min(c) for c in ("central", *[f"x{k}" for k in range(len(drawn))])]).alias("middles")
+        mixed = written(by_label.groupBy("bucket").agg(F.count("*").alias("labels"), middles).filter("labels > 1").select("bucket", "middles"), "simhash-mixed")
+        pairs = now.join(mixed, "bucket").select("node", "label", F.inline("middles")).filter("label <> own").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).distinct()
+        side = lambda c: facts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}"))
+        alike = F.aggregate(F.zip_with("h_a", "h_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda held, x: held + x)
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")).filter(alike >= MATCHES)
+        found = checked(likely.select("a", "b"), texts)
+        if found.isEmpty():
+            break
+        labels = least_labels(labels.toDF("a", "b").unionByName(found))
+    found = unlike_edges(labelled(), facts, texts)
+    return labels if found.isEmpty() else least_labels(labels.toDF("a", "b").unionByName(found))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with one row of each group of similar texts."""
     used = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
-    sketches = used.mapInArrow(_sketches, f"doc_id {used.schema['doc_id'].dataType.simpleString()}, key bigint, node bigint, fp bigint, hashes array<int>")
+    sketches = used.mapInArrow(_sketches, f"doc_id {used.schema['doc_id'].dataType.simpleString()}, key bigint, node bigint, fp bigint, hashes array<int>, n int")
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    distinct = written(written(sketches, "simhash-sketches").groupBy("node").agg(F.min(head).alias("head"), F.min("fp").alias("fp"), F.min("hashes").alias("hashes")), "simhash-distinct")
-    spread = distinct.filter("hashes is not null").select("node", F.explode(band_keys()).alias("bucket"))
+    distinct = written(written(sketches, "simhash-sketches").groupBy("node").agg(F.min(head).alias("head"), F.min("fp").alias("fp"), F.min("hashes").alias("hashes"), F.min("n").alias("n")), "simhash-distinct")
+    spread = distinct.filter("hashes is not null").select("node", F.posexplode(band_keys()).alias("band", "bucket"))
     several = written(spread.groupBy("bucket").count().filter("count > 1").select("bucket"), "simhash-several")
     members = written(spread.join(several, "bucket"), "simhash-members")
     wanted = distinct.join(members.select("node").distinct(), "node").select("node", F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key"))
     at_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & F.col("key").eqNullSafe(F.col("head_key"))
     texts = written(packed(used.join(wanted, at_head).select("node", F.col("text").cast("binary").alias("data"))).dropDuplicates(["node"]), "simhash-texts")
-    labels = similar_labels(members, distinct.select("node", "fp"), texts, rounds, crowd)
+    labels = similar_labels(members, distinct, texts, rounds)
     heads = distinct.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key"))
     kept = docs.withColumn("row_key", F.xxhash64(F.col(text))).join(heads, F.col(doc_id).eqNullSafe(F.col("head_id")) & F.col("row_key").eqNullSafe(F.col("head_key")), "left_semi")
     once = Window.partitionBy(doc_id, "row_key").orderBy(F.lit(0))

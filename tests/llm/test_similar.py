@@ -39,9 +39,11 @@ def test_stage_drops_every_near_copy(spark, sf, size):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table, path).collect()) == sorted(heads)
 
 
-@pytest.mark.parametrize(("rounds", "crowd"), [(0, 32), (1, 4), (2, 32), (0, 3)])
-def test_groups_and_chains(spark, rounds, crowd):
+@pytest.mark.parametrize(("rounds", "held"), [(0, 512), (1, 4), (2, 512), (0, 3)])
+def test_groups_and_chains(spark, monkeypatch, rounds, held):
     """Copies of a text with edits, some similar to others of the group only, beside texts that share a passage."""
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "STREAMED", 2 * held)
     rng = np.random.default_rng(21)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
     base, shared, texts = word(200), word(80), []
@@ -58,10 +60,21 @@ def test_groups_and_chains(spark, rounds, crowd):
     docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
     heads = brute_heads(docs)
     assert 20 < len(heads) < 60
-    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id int, text string").repartition(3), rounds=rounds, crowd=crowd)
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id int, text string").repartition(3), rounds=rounds)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(heads)
 
 
+@pytest.mark.parametrize(("copies", "rounds", "original"), [(30, 2, True), (300, 2, True), (3000, 2, True), (300, 0, True), (300, 2, False)])
+def test_extended_copies_of_one_text(spark, copies, rounds, original):
+    """Copies at 0.876 to their original and 0.794 to each other: one row with the original, all without it."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 202)]
+    texts = [base] * original + [[*base, "plus", "two", *[f"own{k}x{i}" for i in range(26)]] for k in range(copies)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    kept = [r.doc_id for r in simhash.keep_one(docs, rounds=rounds).collect()]
+    assert kept == [0] if original else len(kept) == copies
+
+
 def test_similar_on_odd_documents(odd_docs, no_docs):
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
