@@ -18,9 +18,8 @@ block at a time: with more than one, each pass is written before the next block
 is read. A long document is folded and scanned in one piece; only its windows are
 copied.
 
-Defined results: null or blank texts and items match nothing; an item of fewer
-than ``min_chars`` folded characters has no edits to spare and is matched
-exactly, as whole words; repeated documents match each; items with equal text give a match each; an empty
+Defined results: null or blank texts and items match nothing; an item so short that
+its budget is 0 is matched exactly, as whole words; repeated documents match each; items with equal text give a match each; an empty
 table on either side gives no matches; other columns are ignored.
 """
 
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from facetlake.llm.common import written
 
-RATE, MIN_CHARS, BLOCK_CHARS, BLOCK = 0.1, 40, 2_000_000, 4
+RATE, BLOCK_CHARS, BLOCK = 0.1, 2_000_000, 4
 OTHER = re.compile(r"[\W_]+")
 
 
@@ -93,9 +92,9 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """All items of a block behind one automaton."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
-        self.items = [(i, t, int(len(t) * rate) if len(t) >= min_chars else 0, blocks_of(t)) for i, x in items if (t := folded(x))]
-        self.words = [len(t) < min_chars for _, t, _, _ in self.items]
+    def __init__(self, items: list[tuple[object, str]], rate: float = RATE):
+        self.items = [(i, t, int(len(t) * rate), blocks_of(t)) for i, x in items if (t := folded(x))]
+        self.words = [not budget for _, _, budget, _ in self.items]
         owners: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k, _) in enumerate(self.items):
             for at, piece in pieces(t, k):
@@ -170,12 +169,12 @@ def _with_only(blocks: Iterator[list]) -> Iterator[tuple[list, bool]]:
     yield block, first
 
 
-def _search(items: list[tuple[object, str]], rate: float, min_chars: int):
+def _search(items: list[tuple[object, str]], rate: float):
     made: list[Matcher] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
-            made.append(Matcher(items, rate, min_chars))
+            made.append(Matcher(items, rate))
         for batch in batches:
             names = batch.schema.names
             at, ids, distances, ends = [], [], [], []
@@ -192,14 +191,14 @@ def _search(items: list[tuple[object, str]], rate: float, min_chars: int):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, carry: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, carry: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item in it: the ``carry`` columns, item_id, distance, end (in the folded text)."""
     wanted = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).filter("text is not null").orderBy("item_id", "text")
     used = docs.select(F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     schema = ", ".join([*[f"c{i} {used.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry))], "item_id bigint, distance int, end bigint"])
     passes = []
     for block, one in _with_only(_blocks(wanted, block_chars)):
-        part = used.filter("text is not null").mapInArrow(_search(block, rate, min_chars), schema)
+        part = used.filter("text is not null").mapInArrow(_search(block, rate), schema)
         passes.append(part if one else written(part, "leaks"))
     found = passes[0]
     for part in passes[1:]:
@@ -207,23 +206,23 @@ def leaks(docs: DataFrame, items: DataFrame, *, carry: tuple[str, ...] = ("doc_i
     return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "item_id", "distance", "end")
 
 
-def _drop(items: list[tuple[object, str]], at: int, rate: float, min_chars: int):
+def _drop(items: list[tuple[object, str]], at: int, rate: float):
     made: list[Matcher] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
-            made.append(Matcher(items, rate, min_chars))
+            made.append(Matcher(items, rate))
         for batch in batches:
             yield batch.filter(pa.array([not made[0].find(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
     return run
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without those that hold a benchmark item; no shuffle, a pass for each block of items."""
     wanted = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).filter("text is not null").orderBy("item_id", "text")
     schema = docs.schema
     for block, one in _with_only(_blocks(wanted, block_chars)):
-        docs = docs.mapInArrow(_drop(block, schema.names.index(text), rate, min_chars), schema)
+        docs = docs.mapInArrow(_drop(block, schema.names.index(text), rate), schema)
         docs = docs if one else written(docs, "clean")
     return docs

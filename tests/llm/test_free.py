@@ -209,13 +209,24 @@ def test_pigeonhole_loses_nothing(item, edits, around):
         text[at : at + cut] = [] if cut else [c]
     text = around + "".join(text) + around
     pattern = decontaminate.folded(item)
-    if len(pattern) < 4:
+    if len(pattern) < 5:
         return
-    found = decontaminate.Matcher([(1, item)], 0.2, 4).find(text)
+    found = decontaminate.Matcher([(1, item)], 0.2).find(text)
     near = brute_distance(pattern, decontaminate.folded(text))
     assert [d for _, d, _ in found] == ([near] if near <= int(len(pattern) * 0.2) else [])
 
 
+def least_distance(pattern, text):
+    """Least edit distance of the pattern to a substring, a column of the table at a time."""
+    codes, steps = np.frombuffer(pattern.encode("utf-32-le"), np.uint32), np.arange(len(pattern) + 1)
+    column = best = steps
+    for c in np.frombuffer(text.encode("utf-32-le"), np.uint32):
+        step = np.concatenate([[0], np.minimum(column[:-1] + (codes != c), column[1:] + 1)])
+        column = np.minimum.accumulate(step - steps) + steps
+        best = min(best if isinstance(best, int) else int(best[-1]), int(column[-1]))
+    return best if isinstance(best, int) else int(best[-1])
+
+
 def test_leaks_match_brute_force(spark, sf):
     docs = documents(spark, sf)
     items = [(r.item_id, decontaminate.folded(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -224,15 +235,21 @@ def test_leaks_match_brute_force(spark, sf):
     for d, t in docs:
         whole = decontaminate.folded(t)
         for i, x in items:
-            if len(x) >= decontaminate.MIN_CHARS and x in whole:
+            if x in whole:
                 assert got[d, i] == 0
-    short = [(d, t) for d, t in docs if t and len(t) < 900][:25]
+    short = [(d, t) for d, t in docs if t and len(t) < 900]
+    assert len(short) > 40
     for d, t in short:
         whole = decontaminate.folded(t)
         for i, x in items:
-            if len(x) >= decontaminate.MIN_CHARS:
-                near = decontaminate.myers(x, whole)[0]
-                assert got.get((d, i)) == (near if near <= int(len(x) * decontaminate.RATE) else None)
+            near = least_distance(x, whole)
+            assert got.get((d, i)) == (near if near <= int(len(x) * decontaminate.RATE) else None)
+
+
+def test_short_items_have_edits_in_proportion():
+    matcher = decontaminate.Matcher([(1, "what is the capital of peru now"), (2, "seven")])
+    assert matcher.find("So: what is teh capital of peru, now?") == [(1, 2, 34)]
+    assert matcher.find("what is it, seventh") == [] and [f[:2] for f in matcher.find("a seven b")] == [(2, 0)]
 
 
 def test_decontaminate_on_odd_documents(spark, odd_docs, no_docs):
