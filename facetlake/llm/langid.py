@@ -18,7 +18,8 @@ threshold is set to the score below which the calibration set holds at most
 ``MISS`` of its right predictions. A document is rejected if it has no letter or
 its score is below the threshold.
 
-Defined results: a null text or one without a letter is "und" with score 0;
+Defined results: with fewer than ten labelled texts a language the scores are not calibrated
+and nothing but "und" is rejected; a null text or one without a letter is "und" with score 0;
 without any labelled text all others are "und" too; null languages and ids are
 not learned from; repeated rows are predicted each; an empty table gives no
 rows; other columns are ignored. lang, source and doc_id are no inputs of a
@@ -105,8 +106,8 @@ def train(rows: list[tuple[str, str]]) -> Model:
     rng = np.random.default_rng(SEED)
     ys = np.array([langs.index(y) for _, y in rows])
     order = rng.permutation(len(rows))
-    held = order[: len(rows) // 10] if len(rows) >= 10 * len(langs) else order
-    kept = order[len(rows) // 10 :] if len(rows) >= 10 * len(langs) else order
+    few = len(rows) < 10 * len(langs)  # too few to set some aside: nothing is calibrated or rejected
+    held, kept = (order[:0], order) if few else (order[: len(rows) // 10], order[len(rows) // 10 :])
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
     by_lang = [kept[ys[kept] == y] for y in range(len(langs))]
@@ -127,6 +128,8 @@ def train(rows: list[tuple[str, str]]) -> Model:
         bias -= rate / len(batch) * error.sum(axis=0)
         table[used] -= rate * share.T @ back
     model = Model(langs, table @ layer, bias, 0.0)
+    if few:
+        return model
     tests = [(snippet(rows[i][0], rng) if k else rows[i][0], ys[i]) for i in held for k in range(3)]
     raw = []
     for text, _ in tests:
