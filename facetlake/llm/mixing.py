@@ -1,6 +1,6 @@
 """Mixing sources to target weights by distributed prefix sums (DataFrame functions only).
 
-Every document gets a hash-random key. Within its source, documents are ordered
+Every document gets a hash-random key, of its id and text. Within its source, documents are ordered
 by that key; the key's leading digits deal a source into ranges, so a source
 with a third of all rows is many groups. Sums of the ranges are made first
 (map-side combined), their prefix sums give each range its offset, and a window
@@ -58,7 +58,8 @@ def mix_plan(docs: DataFrame, *, text: str = "text", source: str = "source", doc
     ``taken`` counts words, repeats included; a source's add up to its rounded
     target. ``carry`` columns travel with the rows (for a later join or sink).
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+    digest = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), digest))
     base = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),

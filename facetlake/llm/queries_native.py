@@ -160,7 +160,7 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 OP10_SQL = rf"""
 WITH b AS (
-  SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+  SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
 w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM r),

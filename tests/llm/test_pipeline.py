@@ -22,13 +22,17 @@ def plain_mix(docs):
     for s, target in zip(names, targets, strict=True):
         total, at = sum(sizes[i] for i in by_source[s]), 0
         epochs, rest = divmod(int(target + 0.5), total)
-        for i in sorted(by_source[s], key=lambda i: hashlib.md5(f"mix:{docs[i][0]}".encode()).hexdigest()):
+        for i in sorted(by_source[s], key=lambda i: md5(f"mix:{docs[i][0]}:{md5(docs[i][1])}")):
             taken = epochs * sizes[i] + max(0, min(sizes[i], rest - at))
             at += sizes[i]
             out += [docs[i]] * int(taken / sizes[i] + 0.5)
     return out
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def test_pipeline_matches_plain_python(spark, sf):
     from tokenizers import Tokenizer
 
