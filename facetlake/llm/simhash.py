@@ -26,7 +26,8 @@ link, of either kind, is checked on the texts themselves.
 
 A large group of copies must not become all its pairs. So ``ROUNDS`` times the members of
 each key are compared with a few of them: the one whose keys have the most members in all (a
-text that others extend or edit shares keys with most of them, an edited copy with few), and
+text that others extend or edit shares keys with most of them, an edited copy with few; of equal
+ones the text with the fewest shingles), and
 after the first time some drawn ones. Pairs of which fewer than ``MATCHES`` of all min-hashes agree, or whose sizes
 exclude the similarity, go no further; at a similarity of 0.8 that is a chance of 0.00001.
 Then labels spread, and only keys whose members still have different labels go on, whole:
@@ -500,9 +501,9 @@ def similar_labels(members: DataFrame, distinct: DataFrame, texts: DataFrame, ro
     for turn in range(rounds):
         now = labelled()
         drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node").alias("h"), F.col("node").alias("middle"), F.col("label").alias("own"))).alias(f"x{k}") for k in range(DRAWN if turn else 0)]
-        central = F.min(F.struct((-F.col("shared")).alias("h"), F.col("node").alias("middle"), F.col("label").alias("own"))).alias("central")
-        by_label = now.join(facts.select("node", "shared"), "node").groupBy("bucket", "label").agg(central, *drawn)
-        middles = F.array(*[F.min(c) for c in ("central", *[f"x{k}" for k in range(len(drawn))])]).alias("middles")
+        central = F.min(F.struct((-F.col("shared")).alias("h"), "n", F.col("node").alias("middle"), F.col("label").alias("own"))).alias("central")
+        by_label = now.join(facts.select("node", "n", "shared"), "node").groupBy("bucket", "label").agg(central, *drawn)
+        middles = F.array(*[F.struct(F.min(c)["middle"].alias("middle"), F.min(c)["own"].alias("own")) for c in ("central", *[f"x{k}" for k in range(len(drawn))])]).alias("middles")
         mixed = written(by_label.groupBy("bucket").agg(F.count("*").alias("labels"), middles).filter("labels > 1").select("bucket", "middles"), "simhash-mixed")
         pairs = now.join(mixed, "bucket").select("node", "label", F.inline("middles")).filter("label <> own").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).distinct()
         side = lambda c: facts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}"))
