@@ -9,7 +9,9 @@ from facetlake.functions import text as T
 from facetlake.functions import vectors as V
 from facetlake.functions.metrics import top
 from facetlake.operators import corpus
+from facetlake.operators.nearest import top_dense, top_sparse
 from facetlake.queries.base import table, tokens_sql
+from facetlake.storage import written
 
 QUERIES, ORACLE = {}, {}
 W = r"[\p{L}\p{M}\p{N}_]"
@@ -150,17 +152,29 @@ def tfidf_similarity_topk(spark, sf):
     return top(scores, 10, ["item"], "doc").select("item", "doc", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("document_similarity_topk", f"""
+WITH t AS (SELECT doc_id AS id, unnest({tokens_sql("text")}) AS term FROM documents),
+c AS (SELECT id, term, count(*) AS n FROM t GROUP BY ALL),
+w AS (SELECT c.*, n * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM c JOIN (SELECT term, count(*) AS df FROM c GROUP BY term) USING (term)),
+v AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w),
+s AS (SELECT a.id AS doc, b.id AS other, round(sum(a.weight * b.weight), 6) AS score FROM v a JOIN v b USING (term) WHERE a.id % 50 = 0 AND a.id <> b.id GROUP BY ALL)
+SELECT doc, other, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, other) AS rank FROM s) WHERE rank <= 10""")
+def document_similarity_topk(spark, sf):
+    """The ten nearest texts of every document whose id is divisible by 50, from posting blocks that can hold them."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.lower("text")).alias("tokens"))
+    v = written(V.tfidf(docs, ["id"]), "tfidf")
+    found = top_sparse(v.filter("id % 50 = 0").withColumnRenamed("id", "query"), v, 10)
+    return found.select(F.col("query").alias("doc"), F.col("id").alias("other"), "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("embedding_dot_topk", """
 WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(greatest(-1, least(1, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)))), 5) AS score
   FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
 def embedding_dot_topk(spark, sf):
-    """Queries are the vectors whose id is divisible by 50, dealt in blocks of 64; each block meets every vector once."""
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    blocks = e.filter("vec_id % 50 = 0").groupBy(F.floor(F.col("vec_id") / 3200).alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))).alias("queries"))
-    pairs = e.join(blocks, F.col("block") >= 0).select("vec_id", "embedding", F.explode("queries").alias("x")).filter("x.q <> vec_id")
-    scores = pairs.select(F.col("x.q").alias("query_id"), "vec_id", F.round(V.clipped(V.dense_dot(F.col("x.v"), F.col("embedding"))), 5).alias("score"))
-    return top(scores, 10, ["query_id"], "vec_id").select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    """Queries are the vectors whose id is divisible by 50, in blocks; a block meets a slice of all vectors as one matrix product."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return top_dense(e.filter("id % 50 = 0"), e, 10).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("unit_norm_gate", "SELECT count(*) FILTER (abs(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) - 1) > 1e-4) AS n_violations, count(*) AS n FROM embeddings")
