@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,45 +11,91 @@ from facetlake.functions import rules
 from facetlake.functions import vectors as V
 from facetlake.functions.metrics import prf, prf_by_facet
 from facetlake.operators.gates import require_none
+from facetlake.storage import written
+
+
+#: Labels of one connected group that are assigned in one task; a larger group is an error.
+MOST_LABELS = 4_000
+
+
+def least_cost(cost: np.ndarray) -> np.ndarray:
+    """The column of each row in a one-to-one choice of least total cost; rows are no more than columns.
+
+    Shortest augmenting paths with potentials: a row at a time is added along the path of least
+    reduced cost, a column a step, each step one pass over the columns as an array.
+    """
+    rows, columns = cost.shape
+    of_row, of_column = np.zeros(rows), np.zeros(columns)
+    owner = np.full(columns, -1)
+    for row in range(rows):
+        reach, via, done = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
+        at, far, path = row, 0.0, []
+        while True:
+            new = far + cost[at] - of_row[at] - of_column
+            closer = ~done & (new < reach)
+            reach[closer], via[closer] = new[closer], at
+            column = int(np.argmin(np.where(done, np.inf, reach)))
+            far = reach[column]
+            done[column] = True
+            path.append((column, far))
+            if owner[column] < 0:
+                break
+            at = owner[column]
+        of_row[row] += far
+        for c, d in path[:-1]:
+            of_row[owner[c]] += far - d
+            of_column[c] -= far - d
+        while True:  # the path's columns change hands, from its end to the new row
+            at = via[column]
+            held = np.flatnonzero(owner == at)
+            owner[column] = at
+            if at == row:
+                break
+            column = int(held[0])
+    out = np.full(rows, -1)
+    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return out
 
 
 def assign(pairs: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
-    """The one-to-one choice with most pairs, then the greatest sum; pairs: (left, right, score).
+    """The one-to-one choice with most pairs, then the greatest sum; pairs: (left, right, score); ties go by name.
 
-    Augmenting paths of least cost, one a pair: after k paths the choice is the
-    best of size k, and each path makes it one larger. Ties go by name.
+    Pairs that aren't offered cost more than all scores together, so that the choice has as few of them as it can.
     """
     lefts, rights = sorted({a for a, _, _ in pairs}), sorted({b for _, b, _ in pairs})
-    cost = {(a, b): -s for a, b, s in pairs}
-    chosen: dict[str, str] = {}
+    if len(lefts) > len(rights):
+        return sorted((a, b, s) for b, a, s in assign([(b, a, s) for a, b, s in pairs]))
+    if max(len(lefts), len(rights)) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels hang together")
+    scores = {(a, b): s for a, b, s in pairs}
+    place = {a: i for i, a in enumerate(lefts)}, {b: j for j, b in enumerate(rights)}
+    worst = 1.0 + (max(scores.values(), default=0.0) - min(scores.values(), default=0.0)) * (len(lefts) + 1)
+    cost = np.full((len(lefts), len(rights)), worst - min(0.0, min(scores.values(), default=0.0)))
+    for (a, b), score in scores.items():
+        cost[place[0][a], place[1][b]] = -score
+    chosen = zip(lefts, (rights[j] for j in least_cost(cost)), strict=True)
+    return sorted((a, b, scores[a, b]) for a, b in chosen if (a, b) in scores)
+
+
+def hanging_together(pairs: DataFrame, keys: list[str], column: str = "together") -> DataFrame:
+    """The pairs with the least left label that each is connected with, through pairs of its group; pairs with a null key go.
+
+    Each round a label takes the least name among its partners' partners; rounds are written tables
+    and end when no name changes. Groups that a threshold has cut into pieces are solved piece by piece.
+    """
+    now = written(pairs.withColumn(column, F.col("left")), "together")
     while True:
-        best = {("l", a): (0.0, None) for a in lefts if a not in chosen}
-        for _ in range(len(lefts) + len(rights)):
-            grew = False
-            for (a, b), c in sorted(cost.items()):
-                if ("l", a) in best and chosen.get(a) != b and (d := best["l", a][0] + c) < best.get(("r", b), (float("inf"),))[0] - 1e-12:
-                    best["r", b] = d, a
-                    grew = True
-            for a, b in sorted(chosen.items()):
-                if ("r", b) in best and (d := best["r", b][0] - cost[a, b]) < best.get(("l", a), (float("inf"),))[0] - 1e-12:
-                    best["l", a] = d, b
-                    grew = True
-            if not grew:
-                break
-        used = set(chosen.values())
-        ends = [(best["r", b][0], b) for b in rights if b not in used and ("r", b) in best]
-        if not ends:
-            return sorted((a, b, -cost[a, b]) for a, b in chosen.items())
-        b = min(ends)[1]
-        while b is not None:
-            a = best["r", b][1]
-            after = best["l", a][1]
-            chosen[a] = b
-            b = after
+        by_right = now.groupBy(*keys, "right").agg(F.min(column).alias("near"))
+        by_left = now.join(by_right, [*keys, "right"]).groupBy(*keys, "left").agg(F.min("near").alias("near"))
+        further = by_left.join(by_left.select(*keys, F.col("left").alias("near"), F.col("near").alias("next")), [*keys, "near"]).select(*keys, "left", F.least("near", "next").alias("near"))
+        new = written(now.join(further, [*keys, "left"]).select(*pairs.columns, F.col("near").alias(column), (F.col("near") != F.col(column)).alias("moved")), "together")
+        if not new.agg(F.bool_or("moved")).first()[0]:
+            return new.drop("moved")
+        now = new.drop("moved")
 
 
 def assign_groups(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (keys, left, right, score) chosen within each group of keys; groups are a paper's labels, so small."""
+    """Pairs (keys, left, right, score) chosen within each group of keys, a connected piece of a group in one task."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = assign(list(zip(rows["left"], rows["right"], rows["score"].astype(float), strict=True)))
@@ -58,7 +105,7 @@ def assign_groups(pairs: DataFrame, keys: list[str]) -> DataFrame:
         return out[[*keys, "left", "right", "score"]]
 
     schema = ", ".join([*[f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys], "left string, right string, score double"])
-    return pairs.groupBy(*keys).applyInPandas(run, schema)
+    return hanging_together(pairs.select(*keys, "left", "right", "score"), keys).groupBy(*keys, "together").applyInPandas(run, schema)
 
 
 def exact_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:

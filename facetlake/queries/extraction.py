@@ -157,6 +157,31 @@ def label_assignment(spark, sf):
     return J.assign_groups(pairs, ["s_nationkey"])
 
 
+_PAIRS_SQL = """
+offered AS (
+  SELECT s_nationkey AS nation, l_suppkey, l_partkey % 7 AS class, round(1000000 * avg(l_discount))::BIGINT AS score
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL HAVING avg(l_discount) >= 0.05),
+turns AS (SELECT *, dense_rank() OVER (PARTITION BY nation ORDER BY l_suppkey) AS turn FROM offered)
+"""
+
+
+@query("assignment_totals", "WITH RECURSIVE " + _PAIRS_SQL + """,
+options AS (SELECT nation, turn, 1 << class AS bit, score, 1 AS one FROM turns UNION ALL SELECT DISTINCT nation, turn, 0, 0, 0 FROM turns),
+dp AS (
+  SELECT DISTINCT nation, 0::BIGINT AS turn, 0 AS mask, {'n': 0, 'total': 0::BIGINT} AS best FROM turns
+  UNION ALL
+  SELECT nation, turn, mask, max(best) AS best FROM (
+    SELECT d.nation, o.turn, (d.mask | o.bit)::INT AS mask, {'n': d.best.n + o.one, 'total': d.best.total + o.score} AS best
+    FROM dp d JOIN options o ON o.nation = d.nation AND o.turn = d.turn + 1 WHERE d.mask & o.bit = 0) GROUP BY nation, turn, mask)
+SELECT nation AS s_nationkey, max(best).n::BIGINT AS n_pairs, max(best).total::BIGINT AS total FROM dp GROUP BY nation""")
+def assignment_totals(spark, sf):
+    """Suppliers to part classes, one to one in each nation: how many pairs, and their sum; SQL tries every set of classes."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    means = lines.groupBy("s_nationkey", F.col("l_suppkey").cast("string").alias("left"), (F.col("l_partkey") % 7).cast("string").alias("right")).agg(F.avg("l_discount").alias("mean"))
+    pairs = means.filter("mean >= 0.05").select("s_nationkey", "left", "right", F.round(1_000_000 * F.col("mean")).alias("score"))
+    return J.assign_groups(pairs, ["s_nationkey"]).groupBy("s_nationkey").agg(F.count("*").alias("n_pairs"), F.sum("score").cast("bigint").alias("total"))
+
+
 @query("attempt_assessment")
 def attempt_assessment(spark, sf):
     """Replies made of each document's own words, judged: the first three words of a sentence are valid, reversed ones are not."""

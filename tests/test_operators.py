@@ -152,6 +152,25 @@ def test_adapt_classify_override(spark):
 # --- matching ----------------------------------------------------------------
 
 
+def test_large_assignment_is_quick_and_pieces_are_apart(spark):
+    import time
+
+    import numpy as np
+
+    scores = np.random.default_rng(4).random((500, 500))
+    began = time.time()
+    columns = matching.least_cost(-scores)
+    assert time.time() - began < 5 and sorted(columns) == list(range(500))
+    #: No swap of two rows' columns does better.
+    now = scores[np.arange(500), columns]
+    assert (scores[:, columns] + scores[:, columns].T <= now[:, None] + now[None] + 1e-9).all()
+    chain = [("g", f"l{i}", f"r{i + d}", 1.0) for i in range(30) for d in (0, 1)] + [("g", "x", "y", 0.5), ("h", "l0", "r0", 1.0)]
+    found = matching.hanging_together(spark.createDataFrame(chain, "g string, left string, right string, score double"), ["g"])
+    assert {(r.g, r.left, r.together) for r in found.collect()} == {("g", f"l{i}", "l0") for i in range(30)} | {("g", "x", "x"), ("h", "l0", "l0")}
+    with pytest.raises(ValueError):
+        matching.assign([("a", f"b{j}", 1.0) for j in range(matching.MOST_LABELS + 1)])
+
+
 def brute_assign(pairs):
     lefts, rights = sorted({a for a, _, _ in pairs}), sorted({b for _, b, _ in pairs})
     score = {(a, b): s for a, b, s in pairs}
