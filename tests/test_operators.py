@@ -277,3 +277,36 @@ def test_gates_notice_changes(spark):
     scored = case.withColumn("model", F.lit("m")).withColumn("score", F.lit(1.0))
     assert gates.incomplete(scored, case, ["m"]).count() == 0 and gates.incomplete(scored.filter("paper_id = 'a'"), case, ["m"]).count() == 1
     assert gates.bad_rankings(scored.withColumn("rank", F.when(F.col("paper_id") == "a", 2).otherwise(1))).count() == 1
+
+
+def brute_hits(content, vocabulary):
+    """Longest concepts first, then by name and place, none that overlaps one before; sign by the words before."""
+    import re
+
+    words, starts = content.split(" "), [0]
+    for w in words:
+        starts.append(starts[-1] + len(w) + 1)
+    places = {s: i for i, s in enumerate(starts)}
+    hits = [(-len(c), c, s) for i, s in enumerate(starts[:-1]) for n in range(1, 6) if (c := " ".join(words[i : i + n])) in vocabulary and i + n <= len(words)]
+    taken, out = [False] * len(words), set()
+    for less, c, s in sorted(hits):
+        spot = range(places[s], places[s] + c.count(" ") + 1)
+        if not any(taken[k] for k in spot):
+            for k in spot:
+                taken[k] = True
+            out.add((c, -1 if re.search(r"(without|excluding|alternatives? to|instead of|not using)\s*$", content[max(0, s - 20) : s]) else 1))
+    return out
+
+
+@pytest.mark.parametrize("n", [40, 100_000])
+def test_mentions_in_long_searches(spark, n):
+    import random
+
+    rng = random.Random(n)
+    vocabulary = {" ".join(rng.choices("abcdefgh", k=rng.randint(1, 4))) for _ in range(60)}
+    concepts = spark.createDataFrame([(i, "task", c) for i, c in enumerate(sorted(vocabulary))], "paper_id int, facet string, concept string")
+    contents = [" ".join(rng.choices([*"abcdefghxyz", "without", "alternatives", "to", "instead", "of"], k=rng.randint(1, n))) for _ in range(3 if n > 99 else 60)]
+    contents = [c for c in contents if c not in vocabulary and not c.startswith("alternatives to ") and not c.startswith("more papers")]
+    searches = spark.createDataFrame([(i, f"task: {c}") for i, c in enumerate(contents)], "query_id int, text string")
+    got = {(r.query_id, r.concept, r.sign) for r in mentions(searches, concepts).collect()}
+    assert got == {(i, *hit) for i, c in enumerate(contents) for hit in brute_hits(c, vocabulary)}
