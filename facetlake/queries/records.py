@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from facetlake.functions import rules as R
@@ -15,6 +16,7 @@ from facetlake.operators import intent as D
 from facetlake.operators import matching as J
 from facetlake.operators import profiles as P
 from facetlake.operators import review as W
+from facetlake.plans import experiment_gate as E
 from facetlake.queries.base import BASE_SQL, part_concepts, reactions, table
 from facetlake.queries.extraction import attempts, gold_and_predicted
 from facetlake.sources import tables as S
@@ -86,10 +88,11 @@ def safe_paths(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.safe_path(F.expr(_NAME.replace("\\", "\\\\"))).alias("path"))
 
 
-@query("remaining_work", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("remaining_work", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def remaining_work(spark, sf):
-    """What a resumed run has left: customers without an order."""
-    return S.remaining(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """What a resumed run has left: customers without an order in progress."""
+    done = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return S.remaining(table(spark, sf, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
 # --- texts and labels --------------------------------------------------------
@@ -236,11 +239,19 @@ def normalized_weights(spark, sf):
     return found.join(bad, "s_nationkey", "left_anti").select("s_nationkey", "s_suppkey", F.round("weight", 9).alias("weight"))
 
 
-@query("concept_sets", "WITH " + BASE_SQL + "SELECT paper_id, string_agg(facet || '=' || s, ';' ORDER BY facet) AS sets FROM (SELECT paper_id, facet, string_agg(DISTINCT concept, '|' ORDER BY concept) AS s FROM concepts GROUP BY ALL) GROUP BY paper_id")
+@query("concept_sets", """
+WITH c AS (
+  SELECT p_partkey AS paper_id, f.facet, trim(regexp_replace(lower(f.concept), '[^\\p{L}\\p{M}\\p{N}_]+', ' ', 'g')) AS concept
+  FROM part, unnest([{'facet': 'problem', 'concept': string_split(p_name, ' ')[1]}, {'facet': 'problem', 'concept': upper(string_split(p_name, ' ')[1])}, {'facet': 'task', 'concept': p_type || ' - ' || p_brand}, {'facet': 'dataset', 'concept': ' ! '}]) u(f)
+  WHERE p_size % 11 <> 0 AND p_size % 13 <> 0)
+SELECT DISTINCT paper_id, facet, concept FROM c WHERE concept <> ''""")
 def concept_sets(spark, sf):
-    maps = A.arrays(part_concepts(spark, sf))
-    each = F.array_sort(F.transform(F.map_entries("concepts"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.array_sort(e["value"]), "|"))))
-    return maps.select("paper_id", F.array_join(each, ";").alias("sets"))
+    """Parts as papers with facet lists; those whose metadata name a fallback or errors are left out as a whole."""
+    part, none = table(spark, sf, "part"), F.array().cast("array<string>")
+    name = F.get(F.split("p_name", " "), F.lit(0))
+    facets = part.select(F.col("p_partkey").alias("paper_id"), F.array(name, F.upper(name)).alias("problem"), F.array(F.concat("p_type", F.lit(" - "), "p_brand")).alias("task"), none.alias("method"), F.array(F.lit(" ! ")).alias("dataset"), F.lit(None).cast("array<string>").alias("contribution"))
+    metadata = part.select(F.col("p_partkey").alias("paper_id"), (F.col("p_size") % 11 == 0).alias("fallback_used"), F.when(F.col("p_size") % 13 == 0, F.array(F.lit("no source"))).otherwise(none).alias("validation_errors"))
+    return A.concept_sets(facets, metadata, faithful=False)
 
 
 @query("facet_postings", "WITH " + BASE_SQL + "SELECT DISTINCT facet, concept, paper_id FROM concepts")
@@ -413,3 +424,70 @@ def evaluation_report(spark, sf):
 def compact_history(spark, sf):
     """Users with their event counts and time range, as a loader checks them."""
     return P.user_table(reactions(spark, sf))
+
+
+_EXPERIMENT_SQL = """
+base AS (SELECT event_id, user_id, date_trunc('day', ts) AS day, (props->>'k')::BIGINT AS k, ts FROM events WHERE event_type <> 'error'),
+searches AS (
+  SELECT event_id AS query_id, user_id, day AS session_id, ts, CASE WHEN event_id % 50 = 0 THEN event_id + 1 ELSE lag(event_id) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) END AS parent FROM base
+  UNION ALL SELECT event_id, user_id, day, ts, NULL FROM base WHERE event_id % 90 = 6),
+exposures AS (
+  SELECT event_id AS exposure_id, user_id + (event_id % 45 = 3)::INT AS user_id, day AS session_id, event_id AS query_id, CASE WHEN event_id % 40 = 1 THEN [k, k] WHEN event_id % 55 = 8 THEN [k] ELSE [k, k + 1] END AS paper_ids,
+    CASE WHEN event_id % 60 = 7 THEN ts - INTERVAL 1 SECOND ELSE ts + INTERVAL 1 SECOND END AS ts FROM base),
+interactions AS (
+  SELECT user_id, CASE WHEN event_id % 30 = 4 THEN k + 9 ELSE k END AS paper_id, CASE WHEN event_id % 70 = 5 THEN 'bought' ELSE 'click' END AS kind, day AS session_id,
+    CASE WHEN event_id % 35 = 2 THEN -event_id ELSE event_id END AS exposure_id, ts + INTERVAL 2 SECOND AS ts FROM base),
+cases AS (SELECT o_custkey AS case_id, o_custkey % 100 AS query_paper_id, o_orderkey % 100 AS paper_id FROM orders),
+splits AS (
+  SELECT c_custkey AS case_id, c_custkey % 100 AS query_paper_id, CASE WHEN c_custkey % 77 = 0 THEN 'spare' WHEN c_custkey < 100 AND c_custkey % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM customer WHERE c_custkey % 31 <> 0
+  UNION ALL SELECT c_custkey, c_custkey % 100, 'train' FROM customer WHERE c_custkey % 83 = 0)
+"""
+
+
+def experiment_tables(spark, sf):
+    """Events as an experiment's logs, orders as its pools, customers as its splits, with faults of each rule planted."""
+    n, k, ts = F.col("event_id"), F.col("k"), F.col("ts")
+    base = table(spark, sf, "events").filter("event_type <> 'error'").select("event_id", "user_id", F.date_trunc("day", "ts").alias("session_id"), F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.col("ts").cast("timestamp").alias("ts"))
+    second = lambda i: ts + F.make_dt_interval(secs=F.lit(i))
+    parent = F.when(n % 50 == 0, n + 1).otherwise(F.lag("event_id").over(Window.partitionBy("user_id", "session_id").orderBy("ts", "event_id")))
+    searches = base.select(n.alias("query_id"), "user_id", "session_id", "ts", parent.alias("parent_query_id"))
+    searches = searches.unionByName(base.filter(n % 90 == 6).select(n.alias("query_id"), "user_id", "session_id", "ts", F.lit(None).cast("bigint").alias("parent_query_id")))
+    papers = F.when(n % 40 == 1, F.array("k", "k")).when(n % 55 == 8, F.array("k")).otherwise(F.array(k, k + 1))
+    exposures = base.select(n.alias("exposure_id"), (F.col("user_id") + (n % 45 == 3).cast("int")).alias("user_id"), "session_id", n.alias("query_id"), papers.alias("paper_ids"), F.when(n % 60 == 7, second(-1)).otherwise(second(1)).alias("ts"))
+    interactions = base.select("user_id", F.when(n % 30 == 4, k + 9).otherwise(k).alias("paper_id"), F.when(n % 70 == 5, "bought").otherwise("click").alias("interaction_type"), "session_id", F.when(n % 35 == 2, -n).otherwise(n).alias("exposure_id"), second(2).alias("ts"))
+    cases = table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), (F.col("o_custkey") % 100).alias("query_paper_id"), (F.col("o_orderkey") % 100).alias("paper_id"))
+    c = F.col("c_custkey")
+    customers = table(spark, sf, "customer")
+    side = F.when(c % 77 == 0, "spare").when((c < 100) & (c % 4 == 0), "test").otherwise("train")
+    splits = customers.filter(c % 31 != 0).select(c.alias("case_id"), (c % 100).alias("query_paper_id"), side.alias("split")).unionByName(customers.filter(c % 83 == 0).select(c.alias("case_id"), (c % 100).alias("query_paper_id"), F.lit("train").alias("split")))
+    return searches, exposures, interactions, cases, splits
+
+
+@query("experiment_violations", "WITH " + _EXPERIMENT_SQL + """,
+q AS (SELECT query_id, count(*) AS n, min(user_id) AS u, min(session_id) AS s, min(ts) AS t FROM searches GROUP BY query_id),
+x AS (SELECT * FROM exposures),
+i AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, session_id ORDER BY ts, exposure_id, paper_id) AS before FROM interactions),
+ix AS (SELECT i.*, x.exposure_id IS NULL AS lost, x.user_id = i.user_id AND x.session_id = i.session_id AND x.ts < i.ts AS after, list_contains(x.paper_ids, i.paper_id) AS shown FROM i LEFT JOIN x ON x.exposure_id = i.exposure_id),
+pool AS (SELECT case_id, paper_id, count(*) AS n, max((paper_id = query_paper_id)::INT) AS own FROM cases GROUP BY ALL),
+sp AS (SELECT case_id, count(*) AS n, bool_and(split IN ('train', 'dev', 'test')) AS known FROM splits GROUP BY case_id),
+sc AS (SELECT sp.*, coalesce(sp.case_id, c.case_id) AS id, c.case_id IS NOT NULL AS pooled FROM sp FULL JOIN (SELECT DISTINCT case_id FROM cases) c ON sp.case_id = c.case_id)
+SELECT 'searches' AS name, 'repeated_id' AS rule, query_id::VARCHAR AS key FROM q WHERE n > 1
+UNION ALL SELECT 'searches', 'bad_parent', s.query_id::VARCHAR FROM searches s LEFT JOIN q ON q.query_id = s.parent WHERE s.parent IS NOT NULL AND NOT coalesce(q.u = s.user_id AND q.s = s.session_id AND q.t < s.ts, false)
+UNION ALL SELECT 'exposures', 'wrong_search', exposure_id::VARCHAR FROM x LEFT JOIN q USING (query_id) WHERE NOT coalesce(q.u = x.user_id AND q.s = x.session_id AND q.t < x.ts, false)
+UNION ALL SELECT 'exposures', 'repeated_paper', exposure_id::VARCHAR FROM x WHERE len(list_distinct(paper_ids)) <> len(paper_ids)
+UNION ALL SELECT 'exposures', 'size', exposure_id::VARCHAR FROM x WHERE len(paper_ids) <> 2
+UNION ALL SELECT 'interactions', 'wrong_exposure', exposure_id || ':' || paper_id FROM ix WHERE NOT coalesce(after, false)
+UNION ALL SELECT 'interactions', 'not_shown', exposure_id || ':' || paper_id FROM ix WHERE NOT lost AND NOT shown
+UNION ALL SELECT 'interactions', 'kind', exposure_id || ':' || paper_id FROM ix WHERE kind = 'bought'
+UNION ALL SELECT 'interactions', 'not_rising', exposure_id || ':' || paper_id FROM ix WHERE before >= ts
+UNION ALL SELECT 'cases', 'repeated_paper', case_id || ':' || paper_id FROM pool WHERE n > 1
+UNION ALL SELECT 'cases', 'own_query', case_id || ':' || paper_id FROM pool WHERE own = 1
+UNION ALL SELECT 'cases', 'size', case_id::VARCHAR FROM pool GROUP BY case_id HAVING sum(n) <> 10
+UNION ALL SELECT 'splits', 'uncovered', id::VARCHAR FROM sc WHERE n IS NULL
+UNION ALL SELECT 'splits', 'unknown_case', id::VARCHAR FROM sc WHERE NOT pooled
+UNION ALL SELECT 'splits', 'repeated_case', id::VARCHAR FROM sc WHERE n > 1
+UNION ALL SELECT 'splits', 'side', id::VARCHAR FROM sc WHERE NOT known
+UNION ALL SELECT 'splits', 'leaking_anchor', query_paper_id::VARCHAR FROM splits GROUP BY query_paper_id HAVING min(split) <> max(split)""")
+def experiment_violations(spark, sf):
+    """Every broken rule of a whole experiment, from its tables with planted faults."""
+    return E.experiment_violations(*experiment_tables(spark, sf), shown=2, pool=10)

@@ -11,6 +11,7 @@ from facetlake.operators import gates as G
 from facetlake.operators import sampling as K
 from facetlake.operators.scorers import joint_vectors, part_cosines, score_retrieval
 from facetlake.queries.base import BASE_SQL, part_concepts, part_papers, table, tokens_sql
+from facetlake.storage import written
 
 QUERIES, ORACLE = {}, {}
 KS = (5, 10)
@@ -213,11 +214,16 @@ def fold_means(spark, sf):
     return found.select("model", *[F.round(n, 5).alias(n) for n in ("average_precision", "recall_20")])
 
 
-@query("prediction_completeness", "WITH " + SCORES_SQL + "SELECT 0::BIGINT AS n_incomplete, 0::BIGINT AS n_bad")
+@query("prediction_completeness", "WITH " + CASES_SQL + """
+SELECT count(*) FILTER (paper_id % 13 = 0) + count(*) FILTER (paper_id % 17 = 0) AS n_incomplete, count(*) FILTER (paper_id % 19 = 0) AS n_bad FROM cases""")
 def prediction_completeness(spark, sf):
-    found = scores(spark, sf)
+    """Rankings with planted faults: papers that one model lacks, that one has twice, and that one scores infinitely."""
+    model, paper = F.col("model"), F.col("paper_id")
+    found = written(scores(spark, sf).filter((model != "random") | (paper % 13 != 0)), "scores")
+    found = found.unionByName(found.filter((model == "text_tfidf") & (paper % 17 == 0)))
     missing = G.incomplete(found, example_cases(spark, sf), ["random", "text_tfidf", "equal_facets", "weighted_facets"])
-    bad = G.bad_rankings(M.ranked(found, ["case_id", "model"]))
+    endless = found.withColumn("score", F.when((model == "equal_facets") & (paper % 19 == 0), F.lit(float("inf"))).otherwise(F.col("score")))
+    bad = G.bad_rankings(M.ranked(endless, ["case_id", "model"]))
     return missing.agg(F.count("*").alias("n_incomplete")).withColumn("n_bad", bad.agg(F.count("*").alias("n")).scalar())
 
 
@@ -261,9 +267,14 @@ def split_by_anchor(spark, sf):
     return K.grouped_splits(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "s3").select("o_orderkey", "o_custkey", "split")
 
 
-@query("split_leakage_gate", "SELECT 0::BIGINT AS n_leaks")
+@query("split_leakage_gate", """
+SELECT o_custkey FROM orders GROUP BY o_custkey
+HAVING o_custkey % 10 = 0 AND count(*) FILTER (o_orderstatus = 'F') > 0 AND count(*) FILTER (o_orderstatus <> 'F') > 0""")
 def split_leakage_gate(spark, sf):
-    return G.split_leaks(split_by_anchor(spark, sf), "o_custkey").agg(F.count("*").alias("n_leaks"))
+    """Customers on two sides: of every tenth customer the finished orders are moved to a side of their own."""
+    moved = (F.col("o_custkey") % 10 == 0) & (F.col("o_orderstatus") == "F")
+    rows = split_by_anchor(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    return G.split_leaks(rows.withColumn("split", F.when(moved, "later").otherwise(F.col("split"))), "o_custkey")
 
 
 @query("candidate_quota_sample", "WITH " + GRADES_SQL + """,

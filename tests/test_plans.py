@@ -125,3 +125,45 @@ def test_eligibility_and_merging(spark):
     attempts = spark.createDataFrame([("P", 1, "extract", True, 3, 50.0), ("P", 2, "review", True, 1, 10.0), ("Q", 1, "extract", False, 1, 90.0), ("Q", 2, "extract", False, 2, 20.0)], "paper_id string, attempt int, stage string, valid boolean, n_items int, score double").withColumn("parseable", F.lit(True)).withColumn("schema_valid", F.lit(True)).withColumn("errors", F.array().cast("array<string>"))
     assert {r.paper_id: r.attempt for r in review.newest_valid(attempts).collect()} == {"P": 2, "Q": 2}
     assert review.freeze(rows, 3, 2, "s").groupBy("batch").count().count() == 2
+
+
+def test_experiment_violations_name_every_fault(spark):
+    """A valid experiment has none; one fault of each rule gives that rule and its key."""
+    import datetime as dt
+
+    from facetlake.plans import experiment_gate as E
+
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    good = {
+        "searches": [(1, 7, "s", None, t(0)), (2, 7, "s", 1, t(10))],
+        "exposures": [(11, 7, "s", 1, [1, 2], t(1)), (12, 7, "s", None, [3, 4], t(11))],
+        "interactions": [(7, 1, "click", "s", 11, t(2)), (7, 4, "like", "s", 12, t(12))],
+        "cases": [("a", 9, 1), ("a", 9, 2), ("b", 8, 1), ("b", 8, 3)],
+        "splits": [("a", 9, "train"), ("b", 8, "test")],
+    }
+    schemas = {
+        "searches": "query_id int, user_id int, session_id string, parent_query_id int, ts timestamp",
+        "exposures": "exposure_id int, user_id int, session_id string, query_id int, paper_ids array<int>, ts timestamp",
+        "interactions": "user_id int, paper_id int, interaction_type string, session_id string, exposure_id int, ts timestamp",
+        "cases": "case_id string, query_paper_id int, paper_id int",
+        "splits": "case_id string, query_paper_id int, split string",
+    }
+    found = lambda rows: E.experiment_violations(*[spark.createDataFrame(rows[n], schemas[n]) for n in schemas], shown=2, pool=2)
+    assert found(good).count() == 0
+    E.require_valid(found(good))
+    faults = [
+        ("searches", (2, 7, "s", 2, t(10)), {("searches", "repeated_id", "2"), ("searches", "bad_parent", "2")}),
+        ("exposures", (13, 6, "s", 1, [1, 1, 1], t(20)), {("exposures", "wrong_search", "13"), ("exposures", "repeated_paper", "13"), ("exposures", "size", "13")}),
+        ("interactions", (7, 9, "bought", "s", 12, t(12)), {("interactions", r, "12:9") for r in ("not_shown", "kind", "not_rising")}),
+        ("interactions", (7, 1, "view", "s", 99, t(40)), {("interactions", "wrong_exposure", "99:1")}),
+        ("cases", ("b", 8, 3), {("cases", "repeated_paper", "b:3"), ("cases", "size", "b")}),
+        ("cases", ("a", 9, 9), {("cases", "own_query", "a:9"), ("cases", "size", "a")}),
+        ("cases", ("c", 5, 1), {("cases", "size", "c"), ("splits", "uncovered", "c")}),
+        ("splits", ("b", 9, "later"), {("splits", "repeated_case", "b"), ("splits", "side", "b"), ("splits", "leaking_anchor", "9")}),
+        ("splits", ("d", 4, "dev"), {("splits", "unknown_case", "d")}),
+    ]
+    for name, row, wanted in faults:
+        bad = found(good | {name: [*good[name], row]})
+        assert {tuple(r) for r in bad.select("name", "rule", "key").collect()} == wanted, (name, row)
+    with pytest.raises(GateError, match="splits.unknown_case: 1, such as d"):
+        E.require_valid(bad)
