@@ -13,6 +13,7 @@ from facetlake.operators import extraction as X
 from facetlake.operators import facets as A
 from facetlake.operators import gates as G
 from facetlake.operators import intent as D
+from facetlake.operators import lineage as L
 from facetlake.operators import matching as J
 from facetlake.operators import profiles as P
 from facetlake.operators import review as W
@@ -491,3 +492,38 @@ UNION ALL SELECT 'splits', 'leaking_anchor', query_paper_id::VARCHAR FROM splits
 def experiment_violations(spark, sf):
     """Every broken rule of a whole experiment, from its tables with planted faults."""
     return E.experiment_violations(*experiment_tables(spark, sf), shown=2, pool=10)
+
+
+_LINEAGE_SQL = """
+orders_in_turn AS (SELECT *, lag(o_orderkey) OVER w AS before, lag(o_totalprice) OVER w AS price_before, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS newest FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+records AS (
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey % 97 = 0 THEN -o_orderkey WHEN before IS NULL AND o_custkey % 53 = 0 THEN newest ELSE before END AS parent_id,
+    md5(o_orderkey || ':' || round(o_totalprice)::BIGINT) AS digest, md5(before || ':' || (round(price_before)::BIGINT + (o_orderkey % 61 = 0)::INT)) AS parent_digest, o_orderpriority AS actor FROM orders_in_turn),
+tied AS (SELECT r.*, p.id AS p_id, p.digest AS p_digest, p.actor AS p_actor FROM records r LEFT JOIN records p ON r.parent_id = p.id),
+down AS (SELECT id, id AS root, 0::BIGINT AS depth FROM tied WHERE p_id IS NULL UNION ALL SELECT t.id, d.root, d.depth + 1 FROM down d JOIN tied t ON t.p_id = d.id)
+"""
+
+
+def order_records(spark, sf):
+    """Orders as records made from the customer's order before, with broken links planted."""
+    turn = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    key, before = F.col("o_orderkey"), F.lag("o_orderkey").over(turn)
+    newest = F.first("o_orderkey").over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    sign = lambda k, price, more: F.md5(F.concat_ws(":", k, F.round(price).cast("bigint") + more))
+    seen = F.when(before.isNotNull(), sign(before, F.lag("o_totalprice").over(turn), (key % 61 == 0).cast("int")))
+    parent = F.when(key % 97 == 0, -key).when(before.isNull() & (F.col("o_custkey") % 53 == 0), newest).otherwise(before)
+    return table(spark, sf, "orders").select(key.alias("id"), parent.alias("parent_id"), sign(key, F.col("o_totalprice"), F.lit(0)).alias("digest"), seen.alias("parent_digest"), F.col("o_orderpriority").alias("actor"))
+
+
+@query("lineage_chains", "WITH RECURSIVE " + _LINEAGE_SQL + "SELECT r.id, d.root, d.depth FROM records r LEFT JOIN down d USING (id)")
+def lineage_chains(spark, sf):
+    return L.chains(order_records(spark, sf))
+
+
+@query("lineage_violations", "WITH RECURSIVE " + _LINEAGE_SQL + """
+SELECT 'lineage' AS name, 'missing_parent' AS rule, id::VARCHAR AS key FROM tied WHERE parent_id IS NOT NULL AND p_id IS NULL
+UNION ALL SELECT 'lineage', 'changed_parent', id::VARCHAR FROM tied WHERE p_id IS NOT NULL AND parent_digest IS DISTINCT FROM p_digest
+UNION ALL SELECT 'lineage', 'own_review', id::VARCHAR FROM tied WHERE p_id IS NOT NULL AND actor = p_actor
+UNION ALL SELECT 'lineage', 'circle', id::VARCHAR FROM records WHERE id NOT IN (SELECT id FROM down)""")
+def lineage_violations(spark, sf):
+    return L.lineage_violations(order_records(spark, sf))

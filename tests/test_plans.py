@@ -167,3 +167,17 @@ def test_experiment_violations_name_every_fault(spark):
         assert {tuple(r) for r in bad.select("name", "rule", "key").collect()} == wanted, (name, row)
     with pytest.raises(GateError, match="splits.unknown_case: 1, such as d"):
         E.require_valid(bad)
+
+
+def test_lineage_by_pointer_doubling(spark):
+    from facetlake.operators import lineage
+
+    rows = [(i, i - 1 if i else None, f"d{i}", f"d{i - 1}", f"a{i % 2}") for i in range(100)]
+    rows += [(200, 202, "d", "d", "x"), (201, 200, "d", "d", "y"), (202, 201, "d", "d", "z"), (203, 200, "d", "d", "z"), (204, 204, "d", "d", "x"), (300, -1, "d", "", "x"), (301, 300, "d", "old", "x"), (302, None, "d", None, "q"), (302, None, "d", None, "q")]
+    records = spark.createDataFrame(rows, "id int, parent_id int, digest string, parent_digest string, actor string").repartition(5)
+    got = {r.id: (r.root, r.depth) for r in lineage.chains(records).collect()}
+    circles = {i: (None, None) for i in range(200, 205)}
+    assert got == {i: (0, i) for i in range(100)} | circles | {300: (300, 0), 301: (300, 1), 302: (302, 0)}
+    found = {(r.rule, r.key) for r in lineage.lineage_violations(records).collect()}
+    assert found == {("circle", str(i)) for i in range(200, 205)} | {("missing_parent", "300"), ("changed_parent", "301"), ("own_review", "301"), ("own_review", "204"), ("repeated_id", "302")}
+    assert lineage.chains(records.filter("false")).count() == 0 and lineage.lineage_violations(records.filter("false")).count() == 0
