@@ -14,8 +14,8 @@ where the parts that complete them lie in one scope with them:
 
 Two spans share a scope if at most ``scope`` code points lie between the end of
 one and the start of the other. The interval join deals spans by (row, cell), a
-cell being ``scope`` code points; a part also goes to the cells it reaches, and
-as the join is a semi join no pair is ever made. A weak span that overlaps a
+cell being ``scope`` code points, to all cells that they cover; a part also goes to
+the cells beside, and as the join is a semi join no pair is ever made. A weak span that overlaps a
 strong one is not reported again, but counts as a part.
 
 Positions come from the same matcher as the matches: the pieces between matches
@@ -126,27 +126,35 @@ def matched(text: Column) -> Column:
     return F.when(strong, text)
 
 
-def cells(first: Column, last: Column, scope: int) -> Column:
-    return F.explode(F.sequence(F.floor(first / scope), F.floor(last / scope)))
+SPAN = ["row", "start", "kind", "end"]
+
+
+def cells(first: Column, last: Column, scope: int, margin: int = 0) -> Column:
+    """The cells from one place to another, and ``margin`` more on both sides."""
+    return F.explode(F.sequence(F.floor(first / scope) - margin, F.floor(last / scope) + margin))
+
+
+def dealt(spans: DataFrame, prefix: str, scope: int, margin: int = 0) -> DataFrame:
+    return spans.withColumn("cell", cells(F.col("start"), F.col("end"), scope, margin)).select("row", "cell", *[F.col(c).alias(f"{prefix}{c}") for c in ("start", "kind", "end")])
 
 
 def beside(spans: DataFrame, parts: DataFrame, scope: int) -> DataFrame:
-    """The spans with a part at most ``scope`` away; both: row, start, kind, end."""
-    s = spans.withColumn("cell", F.floor(F.col("start") / scope)).alias("s")
-    reach = cells(F.col("start") - (F.col("longest") + scope), F.col("end") + scope, scope)
-    longest = spans.groupBy("row").agg(F.max(F.col("end") - F.col("start")).alias("longest"))
-    p = parts.join(longest, "row").withColumn("cell", reach).select("row", "cell", F.col("start").alias("p_start"), F.col("end").alias("p_end")).alias("p")
-    near = (F.col("p_start") - F.col("s.end") <= scope) & (F.col("s.start") - F.col("p_end") <= scope)
-    return s.join(p, (F.col("s.row") == F.col("p.row")) & (F.col("s.cell") == F.col("p.cell")) & near, "left_semi").drop("cell")
+    """The spans with a part at most ``scope`` away; both: row, start, kind, end.
+
+    Spans go to the cells that they cover, parts to theirs and one more on each side; the
+    lengths of a kind's spans add up to no more than the text, so the rows do too.
+    """
+    near = (F.col("p_start") - F.col("end") <= scope) & (F.col("start") - F.col("p_end") <= scope)
+    s, p = dealt(spans, "", scope).alias("s"), dealt(parts, "p_", scope, 1).alias("p")
+    return s.join(p, (F.col("s.row") == F.col("p.row")) & (F.col("s.cell") == F.col("p.cell")) & near, "left_semi").select(*SPAN).distinct()
 
 
 def outside(spans: DataFrame, base: DataFrame, scope: int) -> DataFrame:
     """The spans that overlap no base span."""
-    s = spans.withColumn("cell", F.floor(F.col("start") / scope)).alias("s")
-    longest = spans.groupBy("row").agg(F.max(F.col("end") - F.col("start")).alias("longest"))
-    p = base.join(longest, "row").withColumn("cell", cells(F.col("start") - F.col("longest"), F.col("end"), scope)).select("row", "cell", F.col("start").alias("p_start"), F.col("end").alias("p_end")).alias("p")
-    over = (F.col("p_start") < F.col("s.end")) & (F.col("s.start") < F.col("p_end"))
-    return s.join(p, (F.col("s.row") == F.col("p.row")) & (F.col("s.cell") == F.col("p.cell")) & over, "left_anti").drop("cell")
+    over = (F.col("p_start") < F.col("end")) & (F.col("start") < F.col("p_end"))
+    s, p = dealt(spans, "", scope).alias("s"), dealt(base, "p_", scope).alias("p")
+    covered = s.join(p, (F.col("s.row") == F.col("p.row")) & (F.col("s.cell") == F.col("p.cell")) & over, "left_semi").select(*SPAN).distinct()
+    return spans.join(covered, SPAN, "left_anti")
 
 
 def link_parts(spans: DataFrame, scope: int) -> DataFrame:
