@@ -11,6 +11,7 @@ from facetlake.functions import text as T
 from facetlake.functions import vectors as V
 from facetlake.operators.facets import FACETS
 from facetlake.operators.gates import require_none
+from facetlake.operators.intervals import interval_totals
 from facetlake.operators.scorers import as_model, scorer
 
 #: Weight of each behaviour; grades are the weights, never below 0.
@@ -56,6 +57,15 @@ def check_no_future(rows: DataFrame) -> None:
     require_none(rows.filter("ts >= cutoff"), "a future event reached the profile builder")
 
 
+def interval_weights(cases: DataFrame, history: DataFrame, *, half_life_days: float | None = None, **layout) -> DataFrame:
+    """(case_id, paper_id, n, weight, grade) of a user's reactions from ``since`` (null: all) to before ``until``: how many,
+    their weights added up (decayed to ``until``), the best one (at least 0). Neither many cutoffs a user nor
+    a user with most of the events makes a large group: see ``intervals``.
+    """
+    weight = behavior_weight(F.col("interaction_type"))
+    return interval_totals(cases, history, ["paper_id"], {"weight": weight}, {"grade": F.greatest(F.lit(0), weight)}, half_life_days=half_life_days, **layout)
+
+
 def time_weight(half_life_days: float | None) -> Column:
     return V.decay(V.age(F.col("cutoff"), F.col("ts")), half_life_days) if half_life_days else F.lit(1.0)
 

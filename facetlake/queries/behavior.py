@@ -79,6 +79,37 @@ def user_profile_recent(spark, sf):
     return rows.groupBy("user_id", "paper_id").agg(F.sum(P.behavior_weight(F.col("interaction_type"))).alias("weight"))
 
 
+#: Every user's cutoffs: each fifth day at six, from the second to the thirtieth; a period is the three and a half days after it.
+_PERIODS_SQL = "cuts AS (SELECT user_id, unnest(range(0, 6)) AS period, TIMESTAMP '2024-01-02 06:00:00' + period * INTERVAL 5 DAY AS cutoff FROM (SELECT DISTINCT user_id FROM reactions))"
+
+
+def user_periods(spark, sf):
+    at = F.to_timestamp(F.lit("2024-01-02 06:00:00"))
+    users = reactions(spark, sf).select("user_id").distinct().withColumn("period", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    rows = users.withColumn("cutoff", at + F.make_dt_interval(days=5 * F.col("period")))
+    return rows.withColumn("case_id", F.struct("user_id", "period"))
+
+
+@query("period_profile_weights", "WITH " + BASE_SQL + ", " + _PERIODS_SQL + f"""
+SELECT user_id, period, paper_id, count(*) AS n, round(sum(w * power(2, -(epoch_us(cutoff) - epoch_us(ts)) / 1e6 / (86400 * {HALF_LIFE}))), 5) + 0.0::DOUBLE AS weight
+FROM cuts JOIN reactions USING (user_id) WHERE ts < cutoff GROUP BY ALL""")
+def period_profile_weights(spark, sf):
+    """All cutoffs of all users: what each had reacted to before, decayed to the cutoff."""
+    cases = user_periods(spark, sf).select("case_id", "user_id", F.lit(None).cast("timestamp").alias("since"), F.col("cutoff").alias("until"))
+    found = P.interval_weights(cases, reactions(spark, sf), half_life_days=HALF_LIFE)
+    return found.select("case_id.user_id", "case_id.period", "paper_id", "n", (F.round("weight", 5) + 0.0).alias("weight"))
+
+
+@query("period_grades", "WITH " + BASE_SQL + ", " + _PERIODS_SQL + """
+SELECT user_id, period, paper_id, count(*) AS n, sum(w)::BIGINT AS weight, max(greatest(0, w)) AS grade
+FROM cuts JOIN reactions USING (user_id) WHERE ts >= cutoff AND ts < cutoff + INTERVAL 84 HOUR GROUP BY ALL""")
+def period_grades(spark, sf):
+    """All periods of all users: what each reacts to in the three and a half days from its beginning."""
+    cases = user_periods(spark, sf).select("case_id", "user_id", F.col("cutoff").alias("since"), (F.col("cutoff") + F.expr("INTERVAL 84 HOURS")).alias("until"))
+    found = P.interval_weights(cases, reactions(spark, sf))
+    return found.select("case_id.user_id", "case_id.period", "paper_id", "n", F.col("weight").cast("bigint").alias("weight"), "grade")
+
+
 def text_vectors(spark, sf):
     return V.tfidf(part_papers(spark, sf).select("paper_id", T.tokens(F.lower("text")).alias("tokens")), ["paper_id"])
 
