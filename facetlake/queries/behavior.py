@@ -85,8 +85,8 @@ _PERIODS_SQL = "cuts AS (SELECT user_id, unnest(range(0, 6)) AS period, TIMESTAM
 
 def user_periods(spark, sf):
     at = F.to_timestamp(F.lit("2024-01-02 06:00:00"))
-    users = reactions(spark, sf).select("user_id").distinct().withColumn("period", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    rows = users.withColumn("cutoff", at + F.make_dt_interval(days=5 * F.col("period")))
+    users = reactions(spark, sf).select("user_id").distinct().withColumn("period", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))))
+    rows = users.withColumn("cutoff", at + F.make_dt_interval(days=(5 * F.col("period")).cast("int")))
     return rows.withColumn("case_id", F.struct("user_id", "period"))
 
 

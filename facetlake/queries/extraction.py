@@ -192,3 +192,72 @@ def attempt_assessment(spark, sf):
     reply = F.to_json(F.struct("paper_id", none.alias("problem"), item(F.trim(lead)).alias("task"), item(F.trim(F.reverse(lead))).alias("method"), none.alias("dataset"), none.alias("contribution")))
     rows = docs.withColumn("reply", reply).withColumn("attempt", F.lit(1)).withColumn("stage", F.lit("extract"))
     return X.assess_attempts(rows).select("paper_id", "score", "schema_valid", "parseable", F.size("errors").alias("n_errors"), F.size("items").alias("n_items"))
+
+
+#: Turns of a conversation as attempts: long words are items (facet by length, valid if of odd length), the longest are flagged.
+_TURNS_SQL = r"""
+replies AS (
+  SELECT conv_id AS paper_id, turn + 1 AS attempt, turn > 0 AS review, conv_id % 3 = 0 AS excused, length(text) % 5 <> 0 AS formed, (length(text) % 100)::DOUBLE AS score,
+    regexp_extract_all(lower(text), '[a-z]+') AS words FROM conversations),
+listed AS (
+  SELECT * EXCLUDE words, list_sort([{'f': length(w) % 5, 'i': i - 1, 'concept': w, 'valid': length(w) % 2 = 1} FOR w, i IN words IF length(w) >= 8]) AS items FROM replies),
+told AS (
+  SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY attempt) AS try,
+    CASE WHEN formed THEN [{'f': -1, 't': 'coverage: all facets are empty'} FOR x IN [1] IF len(items) = 0 AND NOT excused] ELSE [{'f': -1, 't': 'wrong facet keys'}] END
+    || [{'f': x.f, 't': x.concept} FOR x IN items IF length(x.concept) >= 13] AS errors FROM listed),
+runs AS (
+  SELECT paper_id, try, attempt, review, formed, score, items, errors, [0, 1, 2, 3, 4]::BIGINT[] AS scope, false AS stagnant FROM told WHERE try = 1
+  UNION ALL
+  SELECT paper_id, try, attempt, review, formed,
+    CASE WHEN merges THEN round(12 * len(list_distinct([x.f FOR x IN items IF x.valid])) + CASE WHEN len(items) > 0 THEN (25 * len([1 FOR x IN items IF x.valid]) + 2.5 * len(items)) / len(items) ELSE 0 END + 10, 4) ELSE score END,
+    items, errors, scope, items = p_items AND errors = p_errors
+  FROM (
+    SELECT *, CASE WHEN merges THEN kept || [{'f': -1, 't': 'coverage: all facets are empty'} FOR x IN [1] IF len(items) = 0 AND NOT excused] ELSE own_errors END AS errors FROM (
+      SELECT paper_id, try, attempt, review, formed, score, scope, merges, excused, own_errors, p_items, p_errors,
+        CASE WHEN merges THEN list_sort([x FOR x IN own_items IF list_contains(scope, x.f)] || [x FOR x IN p_items IF NOT list_contains(scope, x.f)]) ELSE own_items END AS items,
+        [e FOR e IN own_errors IF e.f = 0 AND list_contains(scope, 0)] || [e FOR e IN p_errors IF e.f = 0 AND NOT list_contains(scope, 0)] || [e FOR e IN own_errors IF e.f = 1 AND list_contains(scope, 1)] || [e FOR e IN p_errors IF e.f = 1 AND NOT list_contains(scope, 1)]
+        || [e FOR e IN own_errors IF e.f = 2 AND list_contains(scope, 2)] || [e FOR e IN p_errors IF e.f = 2 AND NOT list_contains(scope, 2)] || [e FOR e IN own_errors IF e.f = 3 AND list_contains(scope, 3)] || [e FOR e IN p_errors IF e.f = 3 AND NOT list_contains(scope, 3)]
+        || [e FOR e IN own_errors IF e.f = 4 AND list_contains(scope, 4)] || [e FOR e IN p_errors IF e.f = 4 AND NOT list_contains(scope, 4)] AS kept
+      FROM (
+        SELECT t.paper_id, t.try, t.attempt, t.review, t.formed, t.score, t.excused, t.items AS own_items, t.errors AS own_errors, p.items AS p_items, p.errors AS p_errors, t.formed AND p.formed AS merges,
+          [f FOR f IN [0, 1, 2, 3, 4]::BIGINT[] IF NOT p.formed OR f IN (0, 3) OR list_contains([e.f FOR e IN p.errors], f) OR list_contains([e.f FOR e IN p.errors], -1)] AS scope
+        FROM runs p JOIN told t ON t.paper_id = p.paper_id AND t.try = p.try + 1 AND t.try <= 4 WHERE NOT (p.review AND len(p.errors) = 0)))))
+"""
+
+
+def conversation_attempts(spark, sf):
+    said = table(spark, sf, "conversations").withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)")))
+    facets = F.array(*map(F.lit, X.FACETS))
+    numbered_words = F.transform("words", lambda w, i: F.struct((F.length(w) % 5).alias("f"), i.alias("index"), w.alias("concept"), F.lit(0.5).alias("retained"), (F.length(w) % 2 == 1).alias("valid")))
+    found = F.array_sort(F.filter(numbered_words, lambda x: F.length(x["concept"]) >= 8))
+    items = F.transform(found, lambda x: F.struct(F.get(facets, x["f"]).alias("facet"), x["index"].alias("index"), x["concept"].alias("concept"), x["retained"].alias("retained"), x["valid"].alias("valid")))
+    rows = said.select(F.col("conv_id").alias("paper_id"), (F.col("turn") + 1).alias("attempt"), F.when(F.col("turn") > 0, "review").otherwise("extract").alias("stage"), (F.length("text") % 5 != 0).alias("schema_valid"), F.lit(True).alias("parseable"), (F.length("text") % 100).cast("double").alias("score"), (F.col("conv_id") % 3 == 0).alias("excused"), items.alias("items"))
+    whole = F.when(~F.col("schema_valid"), F.array(F.lit("wrong facet keys"))).when((F.size("items") == 0) & ~F.col("excused"), F.array(F.lit(X.ALL_EMPTY))).otherwise(F.array().cast("array<string>"))
+    flagged = F.transform(F.filter("items", lambda x: F.length(x["concept"]) >= 13), lambda x: F.concat(x["facet"], F.lit("[0]: "), x["concept"]))
+    return rows.withColumn("errors", F.concat(whole, flagged))
+
+
+_STATUS_SQL = "CASE WHEN review AND len(errors) = 0 THEN 'accepted' WHEN try >= 4 THEN 'exhausted' ELSE 'retried' END"
+
+
+@query("review_merges", "WITH RECURSIVE " + _TURNS_SQL + f"""
+SELECT paper_id, attempt, {_STATUS_SQL} AS status, list_aggregate(scope, 'string_agg', ',') AS scope, coalesce(list_aggregate([x.f || ':' || x.concept FOR x IN items], 'string_agg', ' '), '') AS items,
+  coalesce(list_aggregate([e.t FOR e IN errors], 'string_agg', '; '), '') AS errors, score, stagnant FROM runs""")
+def review_merges(spark, sf):
+    """Each conversation as a run of attempts: drafts after each merge, with the facets that each review might change."""
+    rows = X.merge_reviews(conversation_attempts(spark, sf), most=4)
+    number = lambda f: (F.array_position(F.array(*map(F.lit, X.FACETS)), f) - 1).cast("string")
+    items = F.array_join(F.transform("items", lambda x: F.concat(number(x["facet"]), F.lit(":"), x["concept"])), " ")
+    errors = F.array_join(F.transform("errors", lambda e: F.regexp_replace(e, r"^[a-z]+\[0\]: ", "")), "; ")
+    return rows.select("paper_id", "attempt", "status", F.array_join(F.transform("scope", number), ",").alias("scope"), items.alias("items"), errors.alias("errors"), "score", "stagnant")
+
+
+@query("review_results", "WITH RECURSIVE " + _TURNS_SQL + f""",
+ended AS (SELECT *, {_STATUS_SQL} AS status FROM runs),
+best AS (
+  SELECT * FROM ended WHERE status = 'accepted' UNION ALL
+  (SELECT * FROM ended WHERE paper_id IN (SELECT paper_id FROM ended WHERE status = 'exhausted') QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, len(errors), review DESC, attempt DESC) = 1))
+SELECT paper_id, attempt, paper_id IN (SELECT paper_id FROM ended WHERE status = 'exhausted') AS fallback, score, len(items)::INT AS n_items, (len(errors) + CASE WHEN paper_id IN (SELECT paper_id FROM ended WHERE status = 'exhausted') THEN 1 ELSE 0 END)::INT AS n_errors FROM best""")
+def review_results(spark, sf):
+    found = X.run_results(X.merge_reviews(conversation_attempts(spark, sf), most=4))
+    return found.select("paper_id", "attempt", "fallback", "score", F.size("items").alias("n_items"), F.size("errors").alias("n_errors"))
