@@ -20,6 +20,7 @@ from facetlake.operators import review as W
 from facetlake.plans import experiment_gate as E
 from facetlake.queries.base import BASE_SQL, part_concepts, reactions, table
 from facetlake.queries.extraction import attempts, gold_and_predicted
+from facetlake.sources import exports as O
 from facetlake.sources import tables as S
 from facetlake.storage import new_dir, written
 
@@ -527,3 +528,21 @@ UNION ALL SELECT 'lineage', 'own_review', id::VARCHAR FROM tied WHERE p_id IS NO
 UNION ALL SELECT 'lineage', 'circle', id::VARCHAR FROM records WHERE id NOT IN (SELECT id FROM down)""")
 def lineage_violations(spark, sf):
     return L.lineage_violations(order_records(spark, sf))
+
+
+# --- exports -----------------------------------------------------------------
+
+
+@query("export_coverage", "WITH " + BASE_SQL + """, f AS (SELECT facet, count(DISTINCT paper_id) AS n FROM concepts WHERE concept <> '' GROUP BY facet), t AS (SELECT count(DISTINCT paper_id) AS n FROM concepts)
+SELECT f.facet, f.n AS n_covered, f.n AS n_read, t.n AS n_records FROM f, t""")
+def export_coverage(spark, sf):
+    """Papers with their facets, exported in two runs; coverage as the manifest says and as the files hold it."""
+    concepts = part_concepts(spark, sf).filter("concept <> ''")
+    wide = concepts.groupBy("paper_id").pivot("facet", list(A.FACETS)).agg(F.sort_array(F.collect_set("concept")))
+    out, how = new_dir(spark, "export"), {"batches": 12, "signature": "facets"}
+    cover = {f: F.size(f) > 0 for f in A.FACETS}
+    O.export(wide, out, "paper_id", **how, coverage=cover, wave=4, waves=1)
+    said = O.export(wide, out, "paper_id", **how, coverage=cover, wave=4)
+    told = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.lit(n).cast("bigint").alias("n_covered"), F.col(f).alias("concepts")) for f, n in said["coverage"].items()]))
+    rows = O.exported(spark, wide, out).select("paper_id", told.alias("x")).select("paper_id", "x.*")
+    return rows.groupBy("facet", "n_covered").agg(F.count_if(F.size("concepts") > 0).alias("n_read"), F.count("*").alias("n_records"))
