@@ -18,7 +18,7 @@ def feedback_pairs(exposures: DataFrame, reactions: DataFrame) -> DataFrame:
     two = exposures.filter(F.size("paper_ids") == 2).select("case_id", "exposure_id", F.col("paper_ids")[0].alias("a"), F.col("paper_ids")[1].alias("b"))
     w = reactions.select("case_id", "exposure_id", "paper_id", behavior_weight(F.col("interaction_type")).alias("w"))
     side = lambda c: w.select("case_id", "exposure_id", F.col("paper_id").alias(c), F.col("w").alias(f"w_{c}"))
-    return two.join(side("a"), ["case_id", "exposure_id", "a"]).join(side("b"), ["case_id", "exposure_id", "b"]).select("case_id", "exposure_id", "a", "b", "w_a", "w_b")
+    return two.join(side("a").hint("merge"), ["case_id", "exposure_id", "a"]).join(side("b").hint("merge"), ["case_id", "exposure_id", "b"]).select("case_id", "exposure_id", "a", "b", "w_a", "w_b")
 
 
 def contrasts(pairs: DataFrame, anchors: DataFrame, papers: DataFrame) -> DataFrame:
@@ -27,8 +27,8 @@ def contrasts(pairs: DataFrame, anchors: DataFrame, papers: DataFrame) -> DataFr
     anchors: case_id, query_paper_id; papers: paper_id, concepts (map from facet to concepts).
     The contrast is the reaction to the different paper less that to the same one.
     """
-    at = lambda c: papers.select(F.col("paper_id").alias(c), F.col("concepts").alias(f"c_{c}"))
-    full = pairs.join(anchors, "case_id").join(at("query_paper_id"), "query_paper_id").join(at("a"), "a").join(at("b"), "b")
+    at = lambda c: papers.select(F.col("paper_id").alias(c), F.col("concepts").alias(f"c_{c}")).hint("merge")
+    full = pairs.join(anchors.hint("merge"), "case_id").join(at("query_paper_id"), "query_paper_id").join(at("a"), "a").join(at("b"), "b")
     states = F.array(*[F.struct(F.lit(f).alias("facet"), *[overlap_state(F.col("c_query_paper_id"), F.col(f"c_{x}"), f).alias(f"same_{x}") for x in "ab"]) for f in FACETS])
     seen = full.select("case_id", "w_a", "w_b", states.alias("states"))
     apart = F.size(F.filter("states", lambda s: ~s["same_a"].eqNullSafe(s["same_b"])))
@@ -49,8 +49,8 @@ def query_directions(mentions: DataFrame, anchors: DataFrame, concepts: DataFram
 
     mentions: case_id, query_id, ts, facet, concept, sign. Excluding wins within a query; a concept that the anchor lacks says nothing.
     """
-    own = anchors.join(concepts, anchors.query_paper_id == concepts.paper_id).select("case_id", "facet", "concept")
-    hits = mentions.join(own, ["case_id", "facet", "concept"]).groupBy("case_id", "facet", "ts", "query_id").agg(F.min("sign").alias("sign"))
+    own = anchors.join(concepts.hint("merge"), F.col("query_paper_id") == F.col("paper_id")).select("case_id", "facet", "concept")
+    hits = mentions.join(own.hint("merge"), ["case_id", "facet", "concept"]).groupBy("case_id", "facet", "ts", "query_id").agg(F.min("sign").alias("sign"))
     last = hits.groupBy("case_id", "facet").agg(F.max_by("sign", F.struct("ts", "query_id")).alias("sign"))
     return last.select("case_id", "facet", F.when(F.col("sign") < 0, "different").otherwise("similar").alias("direction"), F.when(F.col("sign") < 0, 1.0).otherwise(0.8).alias("confidence"))
 
@@ -59,10 +59,10 @@ def directions(anchors: DataFrame, behavior: DataFrame, queries: DataFrame | Non
     """All facets of all cases: queries over behaviour over the context's own "similar", else "unknown"."""
     every = anchors.select("case_id").withColumn("facet", F.explode(F.array(*map(F.lit, FACETS))))
     b = behavior.select("case_id", "facet", F.col("direction").alias("b_dir"), F.col("confidence").alias("b_conf"))
-    joined = every.join(b, ["case_id", "facet"], "left")
+    joined = every.join(b.hint("merge"), ["case_id", "facet"], "left")
     q_dir, q_conf = F.lit(None).cast("string"), F.lit(None).cast("double")
     if queries is not None:
-        joined = joined.join(queries.select("case_id", "facet", F.col("direction").alias("q_dir"), F.col("confidence").alias("q_conf")), ["case_id", "facet"], "left")
+        joined = joined.join(queries.select("case_id", "facet", F.col("direction").alias("q_dir"), F.col("confidence").alias("q_conf")).hint("merge"), ["case_id", "facet"], "left")
         q_dir, q_conf = F.col("q_dir"), F.col("q_conf")
     own = F.col("facet") == context
     return joined.select("case_id", "facet", F.coalesce(q_dir, F.col("b_dir"), F.when(own, "similar"), F.lit("unknown")).alias("direction"), F.coalesce(q_conf, F.col("b_conf"), F.when(own, 1.0), F.lit(0.0)).alias("confidence"))
@@ -77,13 +77,13 @@ def intent_scores(cases: DataFrame, cosines: DataFrame, filled: DataFrame, weigh
     counts as similar; without an active facet the context's cosine.
     """
     every = cases.select("case_id", "query_paper_id", "paper_id").withColumn("facet", F.explode(F.array(*map(F.lit, FACETS))))
-    has = lambda c, name: filled.select(F.col("paper_id").alias(c), "facet", F.lit(True).alias(name))
+    has = lambda c, name: filled.select(F.col("paper_id").alias(c), "facet", F.lit(True).alias(name)).hint("merge")
     rows = (
         every.join(has("query_paper_id", "on_anchor"), ["query_paper_id", "facet"], "left")
         .join(has("paper_id", "on_paper"), ["paper_id", "facet"], "left")
-        .join(cosines.withColumnRenamed("part", "facet"), ["case_id", "paper_id", "facet"], "left")
-        .join(weights, ["case_id", "facet"], "left")
-        .join(found.select("case_id", "facet", "direction"), ["case_id", "facet"], "left")
+        .join(cosines.withColumnRenamed("part", "facet").hint("merge"), ["case_id", "paper_id", "facet"], "left")
+        .join(weights.hint("merge"), ["case_id", "facet"], "left")
+        .join(found.select("case_id", "facet", "direction").hint("merge"), ["case_id", "facet"], "left")
     )
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0))))
     w = F.coalesce("importance", F.lit(0.0))

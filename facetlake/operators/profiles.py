@@ -49,7 +49,7 @@ def user_table(history: DataFrame) -> DataFrame:
 
 def visible(history: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Rows of ``history`` strictly before their user's cutoff: an equi-join with a range predicate. cutoffs: case_id, user_id, cutoff."""
-    return history.join(cutoffs.select("case_id", "user_id", "cutoff"), "user_id").filter("ts < cutoff")
+    return history.join(cutoffs.select("case_id", "user_id", "cutoff").hint("merge"), "user_id").filter("ts < cutoff")
 
 
 def check_no_future(rows: DataFrame) -> None:
@@ -75,7 +75,7 @@ def text_profiles(rows: DataFrame, vectors: DataFrame, *, half_life_days: float
     used = rows if recent_start is None else rows.filter(F.col("ts") >= recent_start)
     weight = behavior_weight(F.col("interaction_type")) * time_weight(half_life_days)
     summed = used.withColumn("w", weight).filter("w <> 0").groupBy("case_id", "paper_id").agg(F.sum("w").alias("w"))
-    raw = summed.join(vectors, "paper_id").groupBy("case_id", "term").agg(F.sum(F.col("w") * F.col("weight")).alias("weight"))
+    raw = summed.join(vectors.hint("merge"), "paper_id").groupBy("case_id", "term").agg(F.sum(F.col("w") * F.col("weight")).alias("weight"))
     return V.unit(raw, ["case_id"])
 
 
@@ -89,15 +89,15 @@ def facet_profiles(rows: DataFrame, concepts: DataFrame, searches: DataFrame | N
     """
     when = lambda w: w if recent_start is None else F.when(F.col("ts") >= recent_start, w).otherwise(F.lit(0.0))
     sizes = concepts.groupBy("paper_id", "facet").agg(F.count("*").alias("n_concepts"))
-    shares = concepts.join(sizes, ["paper_id", "facet"]).select("paper_id", "facet", "concept", (1.0 / F.col("n_concepts")).alias("share"))
+    shares = concepts.join(sizes.hint("merge"), ["paper_id", "facet"]).select("paper_id", "facet", "concept", (1.0 / F.col("n_concepts")).alias("share"))
     by_paper = rows.groupBy("case_id", "paper_id").agg(F.sum(when(behavior_weight(F.col("interaction_type")) * time_weight(half_life_days))).alias("w"))
-    evidence = by_paper.join(shares, "paper_id").select("case_id", "facet", "concept", (F.col("w") * F.col("share")).alias("weight"))
+    evidence = by_paper.join(shares.hint("merge"), "paper_id").select("case_id", "facet", "concept", (F.col("w") * F.col("share")).alias("weight"))
     if searches is not None:
         evidence = evidence.unionByName(searches.select("case_id", "facet", "concept", (F.col("sign") * when(time_weight(half_life_days))).alias("weight")))
     raw = evidence.groupBy("case_id", "facet", "concept").agg(F.sum("weight").alias("weight"))
     mass = raw.groupBy("case_id", "facet").agg(F.sum(F.abs("weight")).alias("mass"))
     users = rows.select("case_id").distinct() if searches is None else rows.select("case_id").unionByName(searches.select("case_id")).distinct()
-    every = users.withColumn("facet", F.explode(F.array(*map(F.lit, FACETS)))).join(mass, ["case_id", "facet"], "left")
+    every = users.withColumn("facet", F.explode(F.array(*map(F.lit, FACETS)))).join(mass.hint("merge"), ["case_id", "facet"], "left")
     total = F.sum("mass").over(Window.partitionBy("case_id"))
     importance = every.select("case_id", "facet", F.when(F.coalesce(total, F.lit(0.0)) > 0, F.coalesce("mass", F.lit(0.0)) / total).otherwise(1.0 / len(FACETS)).alias("importance"))
     return V.unit(raw, ["case_id", "facet"]), importance
@@ -106,10 +106,10 @@ def facet_profiles(rows: DataFrame, concepts: DataFrame, searches: DataFrame | N
 def profile_scores(cases: DataFrame, vectors: DataFrame, importance: DataFrame, concepts: DataFrame) -> DataFrame:
     """Sum over facets of importance times the profile's product with the candidate's unit concepts; cases: case_id, paper_id."""
     hot = V.one_hot(concepts.withColumnRenamed("concept", "term"), ["paper_id", "facet"])
-    weighted = vectors.join(importance, ["case_id", "facet"]).select("case_id", "facet", F.col("concept").alias("term"), (F.col("weight") * F.col("importance")).alias("weight"))
-    candidates = cases.select("case_id", "paper_id").join(hot, "paper_id")
+    weighted = vectors.join(importance.hint("merge"), ["case_id", "facet"]).select("case_id", "facet", F.col("concept").alias("term"), (F.col("weight") * F.col("importance")).alias("weight"))
+    candidates = cases.select("case_id", "paper_id").join(hot.hint("merge"), "paper_id")
     scores = V.dots(candidates, weighted, ["case_id", "facet", "term"], ["case_id", "paper_id"])
-    return cases.select("case_id", "paper_id").join(scores, ["case_id", "paper_id"], "left")
+    return cases.select("case_id", "paper_id").join(scores.hint("merge"), ["case_id", "paper_id"], "left")
 
 
 def popularity(rows: DataFrame) -> DataFrame:
@@ -122,9 +122,9 @@ def labels(cases: DataFrame, history: DataFrame) -> DataFrame:
 
     An item not observed has grade 0 in the candidate pool, and is no negative evidence elsewhere.
     """
-    seen = cases.join(history, ["user_id", "paper_id"], "left").filter("ts is null or (ts >= cutoff and ts < until)")
+    seen = cases.join(history.hint("merge"), ["user_id", "paper_id"], "left").filter("ts is null or (ts >= cutoff and ts < until)")
     grades = seen.groupBy("case_id", "paper_id").agg(F.max(F.greatest(F.lit(0), behavior_weight(F.col("interaction_type")))).alias("grade"))
-    return cases.select("case_id", "paper_id").join(grades, ["case_id", "paper_id"], "left").select("case_id", "paper_id", F.coalesce("grade", F.lit(0)).alias("grade"))
+    return cases.select("case_id", "paper_id").join(grades.hint("merge"), ["case_id", "paper_id"], "left").select("case_id", "paper_id", F.coalesce("grade", F.lit(0)).alias("grade"))
 
 
 def with_queries(history: DataFrame, searches: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def search_text_vectors(papers: DataFrame, searches: DataFrame, fold: Callable[[
 
 
 def _spread(scores: DataFrame, cases: DataFrame) -> DataFrame:
-    return cases.select("case_id", "paper_id").join(scores, "paper_id", "left").select("case_id", "paper_id", F.col("popularity").cast("double").alias("score"))
+    return cases.select("case_id", "paper_id").join(scores.hint("merge"), "paper_id", "left").select("case_id", "paper_id", F.col("popularity").cast("double").alias("score"))
 
 
 @scorer("preference", "popularity")
@@ -150,8 +150,8 @@ def by_popularity(cases, rows, all_rows, **_) -> DataFrame:
 @scorer("preference", "text_history")
 def by_text(cases, rows, text_vectors, **_) -> DataFrame:
     profile = text_profiles(rows, text_vectors)
-    scores = V.dots(cases.select("case_id", "paper_id").join(text_vectors, "paper_id"), profile, ["case_id", "term"], ["case_id", "paper_id"])
-    return cases.select("case_id", "paper_id").join(scores, ["case_id", "paper_id"], "left")
+    scores = V.dots(cases.select("case_id", "paper_id").join(text_vectors.hint("merge"), "paper_id"), profile, ["case_id", "term"], ["case_id", "paper_id"])
+    return cases.select("case_id", "paper_id").join(scores.hint("merge"), ["case_id", "paper_id"], "left")
 
 
 @scorer("preference", "facet_no_search")

@@ -62,13 +62,13 @@ def trie_hits(words: DataFrame, vocabulary: DataFrame, row: list[str]) -> DataFr
     concept, so what is left shrinks at once; rounds end when nothing is left.
     """
     index = written(trie(vocabulary), "trie")
-    at_depth = lambda rows, d: written(rows.join(index.filter(F.col("depth") == d).drop("depth"), ["facet", "prefix"]), "trie-walk")
+    at_depth = lambda rows, d: written(rows.join(index.filter(F.col("depth") == d).drop("depth").hint("merge"), ["facet", "prefix"]), "trie-walk")
     live = at_depth(words.select(*row, "facet", "i", F.col("i").alias("last"), _chained(F.lit(0).cast("long"), F.col("word")).alias("prefix")), 1)
     found, depth = live, 1
     while not live.isEmpty():
         depth += 1
         following = words.select(*row, "facet", F.col("i").alias("last"), "word")
-        grown = live.drop("concept").withColumn("last", F.col("last") + 1).join(following, [*row, "facet", "last"])
+        grown = live.drop("concept").withColumn("last", F.col("last") + 1).join(following.hint("merge"), [*row, "facet", "last"])
         live = at_depth(grown.select(*row, "facet", "i", "last", _chained(F.col("prefix"), F.col("word")).alias("prefix")), depth)
         found = found.unionByName(live)
     return found.filter("concept is not null").select(*row, "facet", "i", "concept")
@@ -114,7 +114,7 @@ def mentions(searches: DataFrame, concepts: DataFrame, fold: Callable[[Column],
     vocabulary = written(concepts.select("facet", "concept").distinct(), "vocabulary")
     own = written(searches.withColumn("search_row", F.monotonically_increasing_id()), "searches")
     seg = written(segments(own.select("search_row", "text"), fold).withColumn("direct", F.regexp_replace(F.regexp_replace("content", LEADS, ""), ENDING, "")).select(*row, "content", "direct"), "segments")
-    whole = vocabulary.withColumnRenamed("concept", "direct")
+    whole = vocabulary.withColumnRenamed("concept", "direct").hint("merge")
     sign = F.when(F.startswith("content", F.lit("alternatives to ")), -1).otherwise(1)
     direct = seg.join(whole, ["facet", "direct"]).select("search_row", "facet", F.col("direct").alias("concept"), sign.alias("sign"))
     split = seg.join(whole, ["facet", "direct"], "left_anti").select(*row, F.posexplode(F.split("content", " ")).alias("i", "word"))
@@ -123,6 +123,6 @@ def mentions(searches: DataFrame, concepts: DataFrame, fold: Callable[[Column],
     #: What excludes a concept has at most two words.
     led_by = F.concat(F.coalesce(F.lag("word", 2).over(ahead), F.lit("")), F.lit(" "), F.coalesce(F.lag("word", 1).over(ahead), F.lit("")), F.lit(" "))
     words = written(split.select(*row, "i", "word", at.alias("at"), led_by.alias("led_by")), "search-words")
-    hits = trie_hits(words.select(*row, "i", "word"), vocabulary, ["search_row", "seg"]).join(words.select(*row, "i", "at", "led_by"), [*row, "i"]).drop("i")
+    hits = trie_hits(words.select(*row, "i", "word"), vocabulary, ["search_row", "seg"]).join(words.select(*row, "i", "at", "led_by").hint("merge"), [*row, "i"]).drop("i")
     found = longest_first(hits, row).select("search_row", "facet", "concept", F.when(F.regexp_like("led_by", F.lit(EXCLUDES_BEFORE)), -1).otherwise(1).alias("sign"))
-    return own.select("search_row", *keys).join(direct.unionByName(found), "search_row").drop("search_row").distinct()
+    return own.select("search_row", *keys).join(direct.unionByName(found).hint("merge"), "search_row").drop("search_row").distinct()

@@ -132,7 +132,7 @@ def text_profiles(spark, sf):
 def searches(spark, sf):
     """Views as searches: for the viewed part's type, or for alternatives to it after a dear view."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"), "p_type")
-    views = reactions(spark, sf).filter("interaction_type = 'view'").join(table(spark, sf, "events").select("event_id", "value"), "event_id").join(part, "paper_id")
+    views = reactions(spark, sf).filter("interaction_type = 'view'").join(table(spark, sf, "events").select("event_id", "value").hint("merge"), "event_id").join(part.hint("merge"), "paper_id")
     text = F.concat(F.lit("method: "), F.when(F.col("value") > 10, "alternatives to ").otherwise(""), F.lower("p_type"), F.lit(" papers"))
     return views.select(F.col("event_id").alias("query_id"), "user_id", F.col("ts"), text.alias("text"))
 
@@ -215,7 +215,7 @@ def preference_metrics(spark, sf):
     rows = seen(spark, sf)
     common = {"rows": rows, "all_rows": rows, "concepts": part_concepts(spark, sf), "searches": search_rows(spark, sf)}
     found = P.score_all("preference", cases, text_vectors=text_vectors(spark, sf), **common).unionByName(temporal(spark, sf).withColumn("model", F.concat(F.lit("temporal_"), "model")))
-    ranked = M.ranked(found, ["case_id", "model"]).join(P.labels(cases, reactions(spark, sf)), ["case_id", "paper_id"])
+    ranked = M.ranked(found, ["case_id", "model"]).join(P.labels(cases, reactions(spark, sf)).hint("merge"), ["case_id", "paper_id"])
     details = M.graded_metrics(ranked, ["case_id", "model"], [10])
     return M.grouped_summary(details, ["model"], F.array(F.lit("period_1")), ["ndcg_10", "recall_10", "precision_10", "mrr_10"])
 
@@ -289,7 +289,7 @@ def session_inputs(spark, sf):
     from pyspark.sql import Window
 
     best = rows.groupBy("user_id", "day", "paper_id").agg(F.min("ts").alias("ts"), F.max_by("interaction_type", F.struct("ts", "event_id")).alias("interaction_type"))
-    others = best.join(first, "user_id").filter("paper_id <> query_paper_id").withColumn("n", F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ts", "paper_id")))
+    others = best.join(first.hint("merge"), "user_id").filter("paper_id <> query_paper_id").withColumn("n", F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ts", "paper_id")))
     keyed = others.select(F.col("user_id").alias("case_id"), F.concat_ws("-", "user_id", "day", F.floor((F.col("n") - 1) / 2)).alias("exposure_id"), "n", "paper_id", "interaction_type")
     exposures = keyed.groupBy("case_id", "exposure_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "paper_id"))), lambda x: x["paper_id"]).alias("paper_ids"))
     return anchors, exposures, keyed.drop("n")
@@ -342,7 +342,7 @@ def intent_scores(spark, sf):
     found, by, q, anchors = found_directions(spark, sf)
     concepts = part_concepts(spark, sf)
     pool = reactions(spark, sf).select(F.col("user_id").alias("case_id"), "paper_id").distinct()
-    cases = anchors.join(pool, "case_id").filter("paper_id <> query_paper_id")
+    cases = anchors.join(pool.hint("merge"), "case_id").filter("paper_id <> query_paper_id")
     cosines = written(part_cosines(cases, joint_vectors(part_papers(spark, sf), concepts)).filter("part <> 'text'"), "cosines")
     filled = concepts.select("paper_id", "facet").distinct()
     users, _ = timed_cases(spark, sf)
