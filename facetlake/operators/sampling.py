@@ -37,9 +37,11 @@ def candidate_sample(pools: DataFrame, count: int, positive_fraction: float, har
     half_even = lambda c: F.bround(c, 0).cast("int")
     wanted = F.greatest(F.lit(1), F.least(F.col("n_pos").cast("int"), F.lit(count - 1), half_even(F.lit(count * positive_fraction))))
     quota = ok.withColumn("take_pos", F.greatest(wanted, F.lit(count) - F.col("n_neg").cast("int"))).withColumn("take_neg", F.lit(count) - F.col("take_pos")).withColumn("take_hard", F.least(F.col("n_hard").cast("int"), half_even(F.col("take_neg") * hard_fraction)))
-    rows = pools.join(quota, "case_id").withColumn("_draw", draw(seed, "case_id", "paper_id"))
+    drawn = pools.withColumn("_draw", draw(seed, "case_id", "paper_id"))
     by_kind = Window.partitionBy("case_id", "kind").orderBy("_draw", "paper_id")
-    rows = rows.withColumn("_in_kind", F.row_number().over(by_kind))
+    # a case takes at most count of a kind, its first ones: later ones are dropped before the shuffle
+    first = drawn.withColumn("_in_kind", F.row_number().over(by_kind)).filter(F.col("_in_kind") <= count)
+    rows = first.join(quota.hint("merge"), "case_id")
     rows = rows.withColumn("_first", ((F.col("kind") == "positive") & (F.col("_in_kind") <= F.col("take_pos"))) | ((F.col("kind") == "hard") & (F.col("_in_kind") <= F.col("take_hard"))))
     rest = Window.partitionBy("case_id", F.col("_first") | (F.col("kind") == "positive")).orderBy("_draw", "paper_id")
     chosen = rows.withColumn("_rest", F.row_number().over(rest)).filter(F.col("_first") | ((F.col("kind") != "positive") & (F.col("_rest") <= F.col("take_neg") - F.col("take_hard"))))
