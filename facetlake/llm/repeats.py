@@ -17,8 +17,11 @@ A group with more than ``group`` suffixes is split by its next digits before it
 sorted, so that no task gets a frequent gram as a whole. Windows that begin s = low
 to high bytes before the gram share its low bytes to the left and length - high
 bytes to the right; halving the range of s makes those shared parts longer, and
-a suffix goes to the group of its own bytes in each half. At the end of the
-halving a group is one window, and a count tells whether it is repeated.
+a suffix goes to the group of its own bytes in each half. Suffixes that are equal
+in a whole half are settled before it is halved again: all its windows are repeated,
+a span a suffix, and one of each kind goes on. So a suffix has a span for each of the
+few halves that make up what it repeats, not one for each window; at the end of the
+halving a group is one window, and the same count tells whether it is repeated.
 Equal texts share their key, which is their content's hash, so copies add rows
 to counts but never texts to a task.
 
@@ -286,6 +289,17 @@ def halves(groups: DataFrame) -> DataFrame:
     return cut.withColumn("key", digits(F.col("low"), F.col("high")))
 
 
+def settled(halved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans of suffixes that equal another one in all windows of their half; one suffix of each kind, where a half has several windows)."""
+    kind = ["gram", "low", "high", "left", "right"]
+    kinds = written(halved.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one"), F.bool_or("many").alias("many")), "repeats-halves-kinds")
+    twins = halved.filter("not many").join(kinds.filter("n > 1").select(*kind), kind, "left_semi")
+    low, high = F.greatest("low", LENGTH - F.octet_length("right")), F.least("high", F.octet_length("left"))
+    spans = twins.select("k1", "k2", (F.col("pos") - high).alias("start"), (F.col("pos") - low + LENGTH).alias("end"))
+    ones = kinds.filter("low < high").select("gram", "one.*", "left", "right", (F.col("many") | (F.col("n") > 1)).alias("many"), "low", "high")
+    return spans, ones.withColumn("key", digits(F.col("low"), F.col("high")))
+
+
 def sorted_spans(contexts: DataFrame, group: int) -> DataFrame:
     """Spans from suffixes in groups of bounded size, whatever the size of their grams."""
     now, spans = contexts.withColumn("low", F.lit(0)).withColumn("high", F.lit(LENGTH - GRAM)).withColumn("key", F.col("gram")), []
@@ -298,12 +312,8 @@ def sorted_spans(contexts: DataFrame, group: int) -> DataFrame:
         if not several:
             break
         rest = now.join(large, ["low", "key"], "left_semi")
-        one = F.col("low") == F.col("high")
-        #: a group of one window each: equal windows are counted, not sorted
-        windows = rest.filter(one).select("k1", "k2", "many", (F.col("pos") - F.col("low")).alias("start"), F.concat("left", "right").alias("window"))
-        equal = windows.groupBy("window").count().filter("count > 1").select("window")
-        spans.append(windows.filter("not many").join(equal, "window", "left_semi").select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end")))
-        now = written(halves(rest.filter(~one)), f"repeats-halves-{level}")
+        found, now = settled(written(halves(rest), f"repeats-halves-{level}"))
+        spans.append(found)
     out = spans[0]
     for part in spans[1:]:
         out = out.unionByName(part)
