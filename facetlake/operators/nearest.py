@@ -13,6 +13,12 @@ the first k. Of the documents found, those go whose parts read so far miss the b
 the most that the unread terms can add: the length of the query's part in them times that of
 the document's part in terms as frequent. The others get exact scores.
 
+Texts (``top_texts``): scores of whole texts by TF-IDF without a shuffled row a posting. Each
+text's counts stay one row of arrays; the scan cuts texts into pieces, and pieces are packed into
+slices of a bounded number of postings. Only a slice's distinct terms are shuffled to get their
+weight. A slice holds its texts by term, and all queries stream past it; the best k of a slice
+for each query leave it.
+
 Dense (``top_dense``): queries are numbered and packed in blocks of ``QUERIES`` rows, vectors are dealt
 to slices; each block meets each slice in one place, as one matrix product a batch, and
 only the best k of a slice for each query leave it.
@@ -23,10 +29,13 @@ Scores are rounded to ``digits`` before they are compared; ties go by id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.functions import vectors as V
@@ -35,6 +44,8 @@ from facetlake.storage import numbered, written
 
 #: Levels to a halving of the weight; postings that give the first bound; classes of a term's frequency (powers of 2), and how many of them are frequent; rows of a query block and of a slice.
 STEPS, SEED, CLASSES, COMMON, QUERIES, SLICE = 4, 2000, 40, 4, 1024, 65_536
+#: Postings of a piece and of a slice of texts, at most (a text is never cut), and rows that are counted at once.
+PIECE, SLICE_POSTINGS, COUNTED = 1_000_000, 2_000_000, 1_000
 
 
 # --- sparse -----------------------------------------------------------------
@@ -103,6 +114,156 @@ def postings_read(queries: DataFrame, vectors: DataFrame) -> int:
     return queries.join(vectors.groupBy("term").agg(F.count("*").alias("n")), "term").agg(F.sum("n")).first()[0] or 0
 
 
+# --- texts ------------------------------------------------------------------
+
+_TERM, _TEXT, _QUERY = range(3)
+
+
+def _counts(piece: int):
+    """Rows (id, tokens) to (piece, id, terms, counts): each text's distinct tokens; a new piece begins where the last one is full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, COUNTED):
+                some = batch.slice(low, COUNTED)
+                lengths = pc.fill_null(pc.list_value_length(some["tokens"]), 0).to_numpy()
+                coded = some["tokens"].flatten().dictionary_encode()
+                n_terms = max(1, len(coded.dictionary))
+                keys = np.repeat(np.arange(some.num_rows), lengths) * n_terms + coded.indices.to_numpy(zero_copy_only=False)
+                found, counts = np.unique(keys, return_counts=True)
+                sizes = np.bincount(found // n_terms, minlength=some.num_rows)
+                ends = np.cumsum(sizes)
+                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                terms = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(found % n_terms)))
+                pieces = number + (held + ends - sizes) // piece
+                number, held = int(pieces[-1]), int((held + ends[-1]) - (pieces[-1] - number) * piece)
+                yield pa.RecordBatch.from_arrays([pa.array(pieces), some["id"], terms, pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32()))], ["piece", "id", "terms", "counts"])
+
+    return run
+
+
+def text_counts(texts: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(piece, id, terms, counts), written; texts: id long, tokens. Rows with the same id are one text."""
+    counted = texts.select("id", "tokens").mapInArrow(_counts(piece), "piece long, id long, terms array<string>, counts array<int>")
+    twice = texts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not twice.isEmpty():
+        pairs = counted.select("piece", "id", F.inline(F.arrays_zip("terms", "counts")))
+        one = pairs.groupBy("id", "terms").agg(F.sum("counts").cast("int").alias("n"), F.min("piece").alias("piece"))
+        counted = one.groupBy("id").agg(F.min("piece").alias("piece"), F.collect_list(F.struct("terms", "n")).alias("own")).select("piece", "id", F.col("own.terms").alias("terms"), F.col("own.n").alias("counts"))
+    return written(counted, "text-counts")
+
+
+def _rounded(scores: np.ndarray, digits: int) -> np.ndarray:
+    """As Spark rounds: half up, in decimal; equal scores once."""
+    own, at = np.unique(scores, return_inverse=True)
+    return np.array([float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for x in own.tolist()])[at]
+
+
+def _flat(part: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many terms each row has, their numbers (-1 for terms that no text of the slice has) and counts; words come one after the other, with their lengths in bytes."""
+    words, lengths = part["words"], part["lengths"].flatten().to_numpy()
+    begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset]
+    ends = pa.py_buffer((begin + np.concatenate([[0], np.cumsum(lengths)])).astype(np.int32))
+    codes = pc.index_in(pa.StringArray.from_buffers(len(lengths), ends, words.buffers()[2] or pa.py_buffer(b"")), value_set=vocabulary)
+    return pc.list_value_length(part["counts"]).to_numpy(), pc.fill_null(codes, -1).to_numpy(), part["counts"].flatten().to_numpy()
+
+
+def _cosines(k: int, digits: int):
+    """Rows of a slice come as its terms, its texts and all queries: texts are held by term, queries met with them one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, texts, index = [], [], None
+        for batch in batches:
+            kinds = batch["kind"].to_numpy()
+            cuts = np.flatnonzero(kinds[1:] != kinds[:-1]) + 1
+            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if at == to:
+                    continue
+                part = batch.slice(at, to - at)
+                if kinds[at] == _TERM:
+                    terms.append((part["words"], part["x"].to_numpy()))
+                elif kinds[at] == _TEXT:
+                    if not texts:
+                        vocabulary, idf = pa.concat_arrays([t for t, _ in terms]), np.concatenate([x for _, x in terms])
+                    texts += (_weighed(part.slice(low, COUNTED), vocabulary, idf) for low in range(0, part.num_rows, COUNTED))
+                elif texts:
+                    if index is None:
+                        index = _by_term(texts, len(idf))
+                    for low in range(0, part.num_rows, COUNTED):
+                        yield _met(part.slice(low, COUNTED), vocabulary, idf, *index, k, digits)
+
+    return run
+
+
+def _weighed(part: pa.RecordBatch, vocabulary: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, how many terms each has, their numbers, and their counts over the text's length."""
+    sizes, codes, counts = _flat(part, vocabulary)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    norms = np.sqrt(np.bincount(rows, (counts * idf[codes]) ** 2, len(sizes)))
+    return part["id"].to_numpy(), sizes, codes, counts / norms[rows]
+
+
+def _by_term(texts: list[tuple], n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of texts, and where each term's postings begin; the texts in them by place, and their values. Takes the rows from ``texts``."""
+    ids, sizes, codes, values = (np.concatenate([x[i] for x in texts]) for i in range(4))
+    texts[:] = [()]
+    order = np.argsort(codes, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=n_terms))])
+    return ids, starts, np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order], values[order]
+
+
+def _met(part: pa.RecordBatch, vocabulary: pa.Array, idf: np.ndarray, ids: np.ndarray, starts: np.ndarray, rows: np.ndarray, values: np.ndarray, k: int, digits: int) -> pa.RecordBatch:
+    lengths, codes, counts = _flat(part, vocabulary)
+    ends, found = np.cumsum(lengths), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for query, norm, low, high in zip(part["id"].to_pylist(), part["x"].to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+        own = codes[low:high] >= 0
+        has = codes[low:high][own]
+        score = np.zeros(len(ids))
+        for a, b, x in zip(starts[has].tolist(), starts[has + 1].tolist(), (counts[low:high][own] * idf[has] ** 2 / norm).tolist(), strict=True):
+            score[rows[a:b]] += x * values[a:b]
+        score[ids == query] = 0
+        # what may still be among the first k once it is rounded
+        least = np.partition(score, -k)[-k] - 2 * 10.0**-digits if k < len(score) else 0
+        near = np.flatnonzero((score >= least) & (score > 0))
+        rounded = _rounded(score[near], digits)
+        best = np.lexsort((ids[near], -rounded))[:k]
+        found.append((np.full(len(best), query), ids[near][best], rounded[best]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["query", "id", "score"])
+
+
+def top_texts(texts: DataFrame, asked: Column, k: int, *, digits: int = 6, piece: int = PIECE, size: int = SLICE_POSTINGS) -> DataFrame:
+    """(query, id, score, rank) of the best k other texts that share a term, by the cosine of ``vectors.tfidf``; texts: id long, tokens; asked: which ids are queries."""
+    spark = texts.sparkSession
+    counts = text_counts(texts, piece)
+    total = F.lit(texts.count())
+    sizes = counts.groupBy("piece").agg(F.sum(F.size("terms")).alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # with few texts, a slice for each core
+    least = F.greatest(F.lit(1), F.least(F.lit(size), F.ceil(F.max("upto").over(Window.partitionBy()) / spark.sparkContext.defaultParallelism)))
+    slices = written(sizes.select("piece", F.floor((F.col("upto") - F.col("n")) / least).cast("int").alias("slice")), "slices")
+    n_slices = (slices.agg(F.max("slice")).first()[0] or 0) + 1
+    placed = counts.join(F.broadcast(slices), "piece").drop("piece")
+    held = placed.select("slice", F.explode("terms").alias("term")).groupBy("slice", "term").agg(F.count("*").alias("n"))
+    df = F.sum("n").over(Window.partitionBy("term"))
+    terms = written(held.select("slice", "term", (F.log((1 + total) / (1 + df)) + 1).alias("idf")), "slice-terms")
+    queries = placed.filter(asked)
+    weight = F.col("counts") * F.col("idf")
+    own = queries.select("id", "slice", F.inline(F.arrays_zip("terms", "counts"))).withColumnRenamed("terms", "term")
+    norms = own.join(terms.hint("merge"), ["slice", "term"]).groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("x"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice")
+    # words one after the other: an array of strings takes 16 bytes a word and more
+    packed = F.array_join("terms", "").alias("words"), F.transform("terms", F.octet_length).alias("lengths")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    row = lambda df, kind, *cols: df.select("slice", F.lit(kind).alias("kind"), *cols)
+    rows = (
+        row(terms, _TERM, none("long", "id"), F.col("term").alias("words"), none("array<int>", "lengths"), none("array<int>", "counts"), F.col("idf").alias("x"))
+        .unionByName(row(placed.filter("id is not null"), _TEXT, "id", *packed, "counts", none("double", "x")))
+        .unionByName(row(queries.drop("slice").join(norms.hint("merge"), "id").select("*", every), _QUERY, "id", *packed, "counts", "x"))
+    )
+    met = rows.repartitionById(n_slices, F.col("slice")).sortWithinPartitions("kind").drop("slice")
+    return top(met.mapInArrow(_cosines(k, digits), "query long, id long, score double"), k, ["query"], "id")
+
+
 # --- dense ------------------------------------------------------------------
 
 

@@ -58,3 +58,18 @@ def test_dense_equals_full_scoring(spark, monkeypatch, queries, slices):
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     assert got == sorted(set(want))
     assert nearest.top_dense(df.filter("id < 0"), df, 4).count() == 0 and nearest.top_dense(df, df.filter("id < 0"), 4).count() == 0
+
+
+@pytest.mark.parametrize(("k", "piece", "size"), [(5, 300, 1000), (300, 10, 40), (1, 10**6, 10**6)])
+def test_texts_equal_full_scoring(spark, k, piece, size):
+    """Also with copies, texts without a word, rows without an id and ids with several rows."""
+    rng = np.random.default_rng(4)
+    texts = [[f"t{x}" for x in rng.zipf(1.3, int(rng.integers(1, 60))) if x < 400] for _ in range(200)]
+    rows = [*enumerate([*texts, ["t1"], ["only"], [], None]), *[(300 + i, texts[7]) for i in range(40)], (None, ["t1", "t2"]), (None, ["t2"]), (7, ["t3", "t9"]), (14, texts[3])]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>").repartition(3)
+    found = nearest.top_texts(docs, F.col("id") % 7 == 0, k, piece=piece, size=size)
+    v = V.tfidf(docs, ["id"])
+    scores = V.dots(v.filter("id % 7 = 0").withColumnRenamed("id", "query"), v, ["term"], ["query", "id"]).filter("query <> id").withColumn("score", F.round("score", 6))
+    from facetlake.functions.metrics import top
+
+    assert sorted(map(tuple, found.select("query", "id", "score", "rank").collect())) == sorted(map(tuple, top(scores, k, ["query"], "id").select("query", "id", "score", "rank").collect()))
