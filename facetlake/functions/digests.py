@@ -12,7 +12,18 @@ _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
 def first_words(heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
-    """The first 32 bits of the MD5 of every head followed by every tail, a row a head.
+    """The first 32 bits of the MD5 of every head followed by every tail, a row a head."""
+    return _rounds(heads, tails, 61)[0]  # the last three rounds leave the first word as it is
+
+
+def units(heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """The first 52 bits as numbers in [0, 1), as ``vectors.hashed_unit`` has them."""
+    first, second = _rounds(heads, tails, 64)
+    return ((first.astype(np.int64) << 20) | (second >> np.uint32(12))) / 2.0**52
+
+
+def _rounds(heads: np.ndarray, tails: np.ndarray, n: int) -> list[np.ndarray]:
+    """The first word after 61 rounds, or the first two after 64.
 
     heads and tails are arrays of bytes rows (uint8), each of one length.
     """
@@ -29,7 +40,7 @@ def first_words(heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
         words.append(int(left[0, i]) + int(right[0, i]) if same else np.ascontiguousarray(np.add(left[:, i, None], right[None, :, i])).ravel())
     a, b, c, d = (np.full(rows * columns, x, np.uint32) for x in _START)
     f, t = np.empty_like(a), np.empty_like(a)
-    for i in range(61):  # the last three rounds leave the first word as it is
+    for i in range(n):
         if i < 16:
             np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
             at = i
@@ -51,6 +62,5 @@ def first_words(heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
         np.left_shift(f, np.uint32(s), out=t), np.right_shift(f, np.uint32(32 - s), out=f), np.bitwise_or(f, t, out=f)
         np.add(f, b, out=f)
         a, d, c, b, f = d, c, b, f, a
-    # after round 60 (0 to 60) the newest word is b, which ends as the first one
-    np.add(b, np.uint32(_START[0]), out=b)
-    return b.byteswap().reshape(rows, columns)
+    # the newest word is b; that of the 61st round ends as the first one, three rounds later in a
+    return [(x + np.uint32(start)).byteswap().reshape(rows, columns) for x, start in zip((a, b) if n == 64 else (b,), _START, strict=False)]

@@ -38,7 +38,7 @@ def hashed_top(cases: DataFrame, candidates: DataFrame, group: str, k: int, seed
     return M.top(drawn, k, ["case_id"])
 
 
-def _by_size(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+def by_size(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(places, bytes as rows) of the texts of each size."""
     sizes = np.array([len(t) for t in texts], np.int64)
     return [(at := np.flatnonzero(sizes == n), np.frombuffer(b"".join(texts[i] for i in at), np.uint8).reshape(len(at), n)) for n in np.unique(sizes)]
@@ -67,8 +67,8 @@ def _first(k: int, seed: str, digits: int):
     near = 2**32 // 10**digits + 2  # draws that round alike differ by less
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        heads = _by_size([f"{seed}:{x}:".encode() for x in left["case_id"].to_pylist()])
-        tails = _by_size([str(x).encode() for x in right["paper_id"].to_pylist()])
+        heads = by_size([f"{seed}:{x}:".encode() for x in left["case_id"].to_pylist()])
+        tails = by_size([str(x).encode() for x in right["paper_id"].to_pylist()])
         rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for there, tail in tails:
             for j in range(0, len(there), WIDE):
